@@ -4,15 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.line_dedup import line_dedup
+from siltstone.llm.mixing import mix_sources
 from siltstone.llm.quality import RULES, STOP_WORDS, quality_rules
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def mix_levels() -> dict[str, Column]:
+    """The tree over documents: one domain for the main source, one for the other even and one for the odd sources."""
+    even = F.col("source").rlike("[02468]$")
+    return {
+        "domain": F.when(F.col("source") == "src0", "web").when(even, "books").otherwise("news"),
+        "language": F.col("lang"),
+        "origin": F.col("source"),
+    }
+
+
+WEIGHTS = {("web",): 3, ("books",): 4, ("news",): 3, ("*", "en"): 6, ("*", "de"): 2}
+MIX = {"percent": 80, "max_epochs": 2, "seed": 17}
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select(
+        "doc_id",
+        "n_removed_lines",
+        "n_removed_words",
+        F.to_json("removed").alias("removed"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mix_sources(docs, mix_levels(), WEIGHTS, **MIX).select(
+        "doc_id", "domain", "language", "origin", "n_tokens", "epoch"
+    )
+
+
+def _mix_sql() -> str:
+    def level(here: list[str], weight: str, parent: str | None, name: str) -> str:
+        by, keys = ", ".join(here[:-1]) or "1", ", ".join(here)
+        have = f"(SELECT sum(tokens) * {MIX['percent']} // 100 FROM leaves)" if parent is None else "p.have"
+        join = "" if parent is None else f"JOIN {parent} p USING ({', '.join(here[:-1])})"
+        order = f"PARTITION BY {by} ORDER BY CAST(cap AS DOUBLE) / w, {here[-1]}"
+        return f"""{name}_n AS (
+  SELECT {keys}, n.cap, {weight} AS w, CAST({have} AS BIGINT) AS have
+  FROM (SELECT {keys}, sum(tokens * {MIX['max_epochs']}) AS cap FROM leaves GROUP BY {keys} HAVING cap > 0) n {join}),
+{name}_f AS (SELECT *, (have - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w
+    >= cap * sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS full_ FROM {name}_n),
+{name} AS (SELECT {keys}, CASE WHEN full_ THEN cap ELSE
+    (w * (have - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (PARTITION BY {by}), 0)))
+      // sum(CASE WHEN NOT full_ THEN w END) OVER (PARTITION BY {by}) END AS have FROM {name}_f)"""
+
+    return rf"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '[02468]$') THEN 'books' ELSE 'news' END
+      AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, language, origin, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
+{level(["domain"], "CASE domain WHEN 'web' THEN 3 WHEN 'books' THEN 4 WHEN 'news' THEN 3 ELSE 1 END", None, "l1")},
+{level(["domain", "language"], "CASE language WHEN 'en' THEN 6 WHEN 'de' THEN 2 ELSE 1 END", "l1", "l2")},
+{level(["domain", "language", "origin"], "1", "l2", "l3")},
+plan AS (SELECT domain, language, origin, CAST(have // tokens AS BIGINT) AS whole, have % tokens AS rest
+  FROM leaves JOIN l3 USING (domain, language, origin)),
+placed AS (SELECT *, md5(concat_ws(':', '{MIX['seed']}', whole, coalesce(CAST(doc_id AS VARCHAR), ''))) AS key
+  FROM d JOIN plan USING (domain, language, origin)),
+head AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY key RANGE UNBOUNDED PRECEDING) AS run
+  FROM placed WHERE rest > 0)
+SELECT doc_id, domain, language, origin, n_tokens, CAST(epoch AS INTEGER) AS epoch
+  FROM (SELECT *, unnest(range(0, whole)) AS epoch FROM placed)
+UNION ALL
+SELECT doc_id, domain, language, origin, n_tokens, CAST(whole AS INTEGER) AS epoch FROM head WHERE run <= rest
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
@@ -72,8 +145,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_quality_rules": op5_quality_rules}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op5_quality_rules": op5_quality_rules,
+        "op10_mix_sources": op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _quality_sql()}
+    return {"op5_quality_rules": _quality_sql(), "op10_mix_sources": _mix_sql()}
