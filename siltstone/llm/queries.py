@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.mixing import mix_sources
+from siltstone.llm.packing import pack
 from siltstone.llm.quality import RULES, STOP_WORDS, quality_rules
+from siltstone.llm.token_files import token_files
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +43,29 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, read = token_files(docs, vocabulary("byte_bpe_50k.json"), end_id=2, vocabulary_size=50257)
+    return read.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = pack(docs, vocabulary("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix_sources(docs, mix_levels(), WEIGHTS, **MIX).select(
@@ -148,6 +173,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op7_token_files": op7_token_files,
+        "op9_pack": op9_pack,
         "op10_mix_sources": op10_mix_sources,
     }
 
