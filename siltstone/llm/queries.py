@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.mixing import mix_sources
+from siltstone.llm.ngram_join import jaccard_components
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import RULES, STOP_WORDS, quality_rules
 from siltstone.llm.token_files import token_files
@@ -111,6 +112,11 @@ SELECT doc_id, domain, language, origin, n_tokens, CAST(whole AS INTEGER) AS epo
 """
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs, ngram=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
@@ -172,6 +178,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
         "op7_token_files": op7_token_files,
         "op9_pack": op9_pack,
