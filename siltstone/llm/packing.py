@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.tokens import WORD_LEVEL, encoder, end_token
+from siltstone.llm.tokens import WORD_LEVEL, encoded, end_token
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -170,14 +170,11 @@ def cut_pieces(
         schema = pa.schema(
             [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("rank", pa.int64())]
         )
-        encode = encoder(vocabulary, WORD_LEVEL).encode
         seen: dict[int, int] = {}
         rows: list[tuple] = []
         wide = 4 * capacity
-        for batch in batches:
-            texts = batch.column(1)
-            for k, doc in enumerate(batch.column(0).to_pylist()):
-                ids = encode([texts[k].as_py()], end)[0]
+        for docs_here, found in encoded(batches, vocabulary, WORD_LEVEL, end):
+            for doc, ids in zip(docs_here, found, strict=True):
                 for piece, at in enumerate(range(0, len(ids), wide)):
                     some = ids[at : at + wide]
                     n = len(some) // 4

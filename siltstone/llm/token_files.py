@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import files
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.tokens import BYTE_LEVEL, encoder, end_token
+from siltstone.llm.tokens import BYTE_LEVEL, encoded, end_token
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -89,25 +89,13 @@ def write_token_files(
         task = TaskContext.get()
         part = task.partitionId()
         uri = f"{folder}/part-{part:06d}-{task.taskAttemptId()}"
-        encode = encoder(vocabulary, BYTE_LEVEL).encode
         made, smallest = PartWriter(uri, id_bytes), -(2**63)
         out = None
         with ExitStack() as opened:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for ids, found in encoded(batches, vocabulary, BYTE_LEVEL, end):
                 if out is None:  # a part without rows has no files
                     out = opened.enter_context(files.writer(f"{uri}.bin"))
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                at = 0
-                while at < len(ids):  # a few MB of text at a time
-                    upto, held = at, 0
-                    while upto < len(ids) and held < FLUSH_BYTES:
-                        held += texts[upto].as_buffer().size if texts[upto].is_valid else 0
-                        upto += 1
-                    some = encode(texts.slice(at, upto - at).to_pylist(), end)
-                    made.write(out, [smallest if x is None else x for x in ids[at:upto]], some)
-                    at = upto
+                made.write(out, [smallest if x is None else x for x in ids], found)
         if made.docs:
             n_ids = made.finish()
             yield pa.RecordBatch.from_pydict(

@@ -9,7 +9,14 @@ more than texts do; each worker keeps a bounded cache of their ids as little-end
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import batched
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: White space as Unicode has it (fixed values of the White_Space property).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -19,7 +26,9 @@ BYTE_LEVEL = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Chunks where white space only separates.
 WORD_LEVEL = rf"[^{SPACE}]+"
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 700_000
+SLICE_CHARS = 6 << 20
+ENCODE_CHUNKS = 10_000
 LONG_CHUNK = 256  # characters; longer ones are encoded, but not kept
 
 
@@ -33,28 +42,27 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.chunks = re.compile(chunk_pattern).findall
         self.cache: dict[str, bytes] = {}
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as the machine's own 32-bit integers, which must be little-endian")
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
-
+    def _add(self, chunks: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        self.cache.update((c, array("I", x.ids).tobytes()) for c, x in zip(chunks, found, strict=True))
 
     def encode(self, texts: Iterable[str | None], end: bytes) -> list[bytes]:
-        """Ids of each text, then ``end``; a null text is an empty one."""
-        out = []
-        for text in texts:
-            if len(self.cache) > CACHE_CHUNKS:
-                self.cache.clear()
-            parts = self.chunks(text or "")
-            get = self.cache.get
-            ids = list(map(get, parts))
-            if None in ids:
-                new = list({c for c, x in zip(parts, ids, strict=True) if x is None})
-                made = dict(zip(new, self._encode(new), strict=True))
-                self.cache.update((c, x) for c, x in made.items() if len(c) <= LONG_CHUNK)
-                ids = [made[c] if x is None else x for c, x in zip(parts, ids, strict=True)]
-            out.append(b"".join(ids) + end)
+        """Ids of each text, then ``end``; a null text is an empty one. All texts are held at once."""
+        parts = [self.chunks(text or "") for text in texts]
+        here = set().union(*parts)
+        new = here.difference(self.cache)
+        if len(self.cache) > CACHE_CHUNKS:  # what these texts use stays
+            self.cache = {c: self.cache[c] for c in here - new}
+        for some in batched(new, ENCODE_CHUNKS):
+            self._add(list(some))
+        get = self.cache.__getitem__
+        out = [b"".join(map(get, p)) + end for p in parts]
+        for c in new:
+            if len(c) > LONG_CHUNK:
+                del self.cache[c]
         return out
 
 
@@ -69,5 +77,20 @@ def encoder(vocabulary: str, chunk_pattern: str) -> ChunkEncoder:
     return _encoders[key]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, chunk_pattern: str, end: bytes):
+    """(document ids, ids as bytes) of batches with a document id and a text, a few MB of text at a time."""
+    encode = encoder(vocabulary, chunk_pattern).encode
+    for batch in batches:
+        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        at = 0
+        while at < len(docs):
+            upto, held = at, 0
+            while upto < len(docs) and held < SLICE_CHARS:
+                held += len(texts[upto] or "")
+                upto += 1
+            yield docs[at:upto], encode(texts[at:upto], end)
+            at = upto
+
+
 def end_token(i: int) -> bytes:
     return int(i).to_bytes(4, "little")
