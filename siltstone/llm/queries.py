@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.html_text import extract_pages
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.mixing import mix_sources
 from siltstone.llm.ngram_join import jaccard_components
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import RULES, STOP_WORDS, quality_rules
 from siltstone.llm.token_files import token_files
+from siltstone.llm.warc import archive
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +46,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file, the same on all machines."""
     import public_tokenizers
@@ -117,6 +124,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, ngram=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
@@ -179,7 +190,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op4_html_text": op4_html_text,
         "op5_quality_rules": op5_quality_rules,
+        "op6_warc": op6_warc,
         "op7_token_files": op7_token_files,
         "op9_pack": op9_pack,
         "op10_mix_sources": op10_mix_sources,
