@@ -13,6 +13,7 @@ from siltstone.llm.mixing import mix_sources
 from siltstone.llm.ngram_join import jaccard_components
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import RULES, STOP_WORDS, quality_rules
+from siltstone.llm.token_counts import token_counts
 from siltstone.llm.token_files import token_files
 from siltstone.llm.warc import archive
 from siltstone.sources.tables import table
@@ -124,6 +125,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, ngram=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, vocabulary("piece_bpe_32k.model"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -190,6 +196,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op3_token_counts": op3_token_counts,
         "op4_html_text": op4_html_text,
         "op5_quality_rules": op5_quality_rules,
         "op6_warc": op6_warc,
