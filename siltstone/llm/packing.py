@@ -30,7 +30,6 @@ CAPACITY = 2048
 ROUNDS = 200
 #: Prices fall by this power of e while a length goes from uncovered to covered.
 ETA = 1.0
-BATCH_PIECES = 4096
 #: Rank bases up to this many rows are broadcast (three numbers a row).
 BROADCAST_BASES = 500_000
 
@@ -171,20 +170,18 @@ def cut_pieces(
             [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("rank", pa.int64())]
         )
         seen: dict[int, int] = {}
-        rows: list[tuple] = []
         wide = 4 * capacity
         for docs_here, found in encoded(batches, vocabulary, WORD_LEVEL, end):
+            columns: list[list] = [[] for _ in schema]
             for doc, ids in zip(docs_here, found, strict=True):
                 for piece, at in enumerate(range(0, len(ids), wide)):
                     some = ids[at : at + wide]
                     n = len(some) // 4
-                    rows.append((doc, piece, at // 4, n, some, part, seen.get(n, 0)))
-                    seen[n] = seen.get(n, 0) + 1
-                while len(rows) >= BATCH_PIECES:
-                    some_rows, rows = rows[:BATCH_PIECES], rows[BATCH_PIECES:]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some_rows), schema.types)], schema=schema)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    rank = seen.get(n, 0)
+                    seen[n] = rank + 1
+                    for column, value in zip(columns, (doc, piece, at // 4, n, some, part, rank), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE)
 

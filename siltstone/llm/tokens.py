@@ -26,6 +26,13 @@ BYTE_LEVEL = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Chunks where white space only separates.
 WORD_LEVEL = rf"[^{SPACE}]+"
 
+#: A word of Latin-1 letters, which normalisation only lower-cases, and marks that make one pre-token.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Byte-level vocabularies name the bytes that do not print, in order, by the characters from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_NAMES = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+
 CACHE_CHUNKS = 700_000
 SLICE_CHARS = 6 << 20
 ENCODE_CHUNKS = 10_000
@@ -41,16 +48,32 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.chunks = re.compile(chunk_pattern).findall
+        self.lower = chunk_pattern == WORD_LEVEL
         self.cache: dict[str, bytes] = {}
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as the machine's own 32-bit integers, which must be little-endian")
 
     def _add(self, chunks: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        self.cache.update((c, array("I", x.ids).tobytes()) for c, x in zip(chunks, found, strict=True))
+        """Ids of new chunks: a plain word's from the library's model at once, others' through its whole pipeline."""
+        plain, tokenize, others = PLAIN.fullmatch, self.tokenizer.model.tokenize, []
+        for c in chunks:
+            if m := plain(c):
+                word, marks = m.groups()
+                if self.lower:
+                    word = word.lower().removeprefix(" ")
+                ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(BYTE_NAMES))]
+                if marks:
+                    ids += [t.id for t in tokenize(marks)]
+                self.cache[c] = array("I", ids).tobytes()
+            else:
+                others.append(c)
+        found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        self.cache.update((c, array("I", x.ids).tobytes()) for c, x in zip(others, found, strict=True))
 
     def encode(self, texts: Iterable[str | None], end: bytes) -> list[bytes]:
         """Ids of each text, then ``end``; a null text is an empty one. All texts are held at once."""
+        if self.lower:  # the pipeline's own lower-casing does the rest
+            texts = [(t or "").encode().translate(ASCII_LOWER).decode() for t in texts]
         parts = [self.chunks(text or "") for text in texts]
         here = set().union(*parts)
         new = here.difference(self.cache)
