@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.html_text import extract_pages
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.mixing import mix_sources
+from siltstone.llm.media import media_features, store_media
 from siltstone.llm.ngram_join import jaccard_components
 from siltstone.llm.packing import pack
 from siltstone.llm.quality import RULES, STOP_WORDS, quality_rules
@@ -67,6 +68,20 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media_features(store_media(docs)).select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = pack(docs, vocabulary("word_bpe_49k.json"), end_id=0, capacity=2048)
@@ -201,6 +216,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_rules": op5_quality_rules,
         "op6_warc": op6_warc,
         "op7_token_files": op7_token_files,
+        "op8_media": op8_media,
         "op9_pack": op9_pack,
         "op10_mix_sources": op10_mix_sources,
     }

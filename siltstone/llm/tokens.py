@@ -8,6 +8,7 @@ more than texts do; each worker keeps a bounded cache of their ids as little-end
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from array import array
@@ -72,6 +73,13 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[str | None], end: bytes) -> list[bytes]:
         """Ids of each text, then ``end``; a null text is an empty one. All texts are held at once."""
+        gc.disable()  # nothing made here is cyclic, and looking for cycles walks all of the cache
+        try:
+            return self._encode(texts, end)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: Iterable[str | None], end: bytes) -> list[bytes]:
         if self.lower:  # the pipeline's own lower-casing does the rest
             texts = [(t or "").encode().translate(ASCII_LOWER).decode() for t in texts]
         parts = [self.chunks(text or "") for text in texts]
