@@ -72,7 +72,14 @@ def _cs_member(head: str, owner: str, ended: str) -> tuple[str, str, str] | None
     if not bare:
         return None
     access = " ".join(_ACCESS.findall(bare))
-    left = re.split(r"=>|(?<![=!<>])=(?!=)", bare, maxsplit=1)[0].strip()
+    # the first = outside of parentheses ends the name's part
+    level, cut = 0, len(bare)
+    for k, ch in enumerate(bare):
+        level += (ch in "([") - (ch in ")]")
+        if ch == "=" and level <= 0 and bare[k - 1 : k] not in ("=", "!", "<", ">") and bare[k + 1 : k + 2] != "=":
+            cut = k
+            break
+    left = bare[:cut].strip()
     if re.search(r"\bdelegate\b", left):
         return None
     if (m := _CS_METHOD.search(re.sub(r"\b(?:where)\b.*$", "", left, flags=re.S))) and m[1] not in _CS_NO_MEMBER:
@@ -139,7 +146,8 @@ def scan_csharp(path: str, text: str) -> list[Unit]:
         inside = scopes[-1].kind if scopes else "namespace"
         if c == "{":
             scope = _Scope("other", "", at)
-            if inside != "other" and "=>" not in head and not re.search(r"(?<![=!<>])=(?!=)", _CS_ATTRIBUTE.sub("", head)):
+            shell = re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)", "()", _CS_ATTRIBUTE.sub("", head))  # defaults of parameters do not count
+            if inside != "other" and not re.search(r"=>|(?<![=!<>])=(?!=)", shell):
                 if m := _CS_NAMESPACE.match(head):
                     scope = _Scope("namespace", m[1], at)
                 elif (m := _CS_TYPE.search(_CS_ATTRIBUTE.sub("", head))) and not re.search(r"\bwhere\b.*\bclass\b", head[: head.find(m[0])], re.S):
