@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,50 +120,54 @@ def _base(text: Column) -> Column:
     )
 
 
-def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts and ratios that rules may name, in new columns.
-
-    A null text counts as one without words. Ratios over no words or lines are 0. The counts
-    replace columns of ``docs`` with the same names. Nothing is shuffled.
-    """
-    m = let(F.coalesce(F.col(text_col), F.lit("")), _base)
-    taken = {c.lower() for c in docs.columns}
-    hold = "_m"
-    while hold in taken:
-        hold += "_"
-    out = docs.withColumn(hold, m)
-    counts = {k: F.col(hold)[part][k] for part, names in _PARTS.items() for k in names}
-    ratio = lambda a, b: F.when(counts[b] == 0, 0.0).otherwise(counts[a].cast("double") / counts[b])
-    ratios = {
-        "mean_word_length": ratio("word_chars", "n_words"),
-        "symbol_ratio": ratio("n_symbols", "n_words"),
-        "stop_ratio": ratio("n_stop_words", "n_words"),
-        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
-        "bullet_line_ratio": ratio("n_bullet_lines", "n_lines"),
-        "ellipsis_line_ratio": ratio("n_ellipsis_lines", "n_lines"),
-    }
-    return out.withColumns(counts | ratios).drop(hold)
-
-
+#: Fields of _base, by part.
 _PARTS = {
     "w": ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words"),
     "l": ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines"),
 }
+#: Ratios of two counts, 0 where the second is 0.
+_RATIOS = {
+    "mean_word_length": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "stop_ratio": ("n_stop_words", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "bullet_line_ratio": ("n_bullet_lines", "n_lines"),
+    "ellipsis_line_ratio": ("n_ellipsis_lines", "n_lines"),
+}
 
 
-def compile_rules(rules: Sequence[Rule]) -> Column:
-    """An array of the names of the rules that a row of ``quality_metrics`` breaks."""
+def compile_rules(rules: Sequence[Rule], metric: Mapping[str, Column]) -> Column:
+    """An array of the names of the rules that the metrics break."""
     broken = []
     for r in rules:
         bad = F.lit(False)
         if r.low is not None:
-            bad = bad | (F.col(r.metric) < r.low)
+            bad = bad | (metric[r.metric] < r.low)
         if r.high is not None:
-            bad = bad | (F.col(r.metric) > r.high)
+            bad = bad | (metric[r.metric] > r.high)
         broken.append(F.when(bad, F.lit(r.name)))
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
 
+def _verdict(rules: Sequence[Rule]):
+    """From _base's struct, one of all counts, ratios and verdicts."""
+
+    def judge(m: Column) -> Column:
+        metric = {k: m[part][k] for part, names in _PARTS.items() for k in names}
+        for k, (a, b) in _RATIOS.items():
+            metric[k] = F.when(metric[b] == 0, 0.0).otherwise(metric[a].cast("double") / metric[b])
+        failed = (metric["n_words"] < 50) | (100 * metric["n_repeat_words"] > 50 * metric["n_words"])
+        broken = compile_rules(rules, metric)
+        return F.struct(
+            *[c.alias(k) for k, c in metric.items()],
+            failed.alias("base_failed"),
+            broken.alias("failed_rules"),
+            (~failed & (F.size(broken) == 0)).alias("kept"),
+        )
+
+    return judge
+
+
 def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with its metrics, ``base_failed``, ``failed_rules`` and ``kept``, one row for each row.
 
@@ -172,10 +176,10 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str
     base; repeated rows get equal verdicts; an empty table stays empty; new columns replace
     columns of ``docs`` with the same names, and all other columns pass through.
     """
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        quality_metrics(docs, text_col)
-        .withColumn("base_failed", base_failed)
-        .withColumn("failed_rules", compile_rules(rules))
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    )
+    # one column holds everything, so that a filter on a verdict evaluates the projection once
+    judged = let(let(F.coalesce(F.col(text_col), F.lit("")), _base), _verdict(rules))
+    taken, hold = {c.lower() for c in docs.columns}, "_m"
+    while hold in taken:
+        hold += "_"
+    names = [*(k for part in _PARTS.values() for k in part), *_RATIOS, "base_failed", "failed_rules", "kept"]
+    return docs.withColumn(hold, judged).withColumns({k: F.col(hold)[k] for k in names}).drop(hold)
