@@ -44,6 +44,7 @@ METADATA_NAMES = (
 PROBE_CHARS = 12_000
 GENERATED_PROBE_CHARS = 4_096
 
+# fixed values: patterns of headings and of documentation and application markup
 HTML_HEADING = r"(?i)<h[1-6][^>]*>(.*?)</h[1-6]>"
 MARKDOWN_HEADING = r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
 ASCIIDOC_HEADING = r"^={1,6}\s+(.+?)\s*$"

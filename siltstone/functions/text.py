@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.lets import let
 
+# fixed values: what counts as a token, and how much of a text is embedded
 TOKEN = r"[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_\s\p{Z}]"
 EMBED_CHARS = 8_000
 

@@ -255,6 +255,7 @@ def scan_script(path: str, text: str) -> list[Unit]:
 
 # --- markup and styles
 
+# fixed values: patterns of directives, elements and selectors
 _DIRECTIVE = re.compile(r"^\s*@(?:page|model|using|inject|inherits|layout|namespace|attribute)\b|(?i:^\s*<%@\s*(?:Page|Control|Master|Register|Import)\b)|\bx:Class\s*=")
 _CODE_BLOCK = re.compile(r"^\s*@code\s*\{")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w:.-]*)(?:\s|>|/)")
