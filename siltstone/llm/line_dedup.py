@@ -168,13 +168,13 @@ def line_dedup(
     rows with a null id count as the earliest. Lines of one text that repeat in it count as well.
     An empty table stays empty.
     """
-    runs = line_runs(docs, id_col, text_col, min_words, guarantee_words).withColumnRenamed("runs", "_runs")
-    keyed = docs.withColumns({c: k for c, k in zip(("_doc", "_th"), _key(id_col, text_col), strict=True)})
+    runs = line_runs(docs, id_col, text_col, min_words, guarantee_words)
+    # the rows travel as one column, so that none of theirs can clash with the join's
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(id_col, text_col))
     joined = keyed.join(runs, ["_doc", "_th"], "left")
-    gone = lambda i: F.exists("_runs", lambda r: (i >= r["start"]) & (i <= r["end"]))
-    split = F.transform(
-        F.split(text_col, "\n"), lambda x, i: F.struct(x.alias("x"), gone(i).alias("gone"))
-    )
+    text = F.col("row")[text_col]
+    gone = lambda i: F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"]))
+    split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), gone(i).alias("gone")))
 
     def cut(lines: Column) -> Column:
         lost = F.filter(lines, lambda x: x["gone"])
@@ -184,13 +184,13 @@ def line_dedup(
             F.aggregate(lost, F.lit(0), lambda a, x: a + F.regexp_count(x["x"], F.lit(WORD))).cast("long").alias("words"),
         )
 
-    hit = F.col("_runs").isNotNull()
-    out = joined.withColumn("_cut", F.when(hit, let(split, cut)))
-    return out.withColumns(
-        {
-            text_col: F.when(hit, F.col("_cut.text")).otherwise(F.col(text_col)),
-            "removed": F.sort_array("_runs"),
-            "n_removed_lines": F.coalesce(F.col("_cut.lines"), F.lit(0).cast("long")),
-            "n_removed_words": F.coalesce(F.col("_cut.words"), F.lit(0).cast("long")),
-        }
-    ).drop("_doc", "_th", "_runs", "_cut")
+    hit = F.col("runs").isNotNull()
+    none = F.lit(0).cast("long")
+    made = {
+        "removed": F.sort_array("runs"),
+        "n_removed_lines": F.coalesce(F.col("cut.lines"), none),
+        "n_removed_words": F.coalesce(F.col("cut.words"), none),
+    }
+    new_text = F.when(hit, F.col("cut.text")).otherwise(text)
+    kept = [(new_text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c.lower() not in made]
+    return joined.withColumn("cut", F.when(hit, let(split, cut))).select(*kept, *[c.alias(k) for k, c in made.items()])

@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_LEAVES = 200_000
 #: Hex digits of the order key that the prefix's histogram uses: 16 ** 3 buckets a leaf.
 KEY_DIGITS = 3
+#: Names that the plan needs for itself.
+RESERVED = frozenset("row n_tokens epoch tokens cap w have full budget whole rest t past e".split())
 
 
 def _weight(levels: Sequence[str], weights: Mapping[tuple[str, ...], int], default: int) -> Column:
@@ -105,9 +107,12 @@ def mix_sources(
     only the rows of the one bucket where the prefix ends are put in order.
     """
     spark, names = docs.sparkSession, list(levels)
+    if clash := RESERVED.intersection(names):
+        raise ValueError(f"levels may not be named {', '.join(sorted(clash))}")
     n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)) if tokens is None else tokens
     made = {k: F.coalesce(c.cast("string"), F.lit("")) for k, c in levels.items()} | {"n_tokens": n.cast("long")}
-    keyed = docs.withColumns(made)
+    # the rows travel as one column, so that none of theirs can clash with the plan's
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in made.items()], F.col(id_col).alias("_id"))
     scratch = Scratch(spark, "mix")
     leaves = scratch.table(keyed.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -119,7 +124,7 @@ def mix_sources(
     size = plan.count()
     near = F.broadcast if size <= BROADCAST_LEAVES else (lambda df: df)
     # null ids count as an empty id
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     bucket = F.substring("_key", 1, KEY_DIGITS)
     placed = keyed.join(near(plan), names).withColumn("_key", key).withColumn("_bucket", bucket)
     sums = placed.filter("rest > 0").groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("t"), F.max("rest").alias("rest"))
@@ -145,5 +150,7 @@ def mix_sources(
         .filter(F.col("_run") <= F.col("_room"))
         .withColumn("epoch", F.col("whole"))
     )
-    keep = [*(c for c in docs.columns if c not in (*names, "n_tokens", "epoch")), *names, "n_tokens", "epoch"]
+    new = [*names, "n_tokens", "epoch"]
+    taken = {c.lower() for c in new}
+    keep = [*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in taken), *new]
     return inside.select(*keep).unionByName(at_edge.select(*keep)).withColumn("epoch", F.col("epoch").cast("int"))

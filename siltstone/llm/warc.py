@@ -3,7 +3,7 @@
 A file ``*.warc.zst`` starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary,
 itself compressed; each record after it is one frame that the dictionary compresses, so a reader
 can start at any record. The dictionary is trained on records of the archived pages: a bounded
-sample, the ``SAMPLE_ROWS`` rows first in order of a hash of their ids, and no more than
+sample of about ``SAMPLE_ROWS`` rows (twice that at most) by a hash of their ids, and no more than
 ``SAMPLE_BYTES`` of each; it sets the size of the files and nothing else.
 
 Of pages with equal payloads the one with the largest id is a ``response`` record, and the others
@@ -170,13 +170,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     theirs is the largest id; rows with a null id are responses. Names hold the task attempt, and
     only files in the manifest count.
     """
-    sample = (
-        pages.filter("html IS NOT NULL AND html <> ''")
-        .select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id").alias("_h"))
-        .orderBy("_h", "page_id", "html")
-        .limit(SAMPLE_ROWS)
-        .collect()
-    )
+    some = pages.filter("html IS NOT NULL AND html <> ''")
+    n = max(1, some.count())
+    # about SAMPLE_ROWS rows by a hash of the id, so that no task sends the driver more than its share
+    near = F.pmod(F.xxhash64("page_id"), F.lit(n)) < SAMPLE_ROWS
+    sample = some.filter(near).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * SAMPLE_ROWS).collect()
     raw = train_dictionary([record(r.page_id, r.url, "response", None, r.html.encode()) for r in sample]) if sample else b""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,10 +168,11 @@ def test_quality_matches_the_plain_version(spark):
 def test_line_dedup_matches_the_plain_version(spark):
     rows = [(i, t) for i, t, *_ in corpus() if i is not None]
     rows = list(dict.fromkeys(rows))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _doc2", "'x' AS removed")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _doc", "2 AS runs", "3 AS row", "4 AS cut", "'x' AS removed")
     got = {r.doc_id: r for r in line_dedup(docs).collect()}
     want = plain_line_dedup(spark, rows)
     assert {i: r.text or "" for i, r in got.items()} == want
+    assert {(r._doc, r.runs, r.row, r.cut) for r in got.values()} == {(1, 2, 3, 4)}
     assert sum(r.n_removed_lines for r in got.values()) > 50
     before = dict(rows)
     for i, r in got.items():
@@ -210,7 +211,7 @@ def test_budgets_go_to_siblings_first(spark):
 
 def test_mix_takes_seeded_prefixes_and_whole_epochs(spark):
     rows = corpus()
-    docs = spark.createDataFrame(rows, SHAPE)
+    docs = spark.createDataFrame(rows, SHAPE).selectExpr("*", "1 AS rest", "2 AS whole", "3 AS epoch", "4 AS _key", "5 AS row")
     levels = {"leaf": F.col("source")}
     got = mix_sources(docs, levels, {("src1",): 5, ("src2",): 0}, percent=120, max_epochs=3, seed=4).collect()
     count = lambda t: len(re.findall(WORD, t or ""))
@@ -232,7 +233,10 @@ def test_mix_takes_seeded_prefixes_and_whole_epochs(spark):
                 want.append((str(i), whole))
     assert sorted((str(r.doc_id), r.epoch) for r in got) == sorted(want)
     assert max(r.epoch for r in got) >= 1 and not any(r.leaf == "src2" for r in got)
+    assert {(r.rest, r.whole, r._key, r.row) for r in got} == {(1, 2, 4, 5)}
     assert mix_sources(docs.limit(0), levels, {}).count() == 0
+    with pytest.raises(ValueError, match="budget"):
+        mix_sources(docs, {"budget": F.col("source")}, {})
 
 
 def test_run_matches_the_plain_pipeline(spark, tmp_path):
