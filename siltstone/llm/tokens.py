@@ -34,7 +34,7 @@ ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 BYTE_NAMES = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
 SLICE_CHARS = 6 << 20
 ENCODE_CHUNKS = 10_000
 LONG_CHUNK = 256  # characters; longer ones are encoded, but not kept
