@@ -281,6 +281,34 @@ class Engine:
         self._replace(self.catalogs, "registry", catalog.upserted_registry(self.registry(), rows))
         return done
 
+    def migrate_workspace(self, old: str, new: str) -> str:
+        """Move an indexed workspace to another root, without reading its files; the new collection's name."""
+        row = self.registry().filter(P.path_key(F.col("workspace_root")) == old.lower()).first()
+        if row is None:
+            raise LookupError(f"{old} is not indexed")
+        mapping = {old: new}
+        moved = transfer.remapped_registry(self.registry().filter(F.col("workspace_id") == row.workspace_id), mapping, self.settings.prefix).cache()
+        target = moved.first()
+        points = transfer.remapped_points(self.vectors.read(row.collection_name), mapping)
+        version = self.vectors.build(target.collection_name, points)
+        self._replace(self.states, target.workspace_id, transfer.remapped_state(self.state(row.workspace_id), mapping))
+        self.vectors.promote(target.collection_name, version)
+        rest = self.registry().filter(F.col("workspace_id") != row.workspace_id)
+        self._replace(self.catalogs, "registry", catalog.upserted_registry(rest, moved))
+        self.vectors.drop(row.collection_name)
+        self.states.drop(row.workspace_id)
+        return target.collection_name
+
+    def adopt_workspace(self, root: str) -> dict[str, int]:
+        """Make the file state anew from the stored points and the files that are there."""
+        row = self.registry().filter(P.path_key(F.col("workspace_root")) == root.lower()).first()
+        if row is None:
+            raise LookupError(f"{root} is not indexed")
+        points, files = self.vectors.read(row.collection_name), scan.tree(self.spark, root)
+        state = transfer.recovered_state(points, files, self.settings.fingerprint_content)
+        self._replace(self.states, row.workspace_id, state.select(*[c.split()[0] for c in _STATE.split(", ")]))
+        return transfer.recovery_summary(points, files).first().asDict()
+
     @staticmethod
     def _point_schema() -> str:
         kinds = {"schema_version": "int", "start_line": "int", "end_line": "int", "is_git_repository": "boolean"}

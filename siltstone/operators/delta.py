@@ -98,6 +98,27 @@ def overlay(changes: DataFrame) -> DataFrame:
     return last.select("row.path", "row.op")
 
 
+def restricted(changes: DataFrame, candidates: DataFrame, previous: DataFrame) -> DataFrame:
+    """Changes (path, op) of files that a scan takes or the state knows; the rest is not the index's concern."""
+    known = candidates.select(path_key(F.col("file_path")).alias("_k")).unionByName(previous.select(path_key(F.col("file_path")).alias("_k"))).distinct()
+    return changes.withColumn("_k", path_key(F.col("path"))).join(known, "_k", "left_semi").drop("_k")
+
+
+def planned(changes: DataFrame | None, complete: bool, current: DataFrame, previous: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(changed, deleted) of a run.
+
+    A complete list of changes replaces the comparison with the state, unless the run is forced: what
+    it names is changed if it is there now, and deleted if the state knows it and it is gone. Else
+    all files are compared.
+    """
+    if changes is None or not complete or force:
+        return changed_files(current, previous, force), deleted_files(current, previous)
+    last = overlay(restricted(changes, current, previous)).select(path_key(F.col("path")).alias("path_key"), "op")
+    changed = keyed(current).join(last.filter("op = 'change'").select("path_key"), "path_key", "left_semi")
+    gone = keyed(previous).join(last.select("path_key"), "path_key", "left_semi").join(keyed(current).select("path_key"), "path_key", "left_anti")
+    return changed, gone
+
+
 def chunks_per_file(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(path_key(F.col("file_path")).alias("path_key")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
 

@@ -548,6 +548,21 @@ def change_overlay(spark, sf_dir):
     return delta.overlay(gone)
 
 
+_PLAN = f"""WITH {X.STATES},
+ch AS (SELECT lower(file_path) AS k, CASE WHEN size > 2000 THEN 'delete' ELSE 'change' END AS op FROM files WHERE source <> 'src5'),
+known AS (SELECT ch.* FROM ch WHERE k IN (SELECT k FROM cur) OR k IN (SELECT k FROM prev))
+SELECT cur.file_path, 'changed' AS what FROM cur JOIN known USING (k) WHERE op = 'change'
+UNION ALL SELECT prev.file_path, 'deleted' FROM prev JOIN known USING (k) WHERE k NOT IN (SELECT k FROM cur)"""
+
+
+@query("planned_changes", _PLAN)
+def planned_changes(spark, sf_dir):
+    f = X.files(spark, sf_dir).filter("source <> 'src5'")
+    changes = f.select(F.upper("file_path").alias("path"), F.when(F.col("size") > 2000, "delete").otherwise("change").alias("op"), F.col("doc_id").alias("seq"))
+    changed, gone = delta.planned(changes, True, X.current(spark, sf_dir), X.previous(spark, sf_dir))
+    return changed.select("file_path", F.lit("changed").alias("what")).unionByName(gone.select("file_path", F.lit("deleted").alias("what")))
+
+
 # --- embedding and store
 
 

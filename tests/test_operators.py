@@ -197,8 +197,36 @@ def test_engine_end_to_end(spark, tmp_path):
     e.export_workspace(str(ws), f"{tmp_path}/out")
     e.import_workspace(f"{tmp_path}/out", {str(ws): "/moved"})
     assert e.search_code("tokens", workspace_root="/moved/docs").first().file_path == "/moved/docs/x.md"
+    assert e.adopt_workspace(str(ws)) == {"points_scanned": 2, "files": 1, "missing": 0}
+    assert e.index_workspace(str(ws)).files_changed == 0
+    e.migrate_workspace("/moved", "/again")
+    assert e.search_code("tokens", workspace_root="/again/docs").first().file_path == "/again/docs/x.md"
     e.save_group("g", [str(ws)])
     assert [r.files_changed for r in e.index_group("G")] == [0]
     assert e.trigger_indexing({"workspace_path": str(ws), "index_profile": "bad"})["status"] == "Failed"
     e.delete_workspace(str(ws))
-    assert [r.workspace_root for r in e.registry().collect()] == ["/moved"]
+    assert [r.workspace_root for r in e.registry().collect()] == ["/again"]
+
+
+def test_json_files(spark, tmp_path):
+    from datetime import datetime
+
+    from siltstone import schemas as S
+    from siltstone.sources import json_files as J
+
+    rows = [(f"/w/{i}", f"sha256:{i}", i, datetime(2024, 1, 2, 3, 4, 5), 1) for i in range(1500)]
+    state = spark.createDataFrame(rows, S.FILE_STATE)
+    J.write_state(state, f"{tmp_path}/state", "/w", "m")
+    assert sorted(map(tuple, J.read_state(spark, f"{tmp_path}/state").collect())) == sorted(rows)
+    path = f"{tmp_path}/groups.json"
+    assert J.read_local_groups(spark, path).count() == 0
+    J.write_local_group(path, "A", ["/1"])
+    J.write_local_group(path, " a ", ["/2"], ["bin"])
+    J.write_local_group(path, "b", ["/3"])
+    J.delete_local_group(path, "B")
+    assert [tuple(r) for r in J.read_local_groups(spark, path).collect()] == [("a", "local", ["/2"], ["bin"], False)]
+    with pytest.raises(ValueError):
+        J.write_local_group(path, "c", [])
+    put = J.progress_lines(f"{tmp_path}/p")
+    put(J.Progress("/w", "scan", 1, None, "x"))
+    assert '"stage": "scan"' in open(f"{tmp_path}/p").read()
