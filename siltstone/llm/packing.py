@@ -1,12 +1,14 @@
 """Best-fit packing: a configuration linear program over the histogram of piece lengths.
 
 A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest
-configurations, in fractions, that hold every length as often as it occurs. It is solved by
-multiplicative weights: each length has a price, first its share of a sequence; a knapsack dynamic
-program finds the configuration worth most at these prices; it is taken in a step that no length
-forbids, and the prices of its lengths fall exponentially with the share of their pieces that is
-now covered. The fractions are rounded down, and what is left over is packed by best fit
-decreasing, in bulk over the histogram; where plain best fit needs no more sequences, it stands. All of this sees only the histogram, at most ``capacity``
+configurations that hold every length as often as it occurs. It is solved by multiplicative
+weights: each length has a price, first its share of a sequence; one knapsack dynamic program a
+round finds the configuration worth most at these prices, and for each length the best one that
+holds it. Those worth at least ``NEAR`` of the best are taken, best first, as often as the lengths'
+budgets of the round allow, rounded down to whole sequences, and the prices of lengths fall
+exponentially with the share of their pieces that is now covered. Steps are whole, so rounding
+leaves nothing over, and rounds go on until every piece is covered: each takes one sequence or
+more, and in practice a few hundred rounds do. All of this sees only the histogram, at most ``capacity``
 numbers, so the driver's work does not grow with the corpus. Pieces then find their places by
 their rank among the pieces of their length: ranks inside a partition, plus a prefix sum of counts.
 """
@@ -27,7 +29,10 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 CAPACITY = 2048
-ROUNDS = 200
+#: A round covers at most one in this many pieces of a length (rounded up).
+SHARE = 2
+#: Configurations worth this share of the round's best one are taken as well.
+NEAR = 0.5
 #: Prices fall by this power of e while a length goes from uncovered to covered.
 ETA = 1.0
 #: Rank bases up to this many rows are broadcast (three numbers a row).
@@ -42,10 +47,11 @@ class Pattern:
     count: int
 
 
-def best_configuration(lengths, prices, limits, capacity: int) -> dict[int, int]:
-    """The multiset of ``lengths`` worth most at ``prices``, none oftener than ``limits`` allows.
+def near_best_configurations(lengths, prices, limits, capacity: int) -> list[dict[int, int]]:
+    """Multisets of ``lengths``, by worth at ``prices``: the best of all, then the best with each length.
 
-    A knapsack dynamic program over bundles of 1, 2, 4, ... pieces of a length.
+    A knapsack dynamic program over bundles of 1, 2, 4, ... pieces of a length. The first keeps to
+    ``limits``; the others may hold their own length once more, and are worth ``NEAR`` of the first.
     """
     import numpy as np
 
@@ -63,52 +69,51 @@ def best_configuration(lengths, prices, limits, capacity: int) -> dict[int, int]
         np.greater(total, worth[wide:], out=better[b, wide:])
         np.maximum(total, worth[wide:], out=total)
         worth[wide:] = total
-    chosen: dict[int, int] = {}
-    c = capacity
+    with_each = prices + worth[capacity - lengths]
+    near = np.flatnonzero(with_each >= NEAR * worth[capacity])
+    near = near[np.argsort(-with_each[near], kind="stable")]
+    room = np.concatenate([[capacity], capacity - lengths[near]])
+    chosen: list[dict[int, int]] = [{}, *({j: 1} for j in near.tolist())]
     for b in range(len(bundles) - 1, -1, -1):
-        if better[b, c]:
+        hit = np.flatnonzero(better[b, room])
+        if len(hit):
             j, n = bundles[b]
-            chosen[j] = chosen.get(j, 0) + n
-            c -= n * int(lengths[j])
+            room[hit] -= n * int(lengths[j])
+            for k in hit.tolist():
+                chosen[k][j] = chosen[k].get(j, 0) + n
     return chosen
 
 
-def solve_configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Pattern]:
+def solve_configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that hold each length of ``histogram`` exactly as often as it occurs."""
     import numpy as np
 
     left = {n: c for n, c in histogram.items() if c > 0}
     lengths = np.array(sorted(left), dtype=np.int64)
-    counts = np.array([left[int(n)] for n in lengths], dtype=np.float64)
-    free = counts.copy()  # not yet covered, in fractions
-    taken: dict[tuple[tuple[int, int], ...], float] = {}
+    counts = np.array([left[int(n)] for n in lengths], dtype=np.int64)
+    free = counts.copy()  # not yet covered
+    taken: dict[tuple[tuple[int, int], ...], int] = {}
     start = lengths / capacity
-    for _ in range(rounds if len(lengths) else 0):
-        live = free >= 1
-        if not live.any():
-            break
-        at = np.flatnonzero(live)
+    while free.any():
+        at = np.flatnonzero(free)
         prices = start[at] * np.exp(-ETA * (1 - free[at] / counts[at]))
-        chosen = best_configuration(lengths[at], prices, free[at], capacity)
-        key = tuple(sorted((int(at[j]), n) for j, n in chosen.items()))
-        step = min(free[i] / n for i, n in key)
-        step = step if step < 2 else step / 2  # the other half may find a better partner
-        taken[key] = taken.get(key, 0.0) + step
-        for i, n in key:
-            free[i] -= n * step
-    patterns = []
-    for key, x in taken.items():
-        if whole := int(x + 1e-9):
-            patterns.append(Pattern({int(lengths[i]): n for i, n in key}, whole))
-            for i, n in key:
-                left[int(lengths[i])] -= n * whole
-    patterns += best_fit_decreasing(left, capacity)
-    plain = best_fit_decreasing(histogram, capacity)  # few pieces leave the fractions little to say
-    return min(patterns, plain, key=lambda ps: sum(p.count for p in ps))
+        budget = np.minimum(free, -(-counts // SHARE)).tolist()
+        covered = [0] * len(budget)
+        for nth, chosen in enumerate(near_best_configurations(lengths[at], prices, free[at], capacity)):
+            key = tuple(sorted((int(at[j]), n) for j, n in chosen.items()))
+            step = min((budget[i] - covered[i]) // n for i, n in key)
+            if nth == 0:
+                step = max(step, 1)  # its lengths have as many pieces left
+            if step > 0:
+                taken[key] = taken.get(key, 0) + step
+                for i, n in key:
+                    covered[i] += n * step
+        free -= np.array(covered, dtype=np.int64)
+    return [Pattern({int(lengths[i]): n for i, n in key}, x) for key, x in taken.items()]
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Sequences filled with the longest piece that is left and fits, over and over, in bulk."""
+    """Sequences filled with the longest piece that is left and fits, over and over, in bulk: a yardstick."""
     from bisect import bisect_right
 
     left = {n: c for n, c in histogram.items() if c > 0}
@@ -193,7 +198,6 @@ def pack(
     capacity: int = CAPACITY,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Pack ``docs`` into sequences: doc_id, piece, start, length, ids, sequence_id, offset.
 
@@ -207,7 +211,7 @@ def pack(
     # at most `capacity` rows come to the driver
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     full = histogram.pop(capacity, 0)
-    patterns = solve_configurations(histogram, capacity, rounds)
+    patterns = solve_configurations(histogram, capacity)
     if full:
         patterns.append(Pattern({capacity: 1}, full))
     table = placements(patterns)

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from siltstone.llm import packing
 from siltstone.llm.packing import best_fit_decreasing, pack, solve_configurations
 from siltstone.llm.token_files import token_files
 from siltstone.llm.tokens import BYTE_LEVEL, WORD_LEVEL, ChunkEncoder, end_token
@@ -115,3 +116,19 @@ def test_configurations_hold_each_length_and_come_close_to_the_bound():
         used = sum(p.count for p in patterns)
         assert used <= sum(p.count for p in best_fit_decreasing(histogram))
         assert used <= -(-int((sizes * counts).sum()) // 2048) * 1.005 + 1
+
+
+def test_the_program_packs_every_piece_itself(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes, counts = np.unique(np.clip(rng.lognormal(6, 1, 10_000).astype(int), 1, 2047), return_counts=True)
+    histogram = dict(zip(sizes.tolist(), counts.tolist(), strict=True))
+    best_fit = sum(p.count for p in best_fit_decreasing(histogram))
+    monkeypatch.setattr(packing, "best_fit_decreasing", lambda *_: pytest.fail("left to best fit"))
+    patterns = solve_configurations(histogram)
+    held = np.zeros(2048, dtype=int)
+    for p in patterns:
+        assert sum(k * a for k, a in p.lengths.items()) <= 2048
+        for k, a in p.lengths.items():
+            held[k] += a * p.count
+    assert (held[sizes] == counts).all() and held.sum() == counts.sum()
+    assert -(-int((sizes * counts).sum()) // 2048) <= sum(p.count for p in patterns) <= best_fit
