@@ -12,11 +12,16 @@ Each fingerprint is joined with its earliest place only: a star, not all pairs.
 followed along their diagonal in both directions, line by line, and every run of equal lines with
 ``min_words`` words or more is deleted at its later place. Places are ordered by document id, text
 hash and line. Hashes have 64 bits.
+
+The star misses a long repeat whose fingerprints all have their first place elsewhere. So texts
+with a shared fingerprint are searched once more, exactly: the shortest run of ``guarantee_words``
+words from each unit on, and up to each unit, is hashed, and goes wherever it is not the first of
+its hash. A repeated run of whole lines is covered by such runs inside it, up to its last line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.lets import let
@@ -74,6 +79,30 @@ def _fingerprints(units: Column, min_words: int, span: int) -> Column:
     return F.transform(picked, lambda x: F.struct(x["h"].alias("h"), (-x["neg"]).alias("i")))
 
 
+def _long_grams(units: Column, words: int) -> Column:
+    """(h, i, start, end) of the shortest runs of ``words`` words from each unit on and up to each unit."""
+
+    def grams(u: Column, i: Column) -> Column:
+        def entry(first: Column, n: Column) -> Column:
+            return F.struct(
+                F.xxhash64(F.transform(F.slice(units, first + 1, n), lambda x: x["h"])).alias("h"),
+                first.alias("i"),
+                F.get(units, first)["no"].alias("start"),
+                F.get(units, first + n - 1)["no"].alias("end"),
+            )
+
+        ahead = let(_reach(units, i, words), lambda r: F.when(r["w"] >= words, entry(i, r["n"])))
+        lo = F.greatest(i - (words - 1), F.lit(0))
+        # where the run without its last unit is too short, it is the one from its first unit on
+        behind = let(
+            _reach(F.reverse(F.slice(units, lo + 1, i - lo + 1)), F.lit(0), words),
+            lambda r: F.when(r["w"] - u["w"] >= words, entry(i - r["n"] + 1, r["n"])),
+        )
+        return F.array(ahead, behind)
+
+    return F.array_compact(F.flatten(F.transform(units, grams)))
+
+
 def _key(id_col: str, text_col: str) -> list[Column]:
     return [
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_doc"),
@@ -107,9 +136,9 @@ def line_runs(
         .filter(F.col("first") != F.col("last"))
         .select("h", "first")
     )
+    shared = places.join(firsts, "h")
     pairs = (
-        places.join(firsts, "h")
-        .filter(F.col("at") != F.col("first"))
+        shared.filter(F.col("at") != F.col("first"))
         .select(
             F.col("at._doc").alias("_doc"),
             F.col("at._th").alias("_th"),
@@ -125,7 +154,40 @@ def line_runs(
     )
     seeded = pairs.join(ref, ["r_doc", "r_th"]).select("_doc", "_th", "diag", "rh").join(once, ["_doc", "_th"])
     runs = seeded.select("_doc", "_th", F.explode(_runs(min_words)).alias("run"))
-    return runs.groupBy("_doc", "_th").agg(F.collect_set("run").alias("runs"))
+    found = runs.select("_doc", "_th", "run.start", "run.end")
+    return _merged(found.unionByName(_long_runs(once, shared, max(guarantee_words, min_words))))
+
+
+def _long_runs(once: DataFrame, shared: DataFrame, words: int) -> DataFrame:
+    """(_doc, _th, start, end) of all runs of ``_long_grams`` that an earlier place holds as well."""
+    some = shared.select(F.col("at._doc").alias("_doc"), F.col("at._th").alias("_th")).distinct()
+    grams = (
+        once.join(some, ["_doc", "_th"])
+        .select("_doc", "_th", F.explode(_long_grams(F.col("u"), words)).alias("g"))
+        .select(F.col("g.h").alias("h"), F.struct("_doc", "_th", F.col("g.i").alias("i")).alias("at"), "g.start", "g.end")
+    )
+    firsts = (
+        grams.groupBy("h")
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        .filter(F.col("first") != F.col("last"))
+        .select("h", "first")
+    )
+    later = grams.join(firsts, "h").filter(F.col("at") != F.col("first"))
+    return later.select("at._doc", "at._th", "start", "end")
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """(_doc, _th, runs) with overlapping runs as one."""
+    before = Window.partitionBy("_doc", "_th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_doc", "_th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.coalesce(F.max("end").over(before), F.lit(-1))
+    fresh = runs.withColumn("fresh", (F.col("start") > reached).cast("int"))
+    islands = fresh.withColumn("island", F.sum("fresh").over(upto)).groupBy("_doc", "_th", "island")
+    return (
+        islands.agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("run"))
+        .groupBy("_doc", "_th")
+        .agg(F.collect_list("run").alias("runs"))
+    )
 
 
 def _runs(min_words: int) -> Column:

@@ -195,6 +195,36 @@ def test_line_dedup_cuts_every_long_repeat_and_nothing_short(spark):
     assert all(short in t for t in got.values())
 
 
+def test_line_dedup_finds_long_repeats_behind_a_frequent_line(spark):
+    rng = random.Random(21)
+    new = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    x, y, z = new(35), new(20), new(26)
+    rows = [(0, "\n".join([x, new(40)])), (1, "\n".join([new(12), x])), (2, "\n".join([z, x]))]
+    rows += [(i, "\n".join([x, y, new(60)])) for i in range(10, 14)] + [(i, "\n".join([new(60), z, x])) for i in range(20, 23)]
+    stock = [new(n) for n in (35, 31, 20, 20, 12, 9, 25, 52, 4)]
+    rows += [(100 + i, "\n".join(rng.choice(stock) if rng.random() < 0.9 else new(8) for _ in range(rng.randint(2, 7)))) for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in got if y in got[i].text] == [10]
+    assert [i for i in got if z in got[i].text] == [2]
+    lines = {i: t.split("\n") for i, t in rows}
+
+    def repeated(least):
+        seen, found = set(), {i: set() for i in lines}
+        for i in sorted(lines):
+            for a in range(len(lines[i])):
+                for b in range(a + 1, len(lines[i]) + 1):
+                    run = tuple(lines[i][a:b])
+                    if len(" ".join(run).split()) >= least:
+                        if run in seen:
+                            found[i] |= set(range(a, b))
+                        seen.add(run)
+        return found
+
+    gone = {i: {k for a, b in (r.removed or []) for k in range(a, b + 1)} for i, r in got.items()}
+    long, any_length = repeated(50), repeated(30)
+    assert all(long[i] <= gone[i] <= any_length[i] for i in lines)
+
+
 def test_budgets_go_to_siblings_first(spark):
     leaves = spark.createDataFrame(
         [("a", "x", 100), ("a", "y", 1000), ("b", "x", 1000), ("b", "y", 1000), ("c", "x", 500)], "d string, l string, tokens long"
