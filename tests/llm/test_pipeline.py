@@ -165,6 +165,14 @@ def test_quality_matches_the_plain_version(spark):
     assert quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_keeps_a_clean_text_of_over_a_million_words(spark):
+    n = 1_000_100
+    text = "\n".join(" ".join("the" if k % 8 == 0 else f"w{k}" for k in range(i, i + 20)) for i in range(0, n, 20))
+    got = quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).drop("text").first()
+    assert got.n_words >= n
+    assert (got.base_failed, got.failed_rules, got.kept) == (False, [], True)
+
+
 def test_line_dedup_matches_the_plain_version(spark):
     rows = [(i, t) for i, t, *_ in corpus() if i is not None]
     rows = list(dict.fromkeys(rows))
