@@ -1,16 +1,21 @@
 """Best-fit packing: a configuration linear program over the histogram of piece lengths.
 
 A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest
-configurations that hold every length as often as it occurs. It is solved by multiplicative
-weights: each length has a price, first its share of a sequence; one knapsack dynamic program a
+configurations, in fractions, that hold every length as often as it occurs. ``solve_fractions``
+runs multiplicative weights on it: each length has a price, first its share of a sequence, that
+falls exponentially with the share of its pieces that is covered. A knapsack dynamic program a
 round finds the configuration worth most at these prices, and for each length the best one that
-holds it. Those worth at least ``NEAR`` of the best are taken, best first, as often as the lengths'
-budgets of the round allow, rounded down to whole sequences, and the prices of lengths fall
-exponentially with the share of their pieces that is now covered. Steps are whole, so rounding
-leaves nothing over, and rounds go on until every piece is covered: each takes one sequence or
-more, and in practice a few hundred rounds do. All of this sees only the histogram, at most ``capacity``
-numbers, so the driver's work does not grow with the corpus. Pieces then find their places by
-their rank among the pieces of their length: ranks inside a partition, plus a prefix sum of counts.
+holds it; those worth at least ``NEAR`` of the best are taken, best first, and no length is
+covered by more than a ``step`` of its pieces a round (the program's width). Prices over the best
+worth solve the dual program, so each round also gives a lower bound. Where the fractions need
+over ``GAP`` more than the bound, they are sought again with half the step and twice the rate,
+as long as that helps.
+
+Rounding takes whole sequences of the fractions, fullest and then longest pieces first, and the
+program is solved again for the pieces that are left, until at most ``REST`` of all are; these few
+go by best fit. All of this sees only the histogram, at most ``capacity`` numbers, so the driver's
+work does not grow with the corpus. Pieces then find their places by their rank among the pieces
+of their length: ranks inside a partition, plus a prefix sum of counts.
 """
 
 from __future__ import annotations
@@ -29,12 +34,16 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 CAPACITY = 2048
-#: A round covers at most one in this many pieces of a length (rounded up).
-SHARE = 2
+#: A round covers at most this share of a length's pieces, at first.
+STEP = 0.5
+#: Prices fall by this power of e while a length goes from uncovered to covered, at first.
+RATE = 1.0
 #: Configurations worth this share of the round's best one are taken as well.
 NEAR = 0.5
-#: Prices fall by this power of e while a length goes from uncovered to covered.
-ETA = 1.0
+#: Fractions that need this share more than the lower bound are good enough.
+GAP = 0.001
+#: Rounding leaves at most this share of the pieces to best fit.
+REST = 0.05
 #: Rank bases up to this many rows are broadcast (three numbers a row).
 BROADCAST_BASES = 500_000
 
@@ -47,8 +56,20 @@ class Pattern:
     count: int
 
 
-def near_best_configurations(lengths, prices, limits, capacity: int) -> list[dict[int, int]]:
-    """Multisets of ``lengths``, by worth at ``prices``: the best of all, then the best with each length.
+@dataclass(frozen=True)
+class Fractions:
+    """Amounts of configurations, each as (index of a length, pieces) pairs, and a bound that no solution beats."""
+
+    amounts: dict[tuple[tuple[int, int], ...], float]
+    bound: float
+
+    @property
+    def value(self) -> float:
+        return sum(self.amounts.values())
+
+
+def near_best_configurations(lengths, prices, limits, capacity: int) -> tuple[list[dict[int, int]], float]:
+    """Multisets of ``lengths``, by worth at ``prices``: the best of all, then the best with each length; the best worth.
 
     A knapsack dynamic program over bundles of 1, 2, 4, ... pieces of a length. The first keeps to
     ``limits``; the others may hold their own length once more, and are worth ``NEAR`` of the first.
@@ -81,39 +102,89 @@ def near_best_configurations(lengths, prices, limits, capacity: int) -> list[dic
             room[hit] -= n * int(lengths[j])
             for k in hit.tolist():
                 chosen[k][j] = chosen[k].get(j, 0) + n
-    return chosen
+    return chosen, float(worth[capacity])
+
+
+def solve_fractions(lengths, counts, capacity: int, step: float = STEP, rate: float = RATE) -> Fractions:
+    """Fractions of configurations that cover each length exactly, by multiplicative weights; see the module's text."""
+    import numpy as np
+
+    start = lengths / capacity
+    covered = np.zeros(len(lengths))
+    amounts: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = float(counts[2 * lengths > capacity].sum())  # no two of these share a sequence
+    at = np.arange(len(lengths))
+    while len(at):
+        have = counts[at]
+        prices = start[at] * np.exp(-rate * covered[at] / have)
+        chosen, best = near_best_configurations(lengths[at], prices, have, capacity)
+        bound = max(bound, float(have @ prices) / best)
+        budget = np.minimum(step * have, have - covered[at])
+        left = budget.tolist()
+        for one in chosen:
+            x = min(left[j] / n for j, n in one.items())
+            if x > 1e-9:
+                key = tuple(sorted((int(at[j]), n) for j, n in one.items()))
+                amounts[key] = amounts.get(key, 0.0) + x
+                for j, n in one.items():
+                    left[j] -= n * x
+        covered[at] += budget - np.array(left)
+        at = np.flatnonzero(counts - covered > 1e-7 * counts)
+    return Fractions(amounts, bound)
+
+
+def near_optimal_fractions(lengths, counts, capacity: int) -> Fractions:
+    """Fractions within ``GAP`` of the bound, or the best that smaller steps give."""
+    step, rate = STEP, RATE
+    best = solve_fractions(lengths, counts, capacity, step, rate)
+    while best.value > (1 + GAP) * best.bound:
+        step, rate = step / 2, rate * 2
+        more = solve_fractions(lengths, counts, capacity, step, rate)
+        better = more if more.value < best.value else best
+        helped = best.value - better.value + more.bound - best.bound > GAP / 2 * best.value
+        best = Fractions(better.amounts, max(best.bound, more.bound))
+        if not helped:
+            break
+    return best
+
+
+def rounded(fractions: Fractions, lengths, counts, capacity: int) -> tuple[list[Pattern], list[int]]:
+    """Whole sequences of ``fractions``, and how many pieces of each length they leave."""
+    size, left = lengths.tolist(), counts.tolist()
+
+    def order(item):
+        key, x = item
+        return capacity - sum(size[i] * n for i, n in key), sum(n for _, n in key), -x, key
+
+    taken = []
+    for key, x in sorted(fractions.amounts.items(), key=order):
+        times = min(max(1, int(x)), *(left[i] // n for i, n in key))
+        if times:
+            taken.append(Pattern({size[i]: n for i, n in key}, times))
+            for i, n in key:
+                left[i] -= n * times
+    return taken, left
 
 
 def solve_configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that hold each length of ``histogram`` exactly as often as it occurs."""
     import numpy as np
 
-    left = {n: c for n, c in histogram.items() if c > 0}
-    lengths = np.array(sorted(left), dtype=np.int64)
-    counts = np.array([left[int(n)] for n in lengths], dtype=np.int64)
-    free = counts.copy()  # not yet covered
-    taken: dict[tuple[tuple[int, int], ...], int] = {}
-    start = lengths / capacity
-    while free.any():
-        at = np.flatnonzero(free)
-        prices = start[at] * np.exp(-ETA * (1 - free[at] / counts[at]))
-        budget = np.minimum(free, -(-counts // SHARE)).tolist()
-        covered = [0] * len(budget)
-        for nth, chosen in enumerate(near_best_configurations(lengths[at], prices, free[at], capacity)):
-            key = tuple(sorted((int(at[j]), n) for j, n in chosen.items()))
-            step = min((budget[i] - covered[i]) // n for i, n in key)
-            if nth == 0:
-                step = max(step, 1)  # its lengths have as many pieces left
-            if step > 0:
-                taken[key] = taken.get(key, 0) + step
-                for i, n in key:
-                    covered[i] += n * step
-        free -= np.array(covered, dtype=np.int64)
-    return [Pattern({int(lengths[i]): n for i, n in key}, x) for key, x in taken.items()]
+    left = {int(n): int(c) for n, c in histogram.items() if c > 0}
+    few = REST * sum(left.values())
+    patterns: list[Pattern] = []
+    while sum(left.values()) > few:  # the first configuration always fits, so each time less is left
+        lengths = np.array(sorted(left), dtype=np.int64)
+        counts = np.array([left[n] for n in lengths.tolist()], dtype=np.int64)
+        fractions = near_optimal_fractions(lengths, counts, capacity)
+        taken, rest = rounded(fractions, lengths, counts, capacity)
+        patterns += taken
+        left = {n: c for n, c in zip(lengths.tolist(), rest, strict=True) if c}
+    return patterns + best_fit_decreasing(left, capacity)
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Sequences filled with the longest piece that is left and fits, over and over, in bulk: a yardstick."""
+    """Sequences filled with the longest piece that is left and fits, over and over, in bulk."""
     from bisect import bisect_right
 
     left = {n: c for n, c in histogram.items() if c > 0}
@@ -171,9 +242,8 @@ def cut_pieces(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("rank", pa.int64())]
-        )
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+        schema = pa.schema([(c.split()[0], t) for c, t in zip(PIECE.split(", "), types, strict=True)])
         seen: dict[int, int] = {}
         wide = 4 * capacity
         for docs_here, found in encoded(batches, vocabulary, WORD_LEVEL, end):

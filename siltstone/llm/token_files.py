@@ -1,7 +1,7 @@
 """Token-ID output: flat unsigned integer files with 64-bit document offsets, memory-mapped on reading.
 
-Rows are dealt by ranges of the document id and sorted within each, so that part k's ids all come
-before part k+1's. A task writes two files: ``<part>.bin``, its documents' ids one after another
+Rows are dealt by ranges of the document id, and of the text's hash where ids are equal, and sorted
+within each, so that part k's ids all come before part k+1's and no id is too frequent for one part. A task writes two files: ``<part>.bin``, its documents' ids one after another
 in the unsigned type that the vocabulary needs (16 or 32 bits, little-endian), and ``<part>.idx``:
 a header (magic, version, bytes per id, documents), the document ids as signed 64-bit integers,
 and the offsets, one more than documents, as unsigned 64-bit counts of ids from the part's start.
@@ -13,6 +13,7 @@ leaves a file that nobody looks at.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from contextlib import ExitStack
 from typing import TYPE_CHECKING
@@ -33,6 +34,8 @@ VERSION = 1
 FLUSH_BYTES = 8 << 20
 MANIFEST = "part int, base_uri string, n_docs long, n_ids long, id_bytes int"
 READ_DOCS = 4096
+#: Text a part holds, in bytes; more parts than shuffle partitions are made where that needs them.
+PART_BYTES = 256 << 20
 
 
 class PartWriter:
@@ -40,14 +43,13 @@ class PartWriter:
 
     def __init__(self, uri: str, id_bytes: int):
         self.uri, self.id_bytes = uri, id_bytes
-        self.docs: list[int] = []
-        self.sizes: list[int] = []
+        self.docs, self.sizes = array("q"), array("q")  # 16 bytes a document
 
     def write(self, out, doc_ids: list[int], ids: list[bytes]) -> None:
         import numpy as np
 
-        self.docs += doc_ids
-        self.sizes += [len(x) // 4 for x in ids]
+        self.docs.extend(doc_ids)
+        self.sizes.extend(len(x) // 4 for x in ids)
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         out.write(flat.astype(f"<u{self.id_bytes}").tobytes())
 
@@ -55,10 +57,10 @@ class PartWriter:
         import numpy as np
 
         offsets = np.zeros(len(self.sizes) + 1, dtype="<u8")
-        np.cumsum(self.sizes, out=offsets[1:])
+        np.cumsum(np.frombuffer(self.sizes, dtype=np.int64), out=offsets[1:])
         with files.writer(f"{self.uri}.idx") as f:
             f.write(struct.pack(HEADER, MAGIC, VERSION, self.id_bytes, len(self.docs)))
-            f.write(np.array(self.docs, dtype="<i8").tobytes())
+            f.write(np.frombuffer(self.docs, dtype=np.int64).astype("<i8").tobytes())
             f.write(offsets.tobytes())
         return int(offsets[-1])
 
@@ -76,9 +78,10 @@ def write_token_files(
     """Write ``docs`` under ``folder``; the manifest, a row for each part.
 
     Null ids come first and are written as the smallest integer; a null text has the end id only.
-    Rows with equal ids stand next to each other, in order of text. No rows: no parts.
+    Rows with equal ids stand next to each other, in order of their texts' hashes. No rows: no parts.
     """
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n = parts or parts_for(rows)
     id_bytes = 2 if max(vocabulary_size, end_id + 1) <= 1 << 16 else 4
     end = end_token(end_id)
 
@@ -105,8 +108,15 @@ def write_token_files(
                 ),
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
+    keyed = rows.withColumn("_hash", F.xxhash64("text"))
+    order = ["doc_id", "_hash", "text"]
+    return keyed.repartitionByRange(n, "doc_id", "_hash").sortWithinPartitions(*order).drop("_hash").mapInArrow(write, MANIFEST)
+
+
+def parts_for(rows: DataFrame) -> int:
+    """As many parts as there are shuffle partitions, or more where texts are over ``PART_BYTES`` for each."""
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // PART_BYTES))
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:

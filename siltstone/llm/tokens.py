@@ -3,7 +3,8 @@
 Both vocabularies' pre-tokenizers end a pre-token wherever white space starts, so a text's ids are
 those of its chunks put together (tests hold this against whole-text encoding). Chunks repeat far
 more than texts do; each worker keeps a bounded cache of their ids as little-endian unsigned
-32-bit bytes, so a document is one join of byte strings.
+32-bit bytes, so a document is one join of byte strings. A text that holds the string of an added
+token, such as an end-of-text mark, goes through the library as a whole and gets that token's id.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings of added tokens; the case they stand in does not matter for sending a text the long way.
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.chunks = re.compile(chunk_pattern).findall
         self.lower = chunk_pattern == WORD_LEVEL
         self.cache: dict[str, bytes] = {}
@@ -80,9 +82,13 @@ class ChunkEncoder:
             gc.enable()
 
     def _encode(self, texts: Iterable[str | None], end: bytes) -> list[bytes]:
-        if self.lower:  # the pipeline's own lower-casing does the rest
-            texts = [(t or "").encode().translate(ASCII_LOWER).decode() for t in texts]
-        parts = [self.chunks(text or "") for text in texts]
+        texts = [t or "" for t in texts]
+        lowered = [t.encode().translate(ASCII_LOWER).decode() for t in texts] if self.lower else texts
+        whole = [k for k, t in enumerate(lowered if self.lower else map(str.lower, texts)) if any(a in t for a in self.added)]
+        # in the word level the pipeline's own lower-casing does the rest
+        parts = [self.chunks(t) for t in lowered]
+        for k in whole:
+            parts[k] = []
         here = set().union(*parts)
         new = here.difference(self.cache)
         if len(self.cache) > CACHE_CHUNKS:  # what these texts use stays
@@ -91,6 +97,8 @@ class ChunkEncoder:
             self._add(list(some))
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) + end for p in parts]
+        for k in whole:
+            out[k] = array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes() + end
         for c in new:
             if len(c) > LONG_CHUNK:
                 del self.cache[c]
