@@ -1,18 +1,17 @@
-"""Lossless WebP (VP8L) in a RIFF container: a full decoder and two encoders.
+"""Lossless WebP (VP8L) in a RIFF container: a full decoder, and an encoder of any transforms.
 
 The decoder reads prefix codes, meta prefix codes, back-references and the colour cache, and
-inverts the predictor, cross-colour, subtract-green and palette transforms. Where an image has one
-group of prefix codes, no colour cache and every channel's codes of one length, each pixel has the
-same number of bits, and pixels are unpacked as arrays instead of one by one.
+inverts the predictor, cross-colour, subtract-green and palette transforms. Symbols are looked up
+by their next bits, a window of 64 bits a pixel. Predictor modes that need the row above only are
+inverted row by row as arrays, others pixel by pixel.
 
-``encode_flat`` writes such images from bytes, with as few bits a channel as its values need.
-``encode`` writes small images with any of the transforms, back-references, a colour cache and
-Huffman codes. Pixels are arrays of unsigned 32-bit ARGB.
+``encode`` writes small images with the transforms asked for, back-references, a colour cache and
+Huffman codes; ``webp_batch`` writes many images at once and picks transforms by itself. Pixels
+are arrays of unsigned 32-bit ARGB.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -44,13 +43,20 @@ class BitReader:
     def __init__(self, data: bytes):
         self.data, self.at, self.size = data, 0, 8 * len(data)
 
+    def peek(self, n: int) -> int:
+        """The next ``n`` bits; zeros after the end."""
+        first = self.at >> 3
+        return int.from_bytes(self.data[first : first + 5], "little") >> (self.at & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
-        if self.at + n > self.size:
-            raise ValueError("the image ends too early")
-        first, last = self.at >> 3, (self.at + n + 7) >> 3
-        value = int.from_bytes(self.data[first:last], "little") >> (self.at & 7)
+        value = self.peek(n)
         self.at += n
-        return value & ((1 << n) - 1)
+        self.check()
+        return value
+
+    def check(self) -> None:
+        if self.at > self.size:
+            raise ValueError("the image ends too early")
 
 
 class BitWriter:
@@ -66,75 +72,125 @@ class BitWriter:
         return np.unpackbits(raw, bitorder="little", count=self.n)
 
 
-def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Symbol to (code, length); of a lone symbol the length is 0."""
-    used = [s for s, n in enumerate(lengths) if n]
+MAX_LENGTH = 15
+
+
+@lru_cache
+def reversal(n: int) -> np.ndarray:
+    """Numbers of ``n`` bits with their bits in reverse."""
+    k = np.arange(1 << n, dtype=np.int64)
+    return sum(((k >> i) & 1) << (n - 1 - i) for i in range(n)) if n else k
+
+
+def canonical(lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols in order of their codes, code lengths, codes with the first bit lowest); a lone symbol's length is 0."""
+    lengths = np.asarray(lengths, dtype=np.int64)
+    used = np.flatnonzero(lengths)
     if len(used) == 1:
-        return {used[0]: (0, 0)}
-    codes, code, before = {}, 0, 0
-    for n, s in sorted((lengths[s], s) for s in used):
-        code <<= n - before
-        codes[s] = (code, n)
-        code, before = code + 1, n
-    return codes
+        return used, np.zeros(1, np.int64), np.zeros(1, np.int64)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[order]
+    room = np.left_shift(1, MAX_LENGTH - n)
+    first = np.cumsum(room) - room  # each code, filled up with zeros to MAX_LENGTH bits
+    return order, n, reversal(MAX_LENGTH)[first]
 
 
 class PrefixCode:
-    """Decodes symbols of one alphabet."""
+    """Decodes symbols of one alphabet by their next ``width`` bits: ``by_bits`` and ``sizes`` by these bits."""
 
-    def __init__(self, lengths: list[int]):
-        codes = canonical(lengths)
-        if not codes:
+    def __init__(self, lengths):
+        order, n, _ = canonical(lengths)
+        if not len(order):
             raise ValueError("a prefix code has no symbols")
-        if len(codes) > 1 and sum(2.0**-n for _, n in codes.values()) != 1:
-            raise ValueError("a prefix code is not complete")
-        self.symbols = {(n, code): s for s, (code, n) in codes.items()}
-        self.lone = next(iter(codes)) if len(codes) == 1 else None
-        spread = {n for _, n in codes.values()}
-        #: Bits of every code, where all have as many, and the symbols in order of their codes.
-        self.flat = spread.pop() if len(spread) == 1 else None
-        self.in_order = sorted(codes)
+        self.width = int(n[-1])
+        self.mask = (1 << self.width) - 1
+        if self.width == 0:
+            self.by_bits, self.sizes = order, [0]
+        else:
+            times, turn = np.left_shift(1, self.width - n), reversal(self.width)
+            if int(times.sum()) != 1 << self.width:
+                raise ValueError("a prefix code is not complete")
+            self.by_bits = order.repeat(times)[turn]
+            self.sizes = n.repeat(times)[turn].tolist()
+        self.symbols = self.by_bits.tolist()
 
     def read(self, bits: BitReader) -> int:
-        if self.lone is not None:
-            return self.lone
-        code = 0
-        for n in range(1, 16):
-            code = code << 1 | bits.read(1)
-            if (s := self.symbols.get((n, code))) is not None:
-                return s
-        raise ValueError("no symbol has these bits")
-
-
-def read_lengths(bits: BitReader, alphabet: int) -> list[int]:
-    lengths = [0] * alphabet
+        k = bits.peek(self.width)
+        bits.at += self.sizes[k]
+        return self.symbols[k]
+
+
+@lru_cache(maxsize=4096)
+def short_code(lengths: tuple[int, ...]) -> PrefixCode:
+    """The code of a few lengths; images share many of these."""
+    return PrefixCode(lengths)
+
+
+@lru_cache(maxsize=4096)
+def simple_code(*symbols: int) -> PrefixCode:
+    """The code of one or two symbols that are written out."""
+    return short_code(tuple(int(s in symbols) for s in range(max(symbols) + 1)))
+
+
+#: Codes that were read, by alphabet and first 64 bits: (bits, their mask, how many, the code).
+_known: dict[tuple[int, int], list[tuple[int, int, int, PrefixCode]]] = {}
+KNOWN_CODES = 1024
+LENGTHS_BYTES = 1024  # more than the lengths of any alphabet take
+
+
+def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
+    """A prefix code; one that was read before is known by its bits."""
+    start = bits.at
+    if not bits.peek(1):
+        first = start >> 3
+        ahead = int.from_bytes(bits.data[first : first + LENGTHS_BYTES], "little") >> (start & 7)
+        key = (alphabet, ahead & 0xFFFFFFFFFFFFFFFF)
+        for value, mask, n, code in _known.get(key, ()):
+            if ahead & mask == value and start + n <= bits.size:
+                bits.at += n
+                return code
+    code = _read_new_code(bits, alphabet)
+    n = bits.at - start
+    if n > 64 and alphabet > DISTANCE_CODES:
+        if len(_known) >= KNOWN_CODES:
+            _known.clear()
+        mask = (1 << n) - 1
+        _known.setdefault(key, []).append((ahead & mask, mask, n, code))
+    return code
+
+
+def _read_new_code(bits: BitReader, alphabet: int) -> PrefixCode:
     if bits.read(1):  # one or two symbols, written out
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return lengths
+        first = bits.read(8 if wide else 1)
+        return simple_code(first, bits.read(8)) if two else simple_code(first)
     of_lengths = [0] * 19
     for i in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         of_lengths[i] = bits.read(3)
-    code = PrefixCode(of_lengths)
+    code = short_code(tuple(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, before = 0, 8
-    while at < alphabet and left:
+    lengths: list[int] = []
+    before, first = 8, bits.at >> 3
+    ahead = int.from_bytes(bits.data[first : first + LENGTHS_BYTES + (left >> 3)], "little") >> (bits.at & 7)
+    symbols, sizes, mask = code.symbols, code.sizes, code.mask
+    while len(lengths) < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        k = ahead & mask
+        s, n = symbols[k], sizes[k]
+        ahead >>= n
         if s < 16:
-            lengths[at] = s
+            lengths.append(s)
             before = s or before
-            at += 1
-            continue
-        value, times = {16: (before, 3), 17: (0, 3), 18: (0, 11)}[s]
-        times += bits.read({16: 2, 17: 3, 18: 7}[s])
-        if at + times > alphabet:
-            raise ValueError("code lengths run over the alphabet")
-        lengths[at : at + times] = [value] * times
-        at += times
-    return lengths
+        else:
+            value, times, more = ((before, 3, 2), (0, 3, 3), (0, 11, 7))[s - 16]
+            lengths += [value] * (times + (ahead & ((1 << more) - 1)))
+            ahead >>= more
+            n += more
+        bits.at += n
+    bits.check()
+    if len(lengths) > alphabet:
+        raise ValueError("code lengths run over the alphabet")
+    return PrefixCode(lengths) if len(lengths) > 40 else short_code(tuple(lengths))
 
 
 def prefix_value(bits: BitReader, code: int) -> int:
@@ -152,87 +208,153 @@ def near_distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+@lru_cache(maxsize=64)
+def near_codes(width: int) -> dict[int, int]:
+    """The smallest code of each near distance."""
+    return {near_distance(c, width): c for c in range(len(NEAR), 0, -1)}
+
+
 def blocks(side: int, bits: int) -> int:
     return (side + (1 << bits) - 1) >> bits
 
 
-def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image; only the main one may have several groups of codes."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    if cache_bits > 11:
-        raise ValueError("the colour cache is too large")
-    groups, meta, meta_bits = 1, None, 0
-    if main and bits.read(1):
-        meta_bits = bits.read(3) + 2
-        across = blocks(width, meta_bits)
-        meta = (read_image(bits, across, blocks(height, meta_bits), False) >> 8) & 0xFFFF
-        groups = int(meta.max()) + 1
-    green = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
-    codes = [
-        [PrefixCode(read_lengths(bits, n)) for n in (green, 256, 256, 256, DISTANCE_CODES)] for _ in range(groups)
-    ]
-    flat = [c.flat for c in codes[0][:4]]
-    if groups == 1 and not cache_bits and None not in flat and max(codes[0][0].in_order) < 256:
-        return _unpack(bits, codes[0], width * height)
-    out = np.zeros(width * height, dtype=np.uint32)
-    cache = [0] * (1 << cache_bits) if cache_bits else None
-    pixels, at = out.tolist(), 0
-    while at < len(pixels):
-        group = 0
-        if meta is not None:
-            group = int(meta[(at // width >> meta_bits) * across + (at % width >> meta_bits)])
-        code = codes[group]
-        s = code[0].read(bits)
-        start = at
-        if s < 256:
-            red, blue, alpha = (code[i].read(bits) for i in (1, 2, 3))
-            pixels[at] = alpha << 24 | red << 16 | s << 8 | blue
-            at += 1
-        elif s < 256 + LENGTH_CODES:
-            length = prefix_value(bits, s - 256)
-            distance = near_distance(prefix_value(bits, code[4].read(bits)), width)
-            if distance > at or at + length > len(pixels):
-                raise ValueError("a back-reference leaves the image")
-            for _ in range(length):
-                pixels[at] = pixels[at - distance]
+class Coded:
+    """An entropy-coded image up to its first pixel: its codes by group, and which block has which group."""
+
+    def __init__(self, bits: BitReader, width: int, height: int, main: bool):
+        self.bits, self.width, self.height = bits, width, height
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        if self.cache_bits > 11:
+            raise ValueError("the colour cache is too large")
+        groups, self.meta = 1, None
+        if main and bits.read(1):  # only the main image may have several groups of codes
+            self.meta_bits = bits.read(3) + 2
+            across = blocks(width, self.meta_bits)
+            self.meta = (read_image(bits, across, blocks(height, self.meta_bits), False) >> 8) & 0xFFFF
+            groups = int(self.meta.max()) + 1
+        green = 256 + LENGTH_CODES + (1 << self.cache_bits if self.cache_bits else 0)
+        self.codes = [[read_code(bits, n) for n in (green, 256, 256, 256, DISTANCE_CODES)] for _ in range(groups)]
+
+    def pixels(self) -> np.ndarray:
+        n = self.width * self.height
+        if self.meta is None:
+            lone = [c.symbols[0] for c in self.codes[0][:4] if c.width == 0]
+            if len(lone) == 4 and lone[0] < 256:  # one colour takes no bits
+                return np.full(n, lone[3] << 24 | lone[1] << 16 | lone[0] << 8 | lone[2], dtype=np.uint32)
+            cache = [0] * (1 << self.cache_bits)
+            return np.array(read_pixels(self.bits, self.codes[0], self.width, n, self.cache_bits, cache, []), dtype=np.uint32)
+        return self._by_block(n)
+
+    def _by_block(self, n: int) -> np.ndarray:
+        bits, width, cache_bits, across = self.bits, self.width, self.cache_bits, blocks(self.width, self.meta_bits)
+        cache = [0] * (1 << cache_bits) if cache_bits else None
+        pixels, at = [0] * n, 0
+        while at < n:
+            code = self.codes[int(self.meta[(at // width >> self.meta_bits) * across + (at % width >> self.meta_bits)])]
+            s = code[0].read(bits)
+            start = at
+            if s < 256:
+                red, blue, alpha = (code[i].read(bits) for i in (1, 2, 3))
+                pixels[at] = alpha << 24 | red << 16 | s << 8 | blue
                 at += 1
-        else:
-            if cache is None:
-                raise ValueError("no colour cache")
-            pixels[at] = cache[s - 256 - LENGTH_CODES]
-            at += 1
-        if cache is not None:
-            for p in pixels[start:at]:
-                cache[(p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-    return np.array(pixels, dtype=np.uint32)
+            elif s < 256 + LENGTH_CODES:
+                length = prefix_value(bits, s - 256)
+                distance = near_distance(prefix_value(bits, code[4].read(bits)), width)
+                if distance > at or at + length > n:
+                    raise ValueError("a back-reference leaves the image")
+                for _ in range(length):
+                    pixels[at] = pixels[at - distance]
+                    at += 1
+            else:
+                if cache is None:
+                    raise ValueError("no colour cache")
+                pixels[at] = cache[s - 256 - LENGTH_CODES]
+                at += 1
+            bits.check()
+            if cache is not None:
+                for p in pixels[start:at]:
+                    cache[(p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+        return np.array(pixels, dtype=np.uint32)
+
+
+def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
+    return Coded(bits, width, height, main).pixels()
 
 
-UNPACK_PIXELS = 1 << 18
+WINDOW_BYTES = 1 << 16
 
 
-def _unpack(bits: BitReader, codes: list[PrefixCode], n: int) -> np.ndarray:
-    """Pixels whose codes all have the same lengths, as arrays; see the module's text."""
-    sizes = [c.flat or 0 for c in codes[:4]]
-    wide = sum(sizes)
-    if bits.at + n * wide > bits.size:
-        raise ValueError("the image ends too early")
+def read_pixels(
+    bits: BitReader, codes: list[PrefixCode], width: int, n: int, cache_bits: int, cache: list[int], out: list[int]
+) -> list[int]:
+    """``out`` and the pixels after it up to ``n``, of one group of codes; a window of 64 bits holds one pixel's symbols."""
+    green, red, blue, alpha, far = codes
+    green_symbols, green_sizes, green_mask = green.symbols, green.sizes, green.mask
+    red_values, red_sizes, red_mask = (red.by_bits << 16).tolist(), red.sizes, red.mask
+    blue_values, blue_sizes, blue_mask = blue.symbols, blue.sizes, blue.mask
+    alpha_values, alpha_sizes, alpha_mask = (alpha.by_bits << 24).tolist(), alpha.sizes, alpha.mask
+    opaque = alpha_values[0] if alpha.width == 0 else None
+    turn, add = 32 - cache_bits, out.append
     raw = np.frombuffer(bits.data, dtype=np.uint8)
-    out = np.empty(n, dtype=np.uint32)
-    for a in range(0, n, UNPACK_PIXELS):
-        b = min(n, a + UNPACK_PIXELS)
-        start, stop = bits.at + a * wide, bits.at + b * wide
-        some = np.unpackbits(raw[start >> 3 : (stop + 7) >> 3], bitorder="little")
-        rows = some[start & 7 : (start & 7) + stop - start].reshape(b - a, wide)
-        value = np.zeros(b - a, dtype=np.uint32)
-        at = 0
-        for code, size, shift in zip(codes, sizes, (8, 16, 0, 24), strict=False):
-            index = np.zeros(b - a, dtype=np.uint32)
-            for k in range(size):
-                index = index << 1 | rows[:, at + k]
-            at += size
-            value |= np.array(code.in_order, dtype=np.uint32)[index] << np.uint32(shift)
-        out[a:b] = value
-    bits.at += n * wide
+    at, size, left = bits.at, bits.size, n - len(out)
+    base, upto, windows = 0, -1, []
+    while left > 0:
+        k = at >> 3
+        if k >= upto:
+            if at > size:
+                raise ValueError("the image ends too early")
+            base, upto = k, k + WINDOW_BYTES
+            some = np.zeros(min(WINDOW_BYTES, len(raw) - k + 1) + 8, dtype=np.uint8)
+            part = raw[k : k + len(some)]
+            some[: len(part)] = part
+            windows = np.lib.stride_tricks.sliding_window_view(some, 8).copy().view("<u8")[:, 0].tolist()
+            upto = base + len(windows)
+        window = windows[k - base] >> (at & 7)
+        k = window & green_mask
+        s, took = green_symbols[k], green_sizes[k]
+        if s < 256:
+            window >>= took
+            i = window & red_mask
+            took += (more := red_sizes[i])
+            window >>= more
+            j = window & blue_mask
+            if opaque is None:
+                window >>= blue_sizes[j]
+                k = window & alpha_mask
+                p = alpha_values[k] | red_values[i] | s << 8 | blue_values[j]
+                at += took + blue_sizes[j] + alpha_sizes[k]
+            else:
+                p = opaque | red_values[i] | s << 8 | blue_values[j]
+                at += took + blue_sizes[j]
+            add(p)
+            left -= 1
+            if cache_bits:
+                cache[(p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> turn] = p
+        elif s >= 256 + LENGTH_CODES:
+            if not cache_bits:
+                raise ValueError("no colour cache")
+            add(cache[s - 256 - LENGTH_CODES])
+            left -= 1
+            at += took
+        else:
+            bits.at = at + took
+            length = prefix_value(bits, s - 256)
+            distance = near_distance(prefix_value(bits, far.read(bits)), width)
+            at = bits.at
+            if distance > len(out) or length > left:
+                raise ValueError("a back-reference leaves the image")
+            start = len(out) - distance
+            if distance >= length:
+                copied = out[start : start + length]
+            else:
+                copied = (out[start:] * (length // distance + 1))[:length]
+            out += copied
+            left -= length
+            if cache_bits:
+                for p in copied:
+                    cache[(p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> turn] = p
+    bits.at = at
+    bits.check()
     return out
 
 
@@ -295,7 +417,49 @@ def _neighbours(done: list, at: int, width: int, mode: int):
     return predict(mode, done[at - 1], done[at - width], done[at - width - 1], done[at - width + 1])
 
 
+#: Modes that need the row above only: black, top, top right, top left, and means of two of these.
+ROW_MODES = (0, 2, 3, 4, 8, 9)
+
+
+def from_above(mode: int, top_left, top, top_right):
+    """What one of ``ROW_MODES`` predicts, from arrays of unsigned bytes."""
+    mean = lambda p, q: (p & q) + ((p ^ q) >> 1)
+    if mode == 2:
+        return top
+    if mode == 3:
+        return top_right
+    if mode == 4:
+        return top_left
+    return mean(top_left, top) if mode == 8 else mean(top, top_right)
+
+
+def _invert_rows(argb: np.ndarray, width: int, kinds: np.ndarray, bits: int) -> np.ndarray:
+    """Inverts ``ROW_MODES``, a row at a time; bytes wrap around as the format asks."""
+    done = argb.astype("<u4").view(np.uint8).reshape(-1, width, 4).copy()  # blue, green, red, alpha
+    done[0, 0, 3] = (int(done[0, 0, 3]) + 255) & 255
+    np.cumsum(done[0], axis=0, dtype=np.uint8, out=done[0])
+    near = np.empty((width + 2, 4), dtype=np.uint8)  # the row above, one place later
+    for y in range(1, len(done)):
+        here, above = done[y], done[y - 1]
+        here[0] += above[0]
+        near[1:-1] = above
+        near[-1] = here[0]  # right of the last column stands the first pixel of the row itself
+        if y & ((1 << bits) - 1) == 0 or y == 1:  # blocks that lie side by side and have one mode, as one
+            row = kinds[y >> bits].tolist()
+            cuts = [k for k in range(len(row)) if not k or row[k] != row[k - 1]]
+            spans = [(row[k], max(1, k << bits), min(width, j << bits)) for k, j in zip(cuts, [*cuts[1:], len(row)], strict=True)]
+        for mode, a, b in spans:
+            if mode == 0:
+                here[a:b, 3] += 255
+            elif a < b:
+                here[a:b] += from_above(mode, near[a:b], near[a + 1 : b + 1], near[a + 2 : b + 2])
+    return done.reshape(-1).view("<u4").astype(np.uint32)
+
+
 def invert_predictor(argb: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
+    numbers = (modes >> 8) & 15
+    if np.isin(numbers, ROW_MODES).all():
+        return _invert_rows(argb, width, numbers.reshape(-1, blocks(width, bits)), bits)
     rest, across = channels(argb).tolist(), blocks(width, bits)
     kinds = ((modes >> 8) & 15).tolist()
     done: list = []
@@ -318,6 +482,8 @@ def apply_predictor(argb: np.ndarray, width: int, modes: np.ndarray, bits: int)
 
 def cross_colour(argb: np.ndarray, width: int, elements: np.ndarray, bits: int, sign: int) -> np.ndarray:
     """Add (sign 1) or take away (-1) what the block's element makes of green and red."""
+    if not (elements & 0xFFFFFF).any():
+        return argb
     c = channels(argb)
     at = np.arange(len(argb))
     e = channels(elements)[(at // width >> bits) * blocks(width, bits) + (at % width >> bits)]
@@ -355,52 +521,60 @@ def unbundle(argb: np.ndarray, width: int, height: int, palette: np.ndarray) ->
     return full[green.reshape(-1)]
 
 
+class Opened:
+    """A lossless WebP file read up to the first pixel of its main image."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+            raise ValueError("no WebP file")
+        at = 12
+        while at + 8 <= len(data) and data[at : at + 4] != b"VP8L":
+            size = int.from_bytes(data[at + 4 : at + 8], "little")
+            at += 8 + size + (size & 1)
+        if data[at : at + 4] != b"VP8L":
+            raise ValueError("no lossless image in the file")
+        bits = BitReader(data[at + 8 : at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")])
+        if bits.read(8) != SIGNATURE:
+            raise ValueError("no lossless image")
+        self.width, self.height = bits.read(14) + 1, bits.read(14) + 1
+        bits.read(1)  # whether alpha is used is only a hint
+        if bits.read(3):
+            raise ValueError("unknown version")
+        self.transforms: list[tuple[int, int, np.ndarray | None, int]] = []  # kind, width, its own image, block size
+        wide = self.width
+        while bits.read(1):
+            kind, table, size = bits.read(2), None, 0
+            if kind in (t[0] for t in self.transforms):
+                raise ValueError("a transform comes twice")
+            if kind in (PREDICTOR, CROSS_COLOUR):
+                size = bits.read(3) + 2
+                table = read_image(bits, blocks(wide, size), blocks(self.height, size), False)
+            elif kind == PALETTE:
+                steps = channels(read_image(bits, bits.read(8) + 1, 1, False))
+                table = joined(np.cumsum(steps, axis=0))
+            self.transforms.append((kind, wide, table, size))
+            if kind == PALETTE:
+                wide = blocks(wide, palette_bits(len(table)))
+        self.coded = Coded(bits, wide, self.height, True)
+
+    def inverted(self, pixels: np.ndarray) -> np.ndarray:
+        """The image's pixels from those of its main entropy-coded image."""
+        for kind, wide, table, size in reversed(self.transforms):
+            if kind == PREDICTOR:
+                pixels = invert_predictor(pixels, wide, table, size)
+            elif kind == CROSS_COLOUR:
+                pixels = cross_colour(pixels, wide, table, size, 1)
+            elif kind == SUBTRACT_GREEN:
+                pixels = shift_green(pixels, 1)
+            else:
+                pixels = unbundle(pixels, wide, self.height, table)
+        return pixels
+
+
 def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     """(width, height, pixels row by row) of a lossless WebP file."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
-        raise ValueError("no WebP file")
-    at = 12
-    while at + 8 <= len(data) and data[at : at + 4] != b"VP8L":
-        size = int.from_bytes(data[at + 4 : at + 8], "little")
-        at += 8 + size + (size & 1)
-    if data[at : at + 4] != b"VP8L":
-        raise ValueError("no lossless image in the file")
-    body = data[at + 8 : at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")]
-    bits = BitReader(body)
-    if bits.read(8) != SIGNATURE:
-        raise ValueError("no lossless image")
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(1)  # whether alpha is used is only a hint
-    if bits.read(3):
-        raise ValueError("unknown version")
-    undo, coded_width, seen = [], width, set()
-    while bits.read(1):
-        kind = bits.read(2)
-        if kind in seen:
-            raise ValueError("a transform comes twice")
-        seen.add(kind)
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            size = bits.read(3) + 2
-            table = read_image(bits, blocks(coded_width, size), blocks(height, size), False)
-            undo.append((kind, coded_width, table, size))
-        elif kind == PALETTE:
-            size = bits.read(8) + 1
-            steps = channels(read_image(bits, size, 1, False))
-            undo.append((kind, coded_width, joined(np.cumsum(steps, axis=0)), 0))
-            coded_width = blocks(coded_width, palette_bits(size))
-        else:
-            undo.append((kind, coded_width, None, 0))
-    pixels = read_image(bits, coded_width, height, True)
-    for kind, wide, table, size in reversed(undo):
-        if kind == PREDICTOR:
-            pixels = invert_predictor(pixels, wide, table, size)
-        elif kind == CROSS_COLOUR:
-            pixels = cross_colour(pixels, wide, table, size, 1)
-        elif kind == SUBTRACT_GREEN:
-            pixels = shift_green(pixels, 1)
-        else:
-            pixels = unbundle(pixels, wide, height, table)
-    return width, height, pixels
+    opened = Opened(data)
+    return opened.width, opened.height, opened.inverted(opened.coded.pixels())
 
 
 def riff(bits: np.ndarray) -> bytes:
@@ -419,112 +593,140 @@ def write_head(out: BitWriter, width: int, height: int) -> None:
     out.write(0, 4)  # no alpha, version 0
 
 
-def write_lengths(out: BitWriter, lengths: list[int]) -> None:
-    """A prefix code by its lengths, each written by itself."""
+def write_lengths(out: BitWriter, lengths) -> None:
+    """A prefix code by its lengths: one or two symbols as they are, else with runs of equal lengths."""
     used = [s for s, n in enumerate(lengths) if n]
-    if len(used) == 1 and used[0] < 256:
-        out.write(1, 1)
-        out.write(0, 1)
-        out.write(1, 1)
-        out.write(used[0], 8)
+    if len(used) <= 2 and used[-1] < 256:
+        write_simple(out, *used)
         return
-    upto = used[-1] + 1
-    written = lengths[:upto] if upto >= 2 else lengths[:2]
-    counts = np.bincount(written, minlength=19)
-    of_lengths = huffman_lengths(counts.tolist(), 7)
-    out.write(0, 1)
-    out.write(15, 4)  # all nineteen
-    for i in CODE_LENGTH_ORDER:
+    written = np.array(lengths[: max(2, used[-1] + 1)])
+    steps: list[tuple[int, int, int]] = []  # symbol, extra bits' value, how many
+    ends = [*np.flatnonzero(np.diff(written)).tolist(), len(written) - 1]
+    at = 0
+    for end in ends:
+        n, times = int(written[at]), end + 1 - at
+        at = end + 1
+        if n:
+            steps.append((n, 0, 0))
+            times -= 1
+            while times >= 3:
+                some = min(times, 6)
+                steps.append((16, some - 3, 2))
+                times -= some
+        else:
+            while times >= 11:
+                some = min(times, 138)
+                steps.append((18, some - 11, 7))
+                times -= some
+            if times >= 3:
+                steps.append((17, times - 3, 3))
+                times = 0
+        steps += [(n, 0, 0)] * times
+    counts = [0] * 19
+    for symbol, _, _ in steps:
+        counts[symbol] += 1
+    of_lengths = huffman_lengths(counts, 7)
+    upto = max(4, 1 + max(i for i, k in enumerate(CODE_LENGTH_ORDER) if of_lengths[k]))
+    out.write((upto - 4) << 1, 5)
+    for i in CODE_LENGTH_ORDER[:upto]:
         out.write(of_lengths[i], 3)
-    if len(written) == len(lengths):
+    if len(steps) == len(lengths):
         out.write(0, 1)
     else:
         out.write(1, 1)
-        size = max(2, (len(written) - 2).bit_length())
+        size = max(2, (len(steps) - 2).bit_length())
         size += size & 1
         out.write((size - 2) // 2, 3)
-        out.write(len(written) - 2, size)
-    codes = canonical(of_lengths)
-    for n in written:
-        write_symbol(out, codes, n)
+        out.write(len(steps) - 2, size)
+    codes = codes_of(tuple(of_lengths))
+    bits = n_bits = 0
+    for symbol, extra, n in steps:
+        code, size = codes[symbol]
+        bits |= (code | extra << size) << n_bits
+        n_bits += size + n
+    out.write(bits, n_bits)
+
+
+def write_simple(out: BitWriter, first: int, second: int | None = None) -> None:
+    """A prefix code of one or two symbols under 256, in order."""
+    out.write(1 | (second is not None) << 1 | 1 << 2 | first << 3, 11)
+    if second is not None:
+        out.write(second, 8)
+
+
+@lru_cache(maxsize=4096)
+def codes_of(lengths: tuple[int, ...]) -> dict[int, tuple[int, int]]:
+    """Symbol to (code with the first bit lowest, its length)."""
+    order, n, codes = canonical(lengths)
+    return dict(zip(order.tolist(), zip(codes.tolist(), n.tolist(), strict=True), strict=True))
+
+
+def write_plain(out: BitWriter, argb: np.ndarray) -> None:
+    """A small entropy-coded image, such as a transform's own: no cache, no references."""
+    out.write(0, 1)
+    columns = [[p >> shift & 255 for p in argb.tolist()] for shift in (8, 16, 0, 24)]
+    coded: list[list[tuple[int, int]]] = []
+    for column in columns:
+        kinds = sorted(set(column))
+        if len(kinds) <= 2:
+            write_simple(out, *kinds)
+            if len(kinds) == 2:
+                coded.append([(int(v == kinds[1]), 1) for v in column])
+            continue
+        counts = [0] * 256
+        for v in column:
+            counts[v] += 1
+        lengths = huffman_lengths(counts)
+        write_lengths(out, lengths)
+        codes = codes_of(tuple(lengths))
+        coded.append([codes[v] for v in column])
+    write_simple(out, 0)  # a distance code that nothing uses
+    bits = n_bits = 0
+    for pixel in zip(*coded, strict=True):
+        for code, n in pixel:
+            bits |= code << n_bits
+            n_bits += n
+    out.write(bits, n_bits)
 
 
 def write_symbol(out: BitWriter, codes: dict[int, tuple[int, int]], s: int) -> None:
-    code, n = codes[s]
-    if n:
-        out.write(int(f"{code:0{n}b}"[::-1], 2), n)
+    out.write(*codes[s])
 
 
-def huffman_lengths(counts: list[int], limit: int = 15) -> list[int]:
+def huffman_lengths(counts: list[int], limit: int = MAX_LENGTH) -> list[int]:
     """Lengths of a Huffman code, no longer than ``limit``: rare symbols are counted up until it fits."""
     lengths = [0] * len(counts)
-    used = [s for s, c in enumerate(counts) if c]
+    used = sorted((c, s) for s, c in enumerate(counts) if c)
     if len(used) < 2:
-        for s in used or [0]:
-            lengths[s] = 1
+        lengths[used[0][1] if used else 0] = 1
         return lengths
-    least = 1
+    m, least = len(used), 1
     while True:
-        heap = [(max(counts[s], least), k, [s]) for k, s in enumerate(used)]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        k = len(heap)
-        while len(heap) > 1:
-            a, _, xs = heapq.heappop(heap)
-            b, _, ys = heapq.heappop(heap)
-            for s in xs + ys:
-                depth[s] += 1
-            heapq.heappush(heap, (a + b, k, xs + ys))
-            k += 1
-        if max(depth.values()) <= limit:
+        # leaves by count, then inner nodes in the order they are made, which is also by count
+        weight = [max(c, least) for c, _ in used]
+        parent = [0] * (2 * m - 1)
+        leaf, inner = 0, m
+        for node in range(m, 2 * m - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < m and (inner >= node or weight[leaf] <= weight[inner]):
+                    k, leaf = leaf, leaf + 1
+                else:
+                    k, inner = inner, inner + 1
+                parent[k] = node
+                total += weight[k]
+            weight.append(total)
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:m]) <= limit:
             break
         least *= 2
-    for s, n in depth.items():
+    for (_, s), n in zip(used, depth, strict=False):
         lengths[s] = n
     return lengths
 
 
-@lru_cache(maxsize=4096)
-def flat_code(used: bytes) -> tuple[int, int, int, np.ndarray]:
-    """(bits a value, the code's own bits as a number, how many, table of code bits by value).
-
-    ``used`` has the values in order; others fill up to a power of two, so that the code is complete.
-    """
-    size = (len(used) - 1).bit_length()
-    values = set(used)
-    filler = (v for v in range(256) if v not in values)
-    while len(values) < 1 << size:
-        values.add(next(filler))
-    lengths = [0] * (256 + LENGTH_CODES)  # longer than what is used, so that the count is written out
-    for v in values:
-        lengths[v] = max(size, 1)
-    out = BitWriter()
-    write_lengths(out, lengths)
-    index = np.zeros(256, dtype=np.uint8)
-    index[sorted(values)] = np.arange(len(values))
-    return size, out.value, out.n, (index[:, None] >> np.arange(size - 1, -1, -1) & 1).astype(np.uint8)
-
-
-def encode_flat(rgb: bytes, width: int, height: int) -> bytes:
-    """A file of ``width`` x ``height`` opaque pixels from their red, green and blue bytes."""
-    samples = np.frombuffer(rgb, dtype=np.uint8).reshape(width * height, 3)
-    out = BitWriter()
-    write_head(out, width, height)
-    out.write(0, 3)  # no transform, no colour cache, one group of codes
-    tables = []
-    for channel in (1, 0, 2):  # green, red, blue
-        used = np.flatnonzero(np.bincount(samples[:, channel], minlength=256)).astype(np.uint8).tobytes()
-        _, own, n, table = flat_code(used)
-        out.write(own, n)
-        tables.append((channel, table))
-    for lone in (255, 0):  # alpha, and a distance code that nothing uses
-        lengths = [0] * 256
-        lengths[lone] = 1
-        write_lengths(out, lengths)
-    pixels = np.concatenate([table[samples[:, channel]] for channel, table in tables], axis=1)
-    return riff(np.concatenate([out.bits(), pixels.reshape(-1)]))
-
-
 def prefix_symbol(value: int) -> tuple[int, int, int]:
     """(symbol, extra bits' value, how many) of a length or distance code."""
     v = value - 1
@@ -540,7 +742,7 @@ def write_image(out: BitWriter, argb: np.ndarray, width: int, main: bool, cache_
     steps: list[tuple] = []
     cache = [None] * (1 << cache_bits) if cache_bits else None
     last: dict[tuple[int, int, int], int] = {}
-    near = {near_distance(c, width): c for c in range(len(NEAR), 0, -1)}
+    near = near_codes(width) if references else {}
     at = 0
     while at < len(pixels):
         start, key = at, tuple(pixels[at : at + 3])
@@ -583,7 +785,7 @@ def write_image(out: BitWriter, argb: np.ndarray, width: int, main: bool, cache_
     for c in counts:
         lengths = huffman_lengths(c)
         write_lengths(out, lengths)
-        codes.append(canonical(lengths))
+        codes.append(codes_of(tuple(lengths)))
     for kind, *what in steps:
         if kind == "pixel":
             for k, shift in enumerate((8, 16, 0, 24)):

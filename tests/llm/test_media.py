@@ -5,12 +5,13 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from siltstone.llm import webp
-from siltstone.llm.media import from_image, media_features, payload, store_media, to_image
+from siltstone.llm import media, webp, webp_batch
+from siltstone.llm.media import from_media, media_features, payload, split_files, store_media, to_media
 
 #: A one-pixel lossless file as published for feature detection.
 ONE_PIXEL = "UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="
@@ -72,7 +73,7 @@ def test_meta_codes_and_repeated_lengths():
         for i in webp.CODE_LENGTH_ORDER:
             out.write(lengths[i], 3)
         out.write(0, 1)
-        codes = webp.canonical(lengths)
+        codes = webp.codes_of(tuple(lengths))
         for s, extra, n in symbol_runs:
             webp.write_symbol(out, codes, s)
             out.write(extra, n)
@@ -99,27 +100,103 @@ def test_meta_codes_and_repeated_lengths():
     assert webp.decode(webp.riff(out.bits()))[2].tolist() == want
 
 
-@pytest.mark.parametrize("kinds", [1, 2, 3, 128, 129, 256])
-def test_flat_files_of_any_bytes(kinds):
-    rgb = np.random.default_rng(kinds).integers(256 - kinds, 256, size=64 * 30 * 3).astype(np.uint8).tobytes()
-    width, height, pixels = webp.decode(webp.encode_flat(rgb, 64, 30))
-    assert (width, height) == (64, 30)
-    assert np.stack([(pixels >> s).astype(np.uint8) for s in (16, 8, 0)], axis=1).tobytes() == rgb
-    assert (pixels >> 24 == 255).all()
+def row_payloads(seed):
+    """Rows of 64 pixels that repeat, change a little, follow a gradient, or hold any bytes."""
+    rng = np.random.default_rng(seed)
+    row = rng.integers(0, 256, 192, dtype=np.uint8)
+    grey = np.repeat(rng.integers(0, 256, 640, dtype=np.uint8), 3)
+    return [
+        bytes(192),
+        row.tobytes() * 70,
+        np.stack([np.roll(row, 3 * k) + np.uint8(k) for k in range(40)]).tobytes(),
+        (np.arange(192 * 33, dtype=np.uint32) // 7).astype(np.uint8).tobytes(),
+        rng.integers(0, 256, 192 * 50, dtype=np.uint8).tobytes(),
+        (grey + np.tile(np.array([0, 9, 30], np.uint8), 640)).tobytes(),
+        payload("the same words again and again, " * 400)[1],
+        payload("".join(chr(c) for c in rng.integers(32, 0x3000, 4000)))[1],
+    ]
+
+
+def test_many_images_at_once():
+    payloads = [p for seed in range(8) for p in row_payloads(seed)]
+    files = webp_batch.encode_rows(payloads, 64)
+    assert [webp_batch.encode_rows([p], 64)[0] for p in payloads] == files  # whatever stands beside
+    for k, (width, height, pixels) in enumerate(webp_batch.decode_many(files)):
+        assert (width, height) == (64, len(payloads[k]) // 192)
+        assert (pixels >> 24 == 255).all()
+        assert np.stack([(pixels >> s).astype(np.uint8) for s in (16, 8, 0)], axis=1).tobytes() == payloads[k]
+        assert (webp.decode(files[k])[2] == pixels).all()  # alone as well
+    assert webp_batch.encode_rows([], 64) == [] and webp_batch.decode_many([]) == []
+
+
+def test_damage_raises_among_many():
+    files = webp_batch.encode_rows([p for seed in range(5) for p in row_payloads(seed)], 64)
+    cut = max(files, key=len)
+    short = webp.riff(np.unpackbits(np.frombuffer(cut[20 : len(cut) // 2], np.uint8), bitorder="little"))
+    with pytest.raises(ValueError, match="too early|leaves"):
+        webp_batch.decode_many([*files, short])
+
+
+def test_codes_of_the_family_are_complete_and_hold_every_value():
+    for lengths, _, _ in webp_batch.code_family():
+        assert (lengths > 0).all() and lengths.max() <= webp_batch.CODE_LIMIT
+        assert ((2.0**-lengths).sum(axis=1) == 1).all()
+
+
+def uses(files):
+    """What the files use: transforms that change something, cached pixels, back-references."""
+    found = Counter()
+    for f in files:
+        opened = webp.Opened(f)
+        for kind, _, table, _ in opened.transforms:
+            modes = set(((table >> 8) & 15).tolist()) if kind == webp.PREDICTOR else set()
+            found["predictor"] += bool(modes - {0})
+            found["cross-colour"] += kind == webp.CROSS_COLOUR and bool((table & 0xFFFFFF).any())
+            found["palette"] += kind == webp.PALETTE
+        green, far = opened.coded.codes[0][0], opened.coded.codes[0][4]
+        seen = Counter()
+        read = green.by_bits.tolist()
+        green.symbols = Seen(read, seen)
+        try:
+            opened.coded.pixels()
+        finally:
+            green.symbols = read
+        found["cache"] += any(s >= 256 + webp.LENGTH_CODES for s in seen)
+        found["references"] += any(256 <= s < 256 + webp.LENGTH_CODES for s in seen) and far is not None
+        found["files"] += 1
+    return found
+
+
+class Seen(list):
+    def __init__(self, values, seen):
+        super().__init__(values)
+        self.seen = seen
+
+    def __getitem__(self, k):
+        s = super().__getitem__(k)
+        self.seen[s] += 1
+        return s
+
+
+def test_files_of_the_query_carry_every_part_of_the_format(spark):
+    stored = store_media(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = uses([f for r in stored.select("media").collect() for f in split_files(bytes(r.media))])
+    assert found["files"] >= 1000
+    for part in ("predictor", "cross-colour", "palette", "cache", "references"):
+        assert found[part] > 0, found
 
 
 def test_damage_raises():
-    good = to_image(payload("some text " * 40)[1])
-    for bad in (b"", good[:20], good[:-40], b"RIFF" + good[4:12] + b"VP8 " + good[16:]):
+    good = to_media([payload("some text " * 40)[1]])[0]
+    for bad in (good[:20], good[:-40], b"RIFF" + good[4:12] + b"VP8 " + good[16:]):
         with pytest.raises(ValueError):
-            webp.decode(bad)
+            from_media([bad])
 
 
 TEXTS = [None, "", "a", "x" * 192, "y" * 193, "Ünï 🙂\n" * 50, "".join(map(chr, range(1, 700))), "the end " * 60_000]
 
 
-def test_media_columns(spark, monkeypatch):
-    monkeypatch.setattr(webp, "UNPACK_PIXELS", 1000)
+def test_media_columns(spark):
     rng = random.Random(1)
     rows = [(i if i else None, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3])]
     rows += [(100 + i, "".join(rng.choices("abc déf.\n", k=rng.randint(0, 3000)))) for i in range(50)]
@@ -138,8 +215,12 @@ def test_media_columns(spark, monkeypatch):
     assert media_features(store_media(docs.limit(0))).count() == 0
 
 
-def test_more_rows_than_an_image_is_high():
-    n, data = payload("z" * (192 * 16_390 - 5))
-    media = to_image(data)
-    width, height, _, back = from_image(media, n)
-    assert width == 128 and height <= 16_384 and back == data
+def test_long_payloads_are_stored_as_several_files():
+    rng = random.Random(2)
+    n, data = payload("".join(rng.choices("abc def\n", k=192 * 600 - 5)))
+    stored = to_media([payload("before")[1], data, payload("after")[1]])
+    assert [len(split_files(m)) for m in stored] == [1, 3, 1]
+    found = from_media(stored)
+    assert [x[2].tobytes() for x in found] == [payload("before")[1], data, payload("after")[1]]
+    assert found[1][:2] == (64, 600) and stored[1] == to_media([data])[0]
+    assert list(media.slices([5, 5, 20, 1], 10)) == [(0, 2), (2, 3), (3, 4)] and list(media.slices([], 10)) == []
