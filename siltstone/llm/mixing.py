@@ -104,7 +104,8 @@ def mix_sources(
     gives none. Columns of ``docs`` named like the new ones are replaced, the others pass through.
 
     The prefix of a leaf comes from a histogram over the order key, so that no task sorts a leaf:
-    only the rows of the one bucket where the prefix ends are put in order.
+    only the rows of the one bucket where the prefix ends are put in order. All of this works on
+    ids, levels and counts, written once; the rows themselves are read twice, first and last.
     """
     spark, names = docs.sparkSession, list(levels)
     if clash := RESERVED.intersection(names):
@@ -114,7 +115,9 @@ def mix_sources(
     # the rows travel as one column, so that none of theirs can clash with the plan's
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in made.items()], F.col(id_col).alias("_id"))
     scratch = Scratch(spark, "mix")
-    leaves = scratch.table(keyed.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    # everything but the last step needs no more of a row than this
+    light = scratch.table(keyed.drop("row"), "counts")
+    leaves = scratch.table(light.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = leaf_budgets(leaves, names, weights, total * percent // 100, max_epochs, default_weight)
     plan = plan.withColumn("whole", F.expr("CASE WHEN tokens = 0 THEN 0 ELSE budget div tokens END")).withColumn(
@@ -126,31 +129,36 @@ def mix_sources(
     # null ids count as an empty id
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     bucket = F.substring("_key", 1, KEY_DIGITS)
-    placed = keyed.join(near(plan), names).withColumn("_key", key).withColumn("_bucket", bucket)
-    sums = placed.filter("rest > 0").groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("t"), F.max("rest").alias("rest"))
+    placed = light.join(near(plan.filter("rest > 0")), names).withColumn("_key", key).withColumn("_bucket", bucket)
+    sums = placed.groupBy(*names, "_bucket").agg(F.sum("n_tokens").alias("t"), F.max("rest").alias("rest"))
     upto = Window.partitionBy(*names).orderBy("_bucket")
-    ends = (
+    edges = (
         sums.withColumn("past", F.sum("t").over(upto))
         .filter("past > rest")
         .groupBy(*names)
         .agg(F.min(F.struct("_bucket", (F.col("rest") - F.col("past") + F.col("t")).alias("room"))).alias("e"))
         .select(*names, F.col("e._bucket").alias("_edge"), F.col("e.room").alias("_room"))
     )
-    ends = scratch.table(plan.select(*names).join(ends, names, "left"), "ends")
-    edged = placed.join(near(ends), names)
-    past_edge = (F.col("rest") > 0) & (F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")))
-    epochs = F.when(past_edge, F.sequence(F.lit(0).cast("long"), F.col("whole"))).when(
-        F.col("whole") > 0, F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)
-    )
-    inside = edged.withColumn("epoch", F.explode(epochs))
+    edges = scratch.table(edges, "edges")
+    # in the bucket where a leaf's prefix ends, its rows in order of their keys
     run = Window.partitionBy(*names).orderBy("_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = (
-        edged.filter((F.col("rest") > 0) & (F.col("_bucket") == F.col("_edge")))
+    last = (
+        placed.join(near(edges), names)
+        .filter(F.col("_bucket") == F.col("_edge"))
         .withColumn("_run", F.sum("n_tokens").over(run))
         .filter(F.col("_run") <= F.col("_room"))
-        .withColumn("epoch", F.col("whole"))
+        .groupBy(*names)
+        .agg(F.max("_key").alias("_last"))
     )
+    # the prefix ends with a key; without an edge it takes all of the epoch
+    ends = plan.join(edges, names, "left").join(last, names, "left")
+    ends = scratch.table(ends.select(*names, "whole", "rest", F.coalesce("_last", "_edge").alias("_last")), "ends")
+    edged = keyed.join(near(ends), names).withColumn("_key", key)
+    more = (F.col("rest") > 0) & (F.col("_last").isNull() | (F.col("_key") <= F.col("_last")))
+    count = F.col("whole") + more.cast("long")
+    epochs = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))
+    inside = edged.withColumn("epoch", F.explode(epochs))
     new = [*names, "n_tokens", "epoch"]
     taken = {c.lower() for c in new}
     keep = [*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in taken), *new]
-    return inside.select(*keep).unionByName(at_edge.select(*keep)).withColumn("epoch", F.col("epoch").cast("int"))
+    return inside.select(*keep).withColumn("epoch", F.col("epoch").cast("int"))
