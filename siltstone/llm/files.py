@@ -12,13 +12,23 @@ def _local(uri: str) -> str | None:
     return unquote(parts.path) if parts.scheme in ("", "file") else None
 
 
+#: Names that Hadoop has for schemes that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def remote(uri: str):
+    """pyarrow's file system of ``uri``, and the path there."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def ensure_dir(uri: str) -> None:
     if (path := _local(uri)) is not None:
         os.makedirs(path, exist_ok=True)
     else:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri)
+        system, path = remote(uri)
         system.create_dir(path, recursive=True)
 
 
@@ -30,9 +40,7 @@ def writer(uri: str):
         with open(path, "wb") as f:
             yield f
     else:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri)
+        system, path = remote(uri)
         with system.open_output_stream(path) as f:
             yield f
 
@@ -44,18 +52,34 @@ def reader(uri: str):
         with open(path, "rb") as f:
             yield f
     else:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri)
+        system, path = remote(uri)
         with system.open_input_file(path) as f:
             yield f
 
 
-def memory_map(uri: str):
-    """The file's bytes: mapped where it is on a mounted file system, else read through pyarrow."""
-    import numpy as np
+class Bytes:
+    """A file's bytes by slices: mapped where the file is on a mounted file system, else read range by range."""
 
-    if (path := _local(uri)) is not None:
-        return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.empty(0, np.uint8)
-    with reader(uri) as f:
-        return np.frombuffer(f.read(), dtype=np.uint8)
+    def __init__(self, uri: str):
+        import numpy as np
+
+        self.mapped = self.file = None
+        if (path := _local(uri)) is None:
+            system, there = remote(uri)
+            self.file = system.open_input_file(there)
+        elif os.path.getsize(path):
+            self.mapped = np.memmap(path, dtype=np.uint8, mode="r")
+        else:
+            self.mapped = np.empty(0, np.uint8)
+
+    def __call__(self, start: int, stop: int):
+        """Bytes ``start`` to ``stop`` as an array."""
+        import numpy as np
+
+        if self.file is None:
+            return self.mapped[start:stop]
+        return np.frombuffer(self.file.read_at(stop - start, start), dtype=np.uint8)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()

@@ -26,13 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_made: dict[str, Scratch] = {}
+
+
+def clear() -> None:
+    """Remove the tables of all calls so far; what they returned must have been used or written by then."""
+    for scratch in list(_made.values()):
+        scratch._remove(scratch.base)
+    _made.clear()
+
+
 class Scratch:
-    """A folder of one operator call; its tables go when the driver ends, or with ``drop``."""
+    """A folder of one operator call; its tables go when the driver ends, or with ``drop`` or ``clear``."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.base)
+        _made[self.base] = self
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -55,3 +65,6 @@ class Scratch:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
             pass
+
+
+atexit.register(clear)

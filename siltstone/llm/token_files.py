@@ -137,19 +137,19 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                idx = files.memory_map(f"{row['base_uri']}.idx")
+                idx, flat = files.Bytes(f"{row['base_uri']}.idx"), files.Bytes(f"{row['base_uri']}.bin")
                 head = struct.calcsize(HEADER)
-                magic, version, width, n = struct.unpack(HEADER, idx[:head].tobytes())
+                magic, version, width, n = struct.unpack(HEADER, idx(0, head).tobytes())
                 if magic != MAGIC or version != VERSION:
                     raise ValueError(f"{row['base_uri']}.idx is no token index")
-                docs = idx[head : head + 8 * n].view("<i8")
-                offsets = idx[head + 8 * n : head + 16 * n + 8].view("<u8").astype(np.int64)
-                flat = files.memory_map(f"{row['base_uri']}.bin").view(f"<u{width}")
+                docs = idx(head, head + 8 * n).view("<i8")
+                offsets = idx(head + 8 * n, head + 16 * n + 8).view("<u8").astype(np.int64)
                 at = 0
                 while at < n:  # a bounded slice of the mapped ids at a time
                     upto = int(np.searchsorted(offsets, offsets[at] + (FLUSH_BYTES // 4), side="right")) - 1
                     upto = min(n, max(at + 1, upto), at + READ_DOCS)
-                    some = flat[offsets[at] : offsets[upto]].astype("<u4").tobytes()
+                    here = flat(int(offsets[at]) * width, int(offsets[upto]) * width)
+                    some = here.view(f"<u{width}").astype("<u4").tobytes()
                     lo = (offsets[at:upto] - offsets[at]) * 4
                     hi = (offsets[at + 1 : upto + 1] - offsets[at]) * 4
                     yield pa.RecordBatch.from_pydict(
@@ -160,6 +160,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         }
                     )
                     at = upto
+                idx.close()
+                flat.close()
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = manifest.repartition(n, "part")

@@ -4,7 +4,8 @@ A file ``*.warc.zst`` starts with a skippable frame (magic 0x184D2A5D) that hold
 itself compressed; each record after it is one frame that the dictionary compresses, so a reader
 can start at any record. The dictionary is trained on records of the archived pages: a bounded
 sample of about ``SAMPLE_ROWS`` rows (twice that at most) by a hash of their ids, and no more than
-``SAMPLE_BYTES`` of each; it sets the size of the files and nothing else.
+``SAMPLE_BYTES`` of each; it sets the size of the files and nothing else. A task starts another archive when one has
+``ARCHIVE_BYTES``.
 
 Of pages with equal payloads the one with the largest id is a ``response`` record, and the others
 are ``revisit`` records that name it and carry no payload.
@@ -35,6 +36,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 SAMPLE_ROWS = 1000
 SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 64 << 10
+ARCHIVE_BYTES = 1 << 30
+#: A reader copies what is left of its buffer once a record.
+READ_BYTES = 16 << 10
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of their own
 MANIFEST = "uri string, records long, file_bytes long"
@@ -133,11 +137,11 @@ def read_archive(f) -> Iterator[bytes]:
     raw = read_dictionary(f)
     decompress = zstandard.ZstdDecompressor(dict_data=_dictionary(raw)) if raw else zstandard.ZstdDecompressor()
     rest = b""
-    while rest or (rest := f.read(1 << 20)):
+    while rest or (rest := f.read(READ_BYTES)):
         one = decompress.decompressobj()
         out = [one.decompress(rest)]
         while not one.eof:
-            more = f.read(1 << 20)
+            more = f.read(READ_BYTES)
             if not more:
                 raise ValueError("the archive ends inside a record")
             out.append(one.decompress(more))
@@ -163,8 +167,13 @@ def classify(pages: DataFrame, min_bytes: int) -> DataFrame:
     return hashed.join(many, "_sha", "left").drop("_sha")
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as archives under ``folder``, one a partition; their manifest.
+def _add(done: dict[str, list], uri: str, records: int, size: int) -> None:
+    for column, value in zip(done.values(), (uri, records, size), strict=True):
+        column.append(value)
+
+
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) as archives under ``folder``, one a partition or more; their manifest.
 
     A null html is an empty payload. Rows with equal ids and payloads are all responses where
     theirs is the largest id; rows with a null id are responses. Names hold the task attempt, and
@@ -174,8 +183,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     n = max(1, some.count())
     # about SAMPLE_ROWS rows by a hash of the id, so that no task sends the driver more than its share
     near = F.pmod(F.xxhash64("page_id"), F.lit(n)) < SAMPLE_ROWS
-    sample = some.filter(near).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * SAMPLE_ROWS).collect()
-    raw = train_dictionary([record(r.page_id, r.url, "response", None, r.html.encode()) for r in sample]) if sample else b""
+    cut = F.substring("html", 1, SAMPLE_BYTES).alias("html")
+    # in order, so that equal tables give equal dictionaries
+    sample = some.filter(near).select("page_id", "url", cut).orderBy(F.xxhash64("page_id"), "page_id", "url", "html")
+    rows = sample.limit(2 * SAMPLE_ROWS).collect()
+    raw = train_dictionary([record(r.page_id, r.url, "response", None, r.html.encode()) for r in rows]) if rows else b""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -183,22 +195,29 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        uri = f"{folder}/pages-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw) if raw else None, write_content_size=True)
+        done: dict[str, list] = {"uri": [], "records": [], "file_bytes": []}
         n = size = 0
         with ExitStack() as opened:
             out = None
             for batch in batches:
                 for page_id, url, html, keeper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
+                        uri = f"{folder}/pages-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done['uri'])}.warc.zst"
                         out = opened.enter_context(files.writer(uri))
-                        size += out.write(dictionary_frame(raw))
+                        n, size = 0, out.write(dictionary_frame(raw))
                     again = keeper is not None and page_id is not None and page_id != keeper
                     made = record(page_id, url, "revisit" if again else "response", keeper, (html or "").encode())
                     size += out.write(compress.compress(made))
                     n += 1
-        if n:
-            yield pa.RecordBatch.from_pydict({"uri": [uri], "records": [n], "file_bytes": [size]})
+                    if size >= archive_bytes:
+                        opened.close()
+                        out = _add(done, uri, n, size)
+            if out is not None:
+                opened.close()
+                _add(done, uri, n, size)
+        if done["uri"]:
+            yield pa.RecordBatch.from_pydict(done)
 
     rows = classify(pages, min_bytes).select("page_id", "url", "html", "keeper")
     return rows.mapInArrow(write, MANIFEST)

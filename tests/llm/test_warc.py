@@ -70,6 +70,25 @@ def test_files_start_with_the_dictionary_and_hold_a_frame_a_record(spark, tmp_pa
     assert all(x.startswith(b"WARC/1.1\r\n") for x in frames)
 
 
+def test_a_full_archive_is_followed_by_another(spark, tmp_path):
+    many = [(i, None, f"page {i} " * 40) for i in range(30)]
+    pages = spark.createDataFrame(many, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/out", archive_bytes=1)
+    listed = spark.createDataFrame(manifest.collect(), warc.MANIFEST)
+    assert listed.count() == 30
+    assert sorted(r.page_id for r in warc.read_archives(listed).collect()) == list(range(30))
+
+
+def test_equal_tables_give_equal_dictionaries(spark, tmp_path):
+    many = [(i, None, f"<p>page {i * 7919 % 1000} words of it</p>") for i in range(500)]
+    found = set()
+    for k in (1, 5):
+        warc.archive(spark.createDataFrame(many, "page_id long, url string, html string").repartition(k), f"file://{tmp_path}/{k}")
+        with open(sorted(glob.glob(f"{tmp_path}/{k}/*.warc.zst"))[0], "rb") as f:
+            found.add(warc.read_dictionary(f))
+    assert len(found) == 1
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     manifest, records = warc.archive(pages)
