@@ -31,6 +31,8 @@ MIN_WORDS = 30
 GUARANTEE_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: Runs of up to this many bytes are broadcast to the texts; more meet them by a shuffle.
+BROADCAST_BYTES = 32 << 20
 NO_ID = -(2**63)  # stands for a null id: such rows count as the earliest
 
 
@@ -230,10 +232,12 @@ def line_dedup(
     rows with a null id count as the earliest. Lines of one text that repeat in it count as well.
     An empty table stays empty.
     """
-    runs = line_runs(docs, id_col, text_col, min_words, guarantee_words)
+    runs = Scratch(docs.sparkSession, "runs").table(line_runs(docs, id_col, text_col, min_words, guarantee_words), "runs")
+    held = runs.agg(F.sum(48 + 24 * F.size("runs"))).first()[0] or 0
+    near = F.broadcast if held <= BROADCAST_BYTES else (lambda df: df)
     # the rows travel as one column, so that none of theirs can clash with the join's
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(id_col, text_col))
-    joined = keyed.join(runs, ["_doc", "_th"], "left")
+    joined = keyed.join(near(runs), ["_doc", "_th"], "left")
     text = F.col("row")[text_col]
     gone = lambda i: F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"]))
     split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), gone(i).alias("gone")))
