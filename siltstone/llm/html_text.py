@@ -1,13 +1,18 @@
 """Main text of HTML pages by consensus of each host's pages on where the text is.
 
-Each page's containers are scored by the text of the blocks in them, less what is in links; a
-container's place is its generalised path, the tags and classes from the body down with runs of
-digits as ``#``. Every page deals one vote among the paths of its containers by score, Spark adds
-the votes by host and path, and each page is read again at its host's winning paths. A page where
-none of them has text falls back on its own best container.
-
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag, role and the words of class names and ids, both in the scores and in the text.
+A page's text falls into blocks, and each block belongs to its nearest container. A container's
+place is its generalised path: the tags and classes of containers from the body down, with runs of
+digits as ``#`` and equal neighbours as one. Every page deals one vote among the paths of its
+containers by the text of their own blocks, less what is in links; Spark adds the votes by host
+and path. Paths with a good share of their host's votes win, and each page is read again: blocks
+at the winning paths and inside of them stay, in page order, and so do those beside a winning path
+where the container around both has text of its own. The page's first-level headings stay as well.
+A page where no winning path has text goes by its own votes.
+
+Menus, headers, footers, sidebars, forms, scripts and styles that the markup names are left out by
+their tag or role. A container whose class or id names such a thing is only suspected: its votes
+count for little, and what is in it stays out unless the host's votes confirm that the text is
+there after all.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import re
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.scratch import Scratch
@@ -27,6 +32,8 @@ if TYPE_CHECKING:
 
 #: A path with this share of its host's votes or more is a winning one, so there are at most ten.
 WINNING_SHARE = 0.1
+#: A vote of text in a suspected container, for each one around it.
+SUSPECTED = 0.02
 #: Winning paths up to this many rows are broadcast (a host and a path each, so some tens of MB).
 BROADCAST_PATHS = 200_000
 VOTE = 1_000_000  # a page's vote, in whole numbers so that sums do not depend on their order
@@ -40,6 +47,8 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article body blockquote center div main section table tbody tr td ul ol dl".split())
+#: Containers of text that go along with text beside them, even at the top of the page.
+TEXT_CONTAINERS = frozenset("blockquote center table tbody tr td ul ol dl".split())
 #: A start tag on the left ends an open element on the right, up to the element that holds both.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -53,10 +62,11 @@ CLOSES = {
 }
 
 DROP_TAGS = frozenset(
-    "head script style noscript template iframe object embed applet svg math canvas audio video nav footer aside form "
-    "button select textarea input label fieldset menu dialog title xmp noembed noframes".split()
+    "head script style noscript template iframe nav footer aside form button select textarea input label fieldset menu "
+    "dialog title xmp noembed noframes".split()
 )
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Names of what is no main text; a name is suspect if it has one of these and else only words of LAYOUT_WORDS.
 DROP_WORDS = frozenset(
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer foot "
     "masthead banner banners ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored "
@@ -66,8 +76,13 @@ DROP_WORDS = frozenset(
 )
 #: Words that are boilerplate at a page's top, but name the title's place inside an article.
 HEADER_WORDS = frozenset("header topbar".split())
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content desktop fixed form global group holder icon "
+    "icons inner item items label left link links list main mobile module outer page panel post primary right row secondary "
+    "section site sticky text title to top unit user view wrap wrapper".split()
+)
 #: Class names such as "no-sidebar" tell of the layout, not of the element.
-LAYOUT = ("no", "has", "with", "without", "hide", "show", "is", "single", "left", "right")
+LAYOUT = ("no", "has", "with", "without", "hide", "show", "is", "single")
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -82,41 +97,67 @@ DIGITS = re.compile(r"\d+")
 
 
 MARKUP = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!?")
-MAX_DEPTH = 512  # as in browsers, elements further down count as the last one's
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "drop", "in_article", "in_link")
+    """An open element; what is asked of its ancestors is handed down, so that depth costs nothing."""
+
+    __slots__ = ("tag", "drop", "in_article", "in_link", "block", "path", "suspects")
 
-    def __init__(self, tag: str, parent: Node | None, step: str, drop: bool, in_article: bool):
-        self.tag, self.parent, self.drop, self.in_article = tag, parent, drop, in_article
-        self.path = step if parent is None or not parent.path else f"{parent.path}>{step}"
+    def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
+        self.tag = tag
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
+        self.drop = (parent is not None and parent.drop) or _dropped(tag, attrs, self.in_article)
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
+        #: The nearest block element, the path of the nearest container, and those of suspected containers.
+        self.block = tag if tag in BLOCKS or parent is None else parent.block
+        self.path = "" if parent is None else parent.path
+        self.suspects: tuple[str, ...] = () if parent is None else parent.suspects
+        if tag in CONTAINERS and tag != "body":
+            classes = sorted(set(DIGITS.sub("#", attrs.get("class", "").replace(">", " ")).split()))
+            suspected = tag not in ("main", "article") and _suspected(attrs, self.in_article)
+            step = ".".join([tag, *classes]) + "!" * suspected  # a place of its own, whatever names it
+            if self.path.rpartition(">")[2] != step:
+                self.path = f"{self.path}>{step}" if self.path else step
+            if suspected and self.path not in self.suspects:
+                self.suspects = (*self.suspects, self.path)
 
 
 def _dropped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in DROP_TAGS or (tag == "header" and not in_article):
         return True
-    if tag in ("html", "body", "main", "article"):
-        return False
-    if attrs.get("role", "").lower() in DROP_ROLES:
-        return True
+    return tag not in ("html", "body", "main", "article") and attrs.get("role", "").lower() in DROP_ROLES
+
+
+def _suspected(attrs: dict[str, str], in_article: bool) -> bool:
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         words = [w.lower() for w in NAME_WORDS.findall(name)]
         if len(words) > 1 and words[0] in LAYOUT:
             continue
-        if not DROP_WORDS.isdisjoint(words) or (not in_article and not HEADER_WORDS.isdisjoint(words)):
+        named = DROP_WORDS if in_article else DROP_WORDS | HEADER_WORDS
+        if not named.isdisjoint(words) and all(w in named or w in LAYOUT_WORDS or len(w) == 1 for w in words):
             return True
     return False
 
 
+class Block:
+    """A block's text: whether it is a first-level heading, its container's path, suspected containers, its worth."""
+
+    __slots__ = ("text", "heading", "path", "suspects", "worth")
+
+    def __init__(self, text: str, node: Node, in_links: int):
+        self.text, self.heading, self.path, self.suspects = text, node.block == "h1", node.path, node.suspects
+        worth = (len(text) - 2 * in_links) * SUSPECTED ** len(node.suspects)
+        self.worth = 2 * worth if node.in_article else worth
+
+
 class Page:
-    """The blocks of a page: (nearest element, text, characters in links), in order."""
+    """The blocks of a page that are not dropped, in order."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[Node, str, int]] = []
-        self.root = Node("", None, "", False, False)
-        self.open: list[Node] = [self.root]
+        self.blocks: list[Block] = []
+        self.open: list[Node] = [Node("", None, {})]
+        self._count: dict[str, int] = {}  # open elements by tag
         self._text: list[str] = []
         self._link = 0
         self._parse(source)
@@ -126,7 +167,7 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.blocks.append((self._at, text, self._link))
+                self.blocks.append(Block(text, self._at, self._link))
             self._text, self._link = [], 0
 
     def _add(self, raw: str) -> None:
@@ -136,22 +177,25 @@ class Page:
         text = entities.unescape(raw) if "&" in raw else raw
         if not self._text:
             self._at = here
-            while self._at.tag not in BLOCKS and self._at.parent is not None:
-                self._at = self._at.parent
         self._text.append(text)
         if here.in_link:
             self._link += len(text.strip())
 
-    def _close(self, tags: set[str] | frozenset[str], within: set[str] | frozenset[str] = frozenset()) -> None:
+    def _close(self, tags: set[str] | frozenset[str], within: set[str] | frozenset[str] = frozenset()) -> bool:
         """Close the innermost open element of ``tags``, unless one of ``within`` holds it."""
+        if not any(self._count.get(t) for t in tags):
+            return False
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
                 if any(n.tag in BLOCKS for n in self.open[k:]):
                     self._end_block()
+                for n in self.open[k:]:
+                    self._count[n.tag] -= 1
                 del self.open[k:]
-                return
+                return True
             if self.open[k].tag in within:
-                return
+                return False
+        return False
 
     def _parse(self, source: str) -> None:
         at, end, last = 0, len(source), source.rfind(">")
@@ -179,75 +223,75 @@ class Page:
                 self._end_block()
                 self._close({"p"}, {"button", "table", "td", "th"})
                 if tag in CLOSES:
-                    inner, outer = CLOSES[tag]
-                    while any(n.tag in inner for n in self._inside(outer)):
-                        self._close(inner, outer)
+                    while self._close(*CLOSES[tag]):
+                        pass
             if tag in VOID:
                 continue
-            parent = self.open[-1]
-            found = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attrs)} if "=" in attrs else {}
-            in_article = parent.in_article or tag in ("article", "main")
-            classes = sorted(set(DIGITS.sub("#", found.get("class", "")).split()))
-            drop = parent.drop or _dropped(tag, found, in_article)
-            step = "" if tag in ("html", "body") else ".".join([tag, *classes])
-            node = Node(tag, parent, step, drop, in_article)
-            if not step:
-                node.path = parent.path
             if tag in RAW:  # no markup inside
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
-                at = close.start() if close else end
-                tail = source.find(">", at)
-                at = tail + 1 if close and tail >= 0 else end
+                tail = source.find(">", close.start()) if close else -1
+                at = tail + 1 if tail >= 0 else end
                 continue
-            if len(self.open) < MAX_DEPTH:
-                self.open.append(node)
-
-    def _inside(self, outer: set[str]) -> list[Node]:
-        k = len(self.open)
-        while k > 1 and self.open[k - 1].tag not in outer:
-            k -= 1
-        return self.open[k:]
+            found = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attrs)} if "=" in attrs else {}
+            self.open.append(Node(tag, self.open[-1], found))
+            self._count[tag] = self._count.get(tag, 0) + 1
 
     def scores(self) -> dict[str, float]:
-        """By path, the text that the containers there hold: all of their own blocks', then halves."""
+        """By path, the worth of the containers' own blocks."""
         found: dict[str, float] = {}
-        for at, text, link in self.blocks:
-            worth, node = float(len(text) - 2 * link), at
-            share = 1.0
-            while node is not None and share > 0.2:
-                if node.tag in CONTAINERS and node.path:
-                    better = 2.0 if node.tag in ("article", "main") else 1.0
-                    found[node.path] = found.get(node.path, 0.0) + worth * share * better
-                    share /= 2
-                node = node.parent
+        for b in self.blocks:
+            found[b.path] = found.get(b.path, 0.0) + b.worth
         return {p: s for p, s in found.items() if s > 0}
 
-    def text_at(self, path: str | None) -> str:
-        """Blocks inside elements at ``path``, or all of the page's where it is None."""
-        if path is None:
-            return "\n".join(t for _, t, _ in self.blocks)
-        out = []
-        for at, text, _ in self.blocks:
-            if at.path == path or at.path.startswith(path + ">"):
-                out.append(text)
-        return "\n".join(out)
+    def votes(self) -> dict[str, int]:
+        """The page's vote, dealt among the paths."""
+        scores = self.scores()
+        total = sum(scores.values())
+        return {p: round(VOTE * s / total) for p, s in scores.items()}
+
+    def text_at(self, winning: list[str], around: list[str]) -> str | None:
+        """Blocks at the winning paths and at those around them, and headings; None where there are but headings."""
+        places = {*winning, *around}
+        confirmed = lambda s: any(_inside(w, s) for w in winning)
+        out, found = [], False
+        for b in self.blocks:
+            if not all(map(confirmed, b.suspects)):
+                continue
+            here = b.path in places or any(_inside(b.path, p) for p in places)
+            found |= here
+            if here or b.heading:
+                out.append(b.text)
+        return "\n".join(out) if found else None
+
+    def unsuspected(self) -> str:
+        return "\n".join(b.text for b in self.blocks if not b.suspects)
+
+
+def _inside(path: str, outer: str) -> bool:
+    """Whether a container at ``path`` is, or lies in, one at ``outer``; of the body's, only containers of text do."""
+    if not outer:
+        return all(step.partition(".")[0] in TEXT_CONTAINERS for step in path.split(">")) if path else True
+    return path == outer or path.startswith(outer + ">")
 
 
-def page_votes(source: str) -> dict[str, int]:
-    """One page's vote, dealt among the paths of its containers."""
-    scores = Page(source).scores()
-    total = sum(scores.values())
-    return {p: round(VOTE * s / total) for p, s in scores.items()}
+def parent_path(path: str) -> str | None:
+    return path.rpartition(">")[0] if path else None
 
 
-def extract(source: str, winning: list[str]) -> str:
-    """The page's text at the first of ``winning`` that has any, else at its own best container."""
+def winners(votes: dict[str, int]) -> tuple[list[str], list[str]]:
+    """Winning paths of these votes, and the paths around them that have votes of their own."""
+    least = WINNING_SHARE * sum(votes.values())
+    winning = sorted(p for p, v in votes.items() if v >= least)
+    return winning, sorted({q for p in winning if (q := parent_path(p)) is not None and votes.get(q, 0) > 0})
+
+
+def extract(source: str, winning: list[str], around: list[str] = []) -> str:  # noqa: B006
+    """The page's text at its host's ``winning`` paths and ``around`` them, else by its own votes."""
     page = Page(source)
-    for path in winning:
-        if text := page.text_at(path):
-            return text
-    scores = page.scores()
-    return page.text_at(min(scores, key=lambda p: (-scores[p], p)) if scores else None)
+    text = page.text_at(winning, around) if winning else None
+    if text is None:
+        text = page.text_at(*winners(page.votes()))
+    return page.unsuspected() if text is None else text
 
 
 def host(url: Column) -> Column:
@@ -257,7 +301,10 @@ def host(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the winning paths of each host, most votes first."""
+    """(host, winning, around): see ``winners``, of the votes of all the host's pages.
+
+    Sums by host are joined back to the paths, so that a host with very many paths is no group of one task.
+    """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -265,18 +312,22 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for batch in batches:
             tally: dict[tuple[str, str], int] = {}
             for name, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for path, n in page_votes(source.as_py() or "").items():
+                for path, n in Page(source.as_py() or "").votes().items():
                     tally[name, path] = tally.get((name, path), 0) + n
-            yield pa.RecordBatch.from_pydict(
-                {"host": pa.array([h for h, _ in tally], pa.string()), "path": pa.array([p for _, p in tally], pa.string()), "votes": pa.array(list(tally.values()), pa.int64())}
-            )
+            columns = {"host": pa.array([h for h, _ in tally], pa.string()), "path": pa.array([p for _, p in tally], pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | {"votes": pa.array(list(tally.values()), pa.int64())})
 
     votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes long")
-    by_path = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    share = F.col("votes") >= WINNING_SHARE * F.sum("votes").over(Window.partitionBy("host"))
-    winners = by_path.withColumn("_wins", share).filter("_wins")
-    order = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path")))
-    return winners.groupBy("host").agg(order.alias("ps")).select("host", F.transform("ps", lambda p: p["path"]).alias("paths"))
+    scratch = Scratch(pages.sparkSession, "votes")
+    by_path = scratch.table(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes")), "votes")
+    totals = by_path.groupBy("host").agg(F.sum("votes").alias("total"))
+    winning = by_path.join(totals, "host").filter(F.col("votes") >= WINNING_SHARE * F.col("total")).select("host", "path")
+    winning = scratch.table(winning, "winning")
+    outer = winning.filter("path <> ''").select("host", F.regexp_replace("path", ">?[^>]*$", "").alias("path")).distinct()
+    around = outer.join(by_path.filter("votes > 0").select("host", "path"), ["host", "path"])
+    both = winning.select("host", "path", F.lit(True).alias("wins")).unionByName(around.select("host", "path", F.lit(False).alias("wins")))
+    listed = lambda wins: F.sort_array(F.collect_list(F.when(F.col("wins") == wins, F.col("path"))))
+    return both.groupBy("host").agg(listed(True).alias("winning"), listed(False).alias("around"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -296,12 +347,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            sources, winning = batch.column(2), batch.column(3)
-            texts = [extract(s.as_py() or "", w.as_py() or []) for s, w in zip(sources, winning, strict=True)]
+            columns = (batch.column(k) for k in (2, 3, 4))
+            texts = [extract(s.as_py() or "", w.as_py() or [], a.as_py() or []) for s, w, a in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    typed = placed.select(F.col("page_id").cast("long"), "url", "html", "paths")
+    typed = placed.select(F.col("page_id").cast("long"), "url", "html", "winning", "around")
     return typed.mapInArrow(read, "page_id long, url string, text string, n_chars long")
