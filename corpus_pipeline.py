@@ -32,12 +32,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.
+
+    A null or empty text has too few words and goes; repeated rows are judged alike; columns that
+    are not those of documents are left out; an empty table stays empty.
+    """
     return quality_rules(docs).filter("kept").select(*COLUMNS)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of line runs; documents of nothing else go."""
+    """Texts without later repeats of line runs; documents of nothing else go.
+
+    A null or empty text stays as it is, as nothing was cut from it. Rows with equal id and text are
+    one document and get the same text; rows with a null id count as the earliest. ``n_chars`` is
+    counted anew; an empty table stays empty.
+    """
     cut = line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
     return cut.filter((F.col("n_removed_lines") == 0) | F.col("text").rlike(WORD)).select(*COLUMNS)
 
@@ -46,7 +55,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies, once.
 
     Of rows with equal ids the one with the smallest text stays. Rows with a null id are no
-    duplicates of anything and stay.
+    duplicates of anything and stay. Wordless texts are no copies of each other. An empty table stays
+    empty.
     """
     groups = jaccard_components(docs.select("doc_id", "text"), **NEAR)
     heads = groups.filter("doc_id = component_id").select("doc_id").distinct()
@@ -56,12 +66,20 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources' documents by target weights."""
+    """The sources' documents by target weights, each once at most.
+
+    A null source or language is a name of its own; a null or wordless text costs nothing; rows with
+    equal ids are in together or not at all; an empty table stays empty.
+    """
     return mix_sources(docs, mix_levels(), WEIGHTS, **MIX).select(*COLUMNS)
 
 
 def to_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their places in sequences."""
+    """Pieces of token ids with their places in sequences.
+
+    A null text has the end id alone; rows with equal ids are separate documents; a null id stays
+    null; an empty table gives no rows.
+    """
     return pack(docs, vocabulary("word_bpe_49k.json"), **SEQUENCE)
 
 
