@@ -1,4 +1,4 @@
-"""Command line: index, search, eval, workspaces and groups. Exit codes: 0 done, 1 error, 2 failed evaluation."""
+"""Command line: index, search, eval, workspaces, groups and the store's status. Exit codes: 0 done, 1 error, 2 failed evaluation."""
 
 from __future__ import annotations
 
@@ -27,9 +27,11 @@ def path_map(values: Sequence[str]) -> dict[str, str]:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="siltstone")
     p.add_argument("--store", required=True, help="folder of the engine's tables")
+    p.add_argument("--local-groups", help="JSON file of this user's groups")
+    p.add_argument("--progress", help="file that progress lines are added to")
     sub = p.add_subparsers(dest="noun", required=True)
     i = sub.add_parser("index")
-    i.add_argument("root")
+    i.add_argument("root", nargs="?", help="by default the workspace around the target or the current directory")
     i.add_argument("-t", "--target")
     i.add_argument("-f", "--force", action="store_true")
     i.add_argument("-p", "--profile", default="all")
@@ -53,28 +55,35 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--folder")
     w.add_argument("--path-map", action="append", default=[])
     g = sub.add_parser("group")
-    g.add_argument("verb", choices=["list", "create", "delete"])
+    g.add_argument("verb", choices=["list", "create", "delete", "export", "import"])
     g.add_argument("name", nargs="?")
+    g.add_argument("--local", action="store_true", help="in the file of --local-groups")
+    g.add_argument("--folder")
+    g.add_argument("--path-map", action="append", default=[])
     g.add_argument("--root", action="append", default=[])
     g.add_argument("-x", "--exclude", action="append", default=[])
     sub.add_parser("profile")
+    sub.add_parser("status", help="what the store holds")
     return p
 
 
 def main(argv: Sequence[str] | None = None) -> int:
     from siltstone import schemas
-    from siltstone.engine import Engine
+    from siltstone.engine import Engine, Settings
     from siltstone.operators.evaluation import exit_code
     from siltstone.session import local_session
+    from siltstone.sources.json_files import progress_lines
 
     a = parser().parse_args(argv)
     if a.noun == "profile":
         print("\n".join(schemas.PROFILES))
         return 0
-    engine = Engine(local_session(), a.store)
+    progress = progress_lines(a.progress) if a.progress else None
+    engine = Engine(local_session(), a.store, settings=Settings(local_groups=a.local_groups, progress=progress))
     try:
         if a.noun == "index":
-            done = engine.index_workspace(a.root, a.target, a.force, a.profile, delimited(a.exclude), a.dry_run)
+            root = a.root or engine.workspace_of(a.target or ".")
+            done = engine.index_workspace(root, a.target, a.force, a.profile, delimited(a.exclude), a.dry_run)
             done.show(100, False) if a.dry_run else print(done)
         elif a.noun == "search":
             run = engine.hybrid_search if a.hybrid else engine.search_code
@@ -96,10 +105,19 @@ def main(argv: Sequence[str] | None = None) -> int:
                 engine.export_workspace(a.root, a.folder)
             else:
                 print(engine.import_workspace(a.folder, path_map(a.path_map)))
+        elif a.noun == "status":
+            rows = engine.registry().select("workspace_root", "collection_name", "status").collect()
+            counts = engine.vectors.counts([r.collection_name for r in rows])
+            for r in rows:
+                print(r.workspace_root, r.collection_name, r.status, counts.get(r.collection_name, "no vectors"), sep="\t")
+        elif a.verb == "export":
+            engine.export_group(a.name, a.folder)
+        elif a.verb == "import":
+            print(engine.import_workspace(a.folder, path_map(a.path_map)))
         elif a.verb == "list":
             engine.groups().show(100, False)
         elif a.verb == "create":
-            engine.save_group(a.name, a.root, delimited(a.exclude))
+            engine.save_group(a.name, a.root, delimited(a.exclude), a.local)
         else:
             engine.delete_group(a.name)
     except (OSError, LookupError, ValueError) as e:

@@ -1,15 +1,18 @@
 """The engine: index workspaces, search them, look chunks up, evaluate, and move them.
 
-Tables live under one folder: vectors by collection in versions, file states and the registry as
-whole tables that a run replaces. A run reads the active state, chunks and embeds only what changed,
-builds the next version of the collection, and switches to it with the state and the registry last,
-so that a run that fails leaves everything as it was.
+Tables live under one folder: vectors by collection in versions, each with the file state and a
+head that belong to it, and the registry as a table that a run replaces. A run reads the active
+state, chunks and embeds what changed in batches of files, each written as it is done, builds the
+next version and switches to it by one pointer. A run that fails leaves everything as it was, and
+the next one takes up the batches that were finished.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+import os
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from threading import Lock
@@ -21,8 +24,9 @@ from siltstone import schemas as S
 from siltstone.functions import classify as C
 from siltstone.functions import keys as K
 from siltstone.functions import paths as P
-from siltstone.operators import catalog, chunking, delta, embedding, evaluation, scan, scanners, search, store, transfer
-from siltstone.sources.changes import git_identity, with_identity
+from siltstone.operators import catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
+from siltstone.sources import json_files
+from siltstone.sources.changes import git_changes, git_identity, with_identity
 
 
 @dataclass(frozen=True)
@@ -34,7 +38,14 @@ class Settings:
     fingerprint_content: bool = True
     allowed_roots: tuple[str, ...] = ()
     groups: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    #: A JSON file of groups of this machine's user.
+    local_groups: str | None = None
     embed_batch: int = 16
+    #: Files that are chunked, embedded and written together.
+    checkpoint_files: int = 10_000
+    use_change_lists: bool = True
+    fallback_model: str | None = None
+    progress: Callable[[json_files.Progress], None] | None = None
 
 
 @dataclass
@@ -50,16 +61,25 @@ class Result:
 
 
 _STATE = S.FILE_STATE
+#: Change lists of more files than this are no shorter way than comparing all.
+MOST_CHANGES = 5_000
 _locks: dict[str, Lock] = {}
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, provider: embedding.Provider | None = None, settings: Settings | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        provider: embedding.Provider | None = None,
+        settings: Settings | None = None,
+        models: embedding.ModelCatalog | None = None,
+    ):
+        """``models`` are those installed; without them the provider's own name is taken as it is."""
         self.spark, self.folder = spark, folder.rstrip("/")
         self.provider = provider or embedding.HashingProvider()
-        self.settings = settings or Settings()
+        self.settings, self.models = settings or Settings(), models
         self.vectors = store.VectorStore(spark, f"{self.folder}/vectors")
-        self.states = store.VectorStore(spark, f"{self.folder}/states")
         self.catalogs = store.VectorStore(spark, f"{self.folder}/catalogs")
 
     # --- tables
@@ -69,101 +89,268 @@ class Engine:
 
     def _replace(self, where: store.VectorStore, name: str, rows: DataFrame) -> None:
         version = max(where.versions(name), default=0) + 1
-        rows.write.parquet(where.path(name, version))
+        rows.write.parquet(f"{where.path(name, version)}/points")
         where.promote(name, version)
 
     def registry(self) -> DataFrame:
         return self._table(self.catalogs, "registry", S.REGISTRY)
 
     def groups(self) -> DataFrame:
-        """Groups from the settings and the shared table; configured ones count first."""
+        """Groups from the settings, the local file and the shared table; of equal names the first of these counts."""
         shared = self._table(self.catalogs, "groups", S.GROUPS)
         own = [(n, "configured", list(r), [], True) for n, r in self.settings.groups]
-        return catalog.overlaid_groups(self.spark.createDataFrame(own, S.GROUPS), shared)
-
-    def save_group(self, name: str, roots: Sequence[str], exclude_directories: Sequence[str] = ()) -> None:
+        sources = [self.spark.createDataFrame(own, S.GROUPS), shared]
+        if self.settings.local_groups:
+            sources.insert(1, json_files.read_local_groups(self.spark, self.settings.local_groups))
+        return catalog.overlaid_groups(*sources)
+
+    def save_group(self, name: str, roots: Sequence[str], exclude_directories: Sequence[str] = (), local: bool = False) -> None:
+        if local:
+            if not self.settings.local_groups:
+                raise ValueError("no file of local groups is set")
+            if any(n.strip().lower() == name.strip().lower() for n, _ in self.settings.groups):
+                raise ValueError(f"a configured group cannot change: {name}")
+            return json_files.write_local_group(self.settings.local_groups, name, list(roots), list(exclude_directories))
         new = self.spark.createDataFrame([(name, "shared", list(roots), list(exclude_directories), False)], S.GROUPS)
         saved = catalog.saved_group(self.groups(), new).filter("source = 'shared'")
         self._replace(self.catalogs, "groups", saved)
 
     def delete_group(self, name: str) -> None:
+        if self.settings.local_groups:
+            json_files.delete_local_group(self.settings.local_groups, name)
         rows = self._table(self.catalogs, "groups", S.GROUPS).filter(F.lower(F.trim("name")) != name.strip().lower())
         self._replace(self.catalogs, "groups", rows)
 
-    def state(self, workspace: str) -> DataFrame:
-        return self._table(self.states, workspace, _STATE)
+    def _names(self, root: str) -> tuple[str, str]:
+        """(workspace id, collection) of a root."""
+        wid = K.workspace_id(F.lit(root))
+        row = self.spark.range(1).select(wid.alias("id"), K.collection_name(F.lit(self.settings.prefix), wid).alias("c")).first()
+        return row.id, row.c
+
+    def state(self, collection: str) -> DataFrame:
+        """The file state of a collection's active version."""
+        if self.vectors.active(collection) is None:
+            return self.spark.createDataFrame([], _STATE)
+        return self.vectors.read(collection, "state")
 
     # --- indexing
 
-    def _scope(self, path, profile: str, excludes: Sequence[str]):
-        s = self.settings
-        return scan.in_scope(path, F.col("workspace_root"), None, [*s.excluded_directories, *excludes], s.excluded_files, profile, False)
+    def workspace_of(self, start: str) -> str:
+        """The workspace that a path belongs to: the nearest directory above with a repository or solution, else a project."""
+        start = os.path.abspath(start)
+        here, names = start if os.path.isdir(start) else os.path.dirname(start), []
+        up = here
+        while True:
+            if os.path.isdir(up):
+                names += [f"{up}/.git/HEAD" if n == ".git" else f"{up}/{n}" for n in os.listdir(up)]
+            if up == os.path.dirname(up):
+                break
+            up = os.path.dirname(up)
+        files = self.spark.createDataFrame([(n,) for n in names], "file_path string")
+        return solution.detected_root(files, here).first().root
+
+    def _model(self) -> tuple[str, list[str]]:
+        """The model's name, and a warning if it is the fallback."""
+        if self.models is None:
+            return self.provider.name, []
+        name, fallback = self.models.resolve(self.provider.name, self.settings.fallback_model, self.settings.fallback_model is not None)
+        return name, [f"model {self.provider.name} is not installed; {name} is used"] if fallback else []
+
+    def _tell(self, root: str, stage: str, current: int, total: int | None, message: str) -> None:
+        if self.settings.progress:
+            self.settings.progress(json_files.Progress(root, stage, current, total, message))
 
     def index_workspace(self, root: str, target: str | None = None, force: bool = False, profile: str = "all", excludes: Sequence[str] = (), dry_run: bool = False) -> Result | DataFrame:
-        """Bring a workspace's index up to date; ``target`` and ``profile`` limit what is looked at.
+        """Bring a workspace's index up to date; ``target`` (a path or a solution) and ``profile`` limit what is looked at.
 
         With ``dry_run`` nothing is written, and the result is a row for each file that would change.
+        An index of another model or schema is an error unless the run is forced, which replaces it.
         """
         catalog.allowed([root, target or root], self.settings.allowed_roots)
+        if not os.path.isdir(root) and "://" not in root:
+            raise FileNotFoundError(f"no directory {root}")
         profile = S.normal_profile(profile)
-        ids = self.spark.range(1).select(K.workspace_id(F.lit(root)).alias("id"), K.collection_name(F.lit(self.settings.prefix), K.workspace_id(F.lit(root))).alias("c")).first()
-        lock = _locks.setdefault(f"{self.folder}|{ids.id}", Lock())
+        workspace, collection = self._names(root)
+        lock = _locks.setdefault(f"{self.folder}|{workspace}", Lock())
         with lock:
-            return self._index(root, ids.id, ids.c, target, force, profile, excludes, dry_run)
+            return self._index(root, workspace, collection, target, force, profile, list(excludes), dry_run)
+
+    def _changes(self, root: str, head: dict | None, rules: str) -> list[str] | None:
+        """Paths that may differ from the active state by the repository's own account; None without a complete one.
+
+        What was changed in the working tree when the state was made counts as well, as it may have been put back.
+        """
+        if not self.settings.use_change_lists or not head or not head.get("commit_sha") or head.get("rules") != rules:
+            return None
+        listed, complete = git_changes(root, head["commit_sha"])
+        top = git_identity(root)["repository_root"]
+        paths = {os.path.normpath(f"{top}/{p}") for p, _ in listed} | set(head.get("dirty") or [])
+        return sorted(paths) if complete and len(paths) <= MOST_CHANGES else None
+
+    def _rules(self, excludes: Sequence[str]) -> str:
+        s = self.settings
+        told = [sorted({*s.excluded_directories, *excludes}), sorted(s.excluded_files), s.skip_generated, s.fingerprint_content]
+        return hashlib.md5(json.dumps(told).encode(), usedforsecurity=False).hexdigest()
+
+    def _solution_scope(self, found: DataFrame, root: str, target: str) -> tuple[DataFrame, object]:
+        """Files of a solution, and whether a path of the state is in its reach; a solution's projects are few."""
+        inside = solution.solution_scope(found.select("file_path", "content"), target, root).cache()
+        projects = inside.filter(P.extension(F.col("file_path")) == ".csproj")
+        directories = [r.d for r in projects.select(P.directory(F.col("file_path")).alias("d")).distinct().collect()]
+        here = P.path_key(F.col("file_path")) == target.lower()
+        for d in directories:
+            here = here | P.is_under(F.col("file_path"), F.lit(d))
+        return inside, here
 
     def _index(self, root, workspace, collection, target, force, profile, excludes, dry_run):
         s = self.settings
-        found = scan.tree(self.spark, root)
-        files = scan.scanned(found, [*s.excluded_directories, *excludes], s.excluded_files, profile, s.skip_generated)
-        if target:
-            files = scan.targets(files, [target])
-        previous = self.state(workspace)
-        scoped = bool(target) or profile != "all"
+        model, warnings = self._model()
+        head, rules = self.vectors.head(collection), self._rules(excludes)
+        if head and (head["embedding_model"] != model or str(head["schema_version"]) != str(S.SCHEMA_VERSION)):
+            if not force and not dry_run:
+                raise ValueError(
+                    f"the index was made by model {head['embedding_model']!r} and schema {head['schema_version']}, not {model!r} and {S.SCHEMA_VERSION}; run with force to replace it"
+                )
+            if target or profile != "all":
+                raise ValueError("an index of another model is replaced as a whole")
+        excluded = [*s.excluded_directories, *excludes]
+        solution_target = bool(target) and target.lower().endswith((".sln", ".slnx"))
+        changes = None if force or target or profile != "all" else self._changes(root, head, rules)
+        if changes is None:
+            found = scan.tree(self.spark, root, excluded_directories=excluded)
+        else:
+            found = scan.read_files(self.spark, root, [p for p in changes if os.path.isfile(p)])
+        files = scan.scanned(found, excluded, s.excluded_files, profile, s.skip_generated)
+        previous = self.state(collection)
         here = P.is_under(F.col("file_path"), F.lit(target or root))
+        if solution_target:
+            inside, here = self._solution_scope(found, root, target)
+            files = files.join(inside, "file_path", "left_semi")
+        elif target:
+            files = scan.targets(files, [target])
+        if changes is not None:
+            here = P.path_key(F.col("file_path")).isin([p.lower() for p in changes])
         if profile != "all":
             here = here & (C.index_profile(F.col("file_path"), C.guessed_content_type(F.col("file_path"))) == profile)
-        current = scan.fingerprinted(files, s.fingerprint_content).cache()
+        self._tell(root, "scan", 0, None, "all files" if changes is None else f"{len(changes)} files of the change list")
         in_scope = previous.filter(here)
-        changed = delta.changed_files(current, in_scope, force).cache()
-        gone = delta.deleted_files(current, in_scope).cache()
+        replaces = force and not (target or profile != "all")
+        work = self._scanned(collection, files, in_scope, force)
+        current = work.drop("content", "workspace_root", "changed", "analyzer")
+        changed = delta.keyed(work.filter("changed").drop("content", "analyzer"))
+        gone = delta.deleted_files(current, in_scope)
         if dry_run:
-            chunks = scanners.chunk_files(self._of(files, changed))
-            return delta.dry_run(current, in_scope, delta.chunks_per_file(chunks), force)
-        chunks = scanners.chunk_files(self._of(files, changed))
-        made = embedding.embedded(chunks, self.provider, s.embed_batch).cache()
-        points = store.payload(with_identity(embedding.ready(made), git_identity(root)))
+            plan = delta.dry_run(current, in_scope, delta.chunks_per_file(scanners.chunk_files(self._of(work, changed))), force).cache()
+            plan.count()
+            self._drop_staging(collection, "scan")
+            return plan
         had = self.vectors.active(collection) is not None
-        full = not had or (force and not scoped)
+        made = self._embedded(root, collection, work, changed, f"{model}|{rules}").cache()
+        points = store.payload(with_identity(embedding.ready(made), git_identity(root)))
+        full = not had or replaces
         if full:
             rows = points
         else:
             stale = changed.select("file_path").unionByName(gone.select("file_path"))
             rows = store.upserted(store.without_files(self.vectors.read(collection), workspace, stale), points)
-        version = self.vectors.build(collection, rows, self.provider.width)
         counted = delta.backfilled(current, delta.chunks_per_file(made), previous)
-        state = delta.merged_state(previous, counted.drop("path_key"), here).select(*[c.split()[0] for c in _STATE.split(", ")])
+        merged = delta.merged_state(self.spark.createDataFrame([], _STATE) if full else previous, counted.drop("path_key"), here)
+        state = delta.without_failed(merged, made).select(*[c.split()[0] for c in _STATE.split(", ")])
         state = state.withColumn("chunk_count", F.col("chunk_count").cast("int"))
+        who = git_identity(root)
+        dirty, _ = git_changes(root, None) if who["is_git_repository"] else ([], False)
+        head = {
+            "embedding_model": model, "schema_version": S.SCHEMA_VERSION, "saved_at_utc": datetime.now(UTC).isoformat(), "rules": rules,
+            "commit_sha": who["commit_sha"], "dirty": [os.path.normpath(f"{who['repository_root']}/{p}") for p, _ in dirty],
+        }
+        version = self.vectors.build(collection, rows, self.provider.width, state, head)
         totals = {"scanned": current.count(), "changed": changed.count(), "deleted": gone.count(), "chunks": made.filter("embedding IS NOT NULL").count()}
-        warnings = [r.embedding_error for r in made.filter("embedding_error IS NOT NULL").select("embedding_error").distinct().limit(20).collect()]
-        self._replace(self.states, workspace, state)
+        warnings += [r.embedding_error for r in made.filter("embedding IS NULL").select("embedding_error").distinct().limit(20).collect()]
+        self._tell(root, "write", totals["chunks"], totals["chunks"], f"version {version}")
         self.vectors.promote(collection, version)
         self._register(root, workspace, collection, target, totals, had and full)
-        for df in (current, changed, gone, made):
-            df.unpersist()
+        self._drop_staging(collection)
+        made.unpersist()
+        self._tell(root, "done", totals["chunks"], totals["chunks"], f"{totals['changed']} files changed, {totals['deleted']} deleted")
         return Result(root, collection, totals["scanned"], totals["changed"], totals["deleted"], totals["chunks"], had and full, warnings)
 
+    def _staging(self, collection: str) -> str:
+        return f"{self.folder}/staging/{collection}"
+
+    def _drop_staging(self, collection: str, part: str = "") -> None:
+        fs, where = self.vectors._fs(f"{self._staging(collection)}/{part}".rstrip("/"))
+        fs.delete(where, True)
+
+    def _scanned(self, collection: str, files: DataFrame, in_scope: DataFrame, force: bool) -> DataFrame:
+        """State rows of ``files`` with whether they changed, and where they did with content and analyzer: one pass over the tree, written."""
+        now = scan.fingerprinted(files, self.settings.fingerprint_content, keep=("workspace_root", "content"))
+        old = delta.keyed(in_scope).select("path_key", F.col("fingerprint").alias("_old"))
+        joined = now.withColumn("path_key", P.path_key(F.col("file_path"))).join(old, "path_key", "left")
+        differs = F.lit(force) | F.col("_old").isNull() | (F.col("_old") != F.col("fingerprint"))
+        pick = C.select_analyzer(F.col("file_path"), F.col("workspace_root"), F.col("content"))["analyzer"]
+        flagged = joined.withColumn("changed", differs)
+        marked = flagged.withColumns({c: F.when(F.col("changed"), v) for c, v in (("analyzer", pick), ("content", F.col("content")))}).drop("_old", "path_key")
+        where = f"{self._staging(collection)}/scan/{datetime.now(UTC):%Y%m%d%H%M%S%f}"
+        marked.write.parquet(where)
+        return self.spark.read.schema(marked.schema).parquet(where)
+
+    def _finished(self, collection: str, key: str) -> list[str]:
+        """Batches of a run with this key that were written to their end."""
+        fs, where = self.vectors._fs(f"{self._staging(collection)}/{key}")
+        if not fs.exists(where):
+            return []
+        folders = [x.getPath() for x in fs.listStatus(where)]
+        jvm = self.spark.sparkContext._jvm
+        return sorted(str(f) for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+    def _embedded(self, root: str, collection: str, files: DataFrame, changed: DataFrame, run: str) -> DataFrame:
+        """Chunks of the changed files with their vectors, from batches that are written one by one.
+
+        Batches that a stopped run of the same model and rules has finished count, file by file, where
+        the fingerprint is still the same and no chunk failed.
+        """
+        key = hashlib.md5(run.encode(), usedforsecurity=False).hexdigest()
+        keyed = changed.select(F.col("path_key").alias("_key"), F.col("fingerprint").alias("_print"))
+        shape = f"{S.CHUNKS}, embedding array<float>, embedding_error string, _key string, _print string"
+        columns = [c.split()[0] for c in shape.split(", ")]
+        read = lambda folders: self.spark.read.schema(shape).parquet(*folders) if folders else self.spark.createDataFrame([], shape)
+        before = read(self._finished(collection, key))
+        failed = before.filter("embedding IS NULL").select("_key", "_print").distinct()
+        kept = before.join(failed, ["_key", "_print"], "left_anti").join(keyed, ["_key", "_print"], "left_semi").select(*columns)
+        todo = delta.resumed(changed, kept.select(F.col("file_path"), F.col("_print").alias("fingerprint")).distinct()).cache()
+        n_files = todo.count()
+        n = -(-n_files // self.settings.checkpoint_files)
+        written, done = [], 0
+        for k in range(n):
+            part = todo.filter(F.pmod(F.xxhash64("path_key"), F.lit(n)) == k)
+            chunks = scanners.chunk_files(self._of(files, part))
+            where = f"{self._staging(collection)}/{key}/{datetime.now(UTC):%Y%m%d%H%M%S%f}-{k}"
+            made = embedding.embedded(chunks, self.provider, self.settings.embed_batch).withColumn("_key", P.path_key(F.col("file_path")))
+            made.join(keyed, "_key").select(*columns).write.parquet(where)
+            written.append(where)
+            done += part.count()
+            self._tell(root, "embed", done, n_files, f"batch {k + 1} of {n}")
+        todo.unpersist()
+        return kept.unionByName(read(written)).drop("_key", "_print")
+
     @staticmethod
     def _of(files: DataFrame, changed: DataFrame) -> DataFrame:
-        keyed = files.select("workspace_root", "file_path", "content", P.path_key(F.col("file_path")).alias("path_key"))
+        keyed = files.select("workspace_root", "file_path", "content", "analyzer", P.path_key(F.col("file_path")).alias("path_key"))
         return keyed.join(changed.select("path_key"), "path_key", "left_semi").drop("path_key")
 
     def _register(self, root, workspace, collection, target, totals, full) -> None:
         who = git_identity(root)
         old = self.registry()
         name = root.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]
+        known = old.filter(F.col("workspace_id") == workspace).first()
+        prior, targets = (known.aliases or [], known.indexed_targets or []) if known else ([], [])
+        sln = target if target and target.lower().endswith((".sln", ".slnx")) else None
+        named = catalog.aliases(F.lit(root), F.lit(sln).cast("string"), F.lit([target] if target and not sln else []).cast("array<string>"), F.lit(prior).cast("array<string>"))
+        aliases = self.spark.range(1).select(named.alias("a")).first().a
+        member = [r.name for r in self.groups().filter(F.exists("roots", lambda r: P.path_key(r) == root.lower())).select("name").collect()]
         row = (
-            root, workspace, collection, [], [target or root], datetime.now(UTC).replace(tzinfo=None), totals["scanned"], totals["chunks"], full,
-            who["repository_root"], who["remote_url"], who["branch"], who["commit_sha"], name, [name], "completed",
+            root, workspace, collection, sorted(member), list(dict.fromkeys([*targets, target or root])), datetime.now(UTC).replace(tzinfo=None), totals["scanned"], totals["chunks"], full,
+            who["repository_root"], who["remote_url"], who["branch"], who["commit_sha"], name, aliases, "completed",
         )
         self._replace(self.catalogs, "registry", catalog.upserted_registry(old, self.spark.createDataFrame([row], S.REGISTRY)))
 
@@ -177,14 +364,13 @@ class Engine:
 
     def status(self, root: str) -> DataFrame:
         """One row: files and chunks of the state, last write."""
-        workspace = self.spark.range(1).select(K.workspace_id(F.lit(root)).alias("id")).first().id
-        return delta.index_summary(self.state(workspace))
+        return delta.index_summary(self.state(self._names(root)[1]))
 
     def delete_workspace(self, root: str) -> None:
         """Remove vectors, state and registry row; what is not there is no error."""
         for r in self.registry().filter(P.path_key(F.col("workspace_root")) == root.lower()).collect():
             self.vectors.drop(r.collection_name)
-            self.states.drop(r.workspace_id)
+            self._drop_staging(r.collection_name)
         self._replace(self.catalogs, "registry", self.registry().filter(P.path_key(F.col("workspace_root")) != root.lower()))
 
     def trigger_indexing(self, request: dict) -> dict:
@@ -258,27 +444,44 @@ class Engine:
     # --- moving
 
     def export_workspace(self, root: str, folder: str) -> None:
-        rows = self.registry().filter(P.path_key(F.col("workspace_root")) == root.lower())
+        self._export(self.registry().filter(P.path_key(F.col("workspace_root")) == root.lower()), folder, "workspace")
+
+    def export_group(self, name: str, folder: str) -> None:
+        """All indexed workspaces of a group, and the group itself."""
+        group = self.groups().filter(F.lower(F.trim("name")) == name.strip().lower())
+        members = catalog.group_members(group, self.registry())
+        rows = self.registry().join(members.select("workspace_id"), "workspace_id", "left_semi")
+        if rows.isEmpty():
+            raise LookupError(f"no workspace of group {name!r} is indexed")
+        self._export(rows, folder, "group", group)
+
+    def _export(self, rows: DataFrame, folder: str, kind: str, groups: DataFrame | None = None) -> None:
         points, _ = self.points(rows.select("workspace_root", "workspace_id", "collection_name"))
-        transfer.export(points, rows, folder, "workspace", self.settings.prefix)
+        transfer.export(points, rows, folder, kind, self.settings.prefix, groups)
         for r in rows.collect():
-            self.state(r.workspace_id).write.mode("overwrite").parquet(f"{folder}/state")
+            self.state(r.collection_name).write.mode("overwrite").parquet(f"{folder}/state/{r.workspace_id}")
+            head = self.vectors.head(r.collection_name) or {}
+            self.spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/head/{r.workspace_id}")
 
     def import_workspace(self, folder: str, mapping: dict[str, str]) -> list[str]:
-        """Bring exported workspaces in under new roots; the names of their collections."""
+        """Bring exported workspaces, and their group, in under new roots; the names of their collections."""
         manifest = transfer.read_manifest(self.spark, folder)
         like = self.spark.createDataFrame([], self._point_schema())
         points = transfer.remapped_points(transfer.read_points(self.spark, folder, like), mapping)
-        rows = self.spark.createDataFrame([(json.dumps(w),) for w in manifest["workspaces"]], "value string")
-        rows = rows.select(F.from_json("value", S.REGISTRY).alias("r")).select("r.*")
-        rows = transfer.remapped_registry(rows, mapping, self.settings.prefix)
-        state = transfer.remapped_state(self.spark.read.parquet(f"{folder}/state"), mapping)
+        listed = lambda some, shape: self.spark.createDataFrame([(json.dumps(x),) for x in some], "value string").select(F.from_json("value", shape).alias("r")).select("r.*")
+        old = listed(manifest["workspaces"], S.REGISTRY)
+        rows = transfer.remapped_registry(old.withColumn("_old", F.col("workspace_id")), mapping, self.settings.prefix)
         done = []
         for r in rows.collect():
-            self.vectors.promote(r.collection_name, self.vectors.build(r.collection_name, points.filter(F.col("workspace_id") == r.workspace_id)))
-            self._replace(self.states, r.workspace_id, state)
+            state = transfer.remapped_state(self.spark.read.parquet(f"{folder}/state/{r._old}"), mapping)
+            head = json.loads(self.spark.read.text(f"{folder}/head/{r._old}").first().value)
+            head |= {"commit_sha": None, "dirty": []}  # the new root's own history decides from the next run on
+            version = self.vectors.build(r.collection_name, points.filter(F.col("workspace_id") == r.workspace_id), state=state, head=head)
+            self.vectors.promote(r.collection_name, version)
             done.append(r.collection_name)
-        self._replace(self.catalogs, "registry", catalog.upserted_registry(self.registry(), rows))
+        self._replace(self.catalogs, "registry", catalog.upserted_registry(self.registry(), rows.drop("_old")))
+        for g in transfer.remapped_groups(listed(manifest.get("groups") or [], S.GROUPS), mapping).collect():
+            self.save_group(g.name, g.roots, g.exclude_directories or [])
         return done
 
     def migrate_workspace(self, old: str, new: str) -> str:
@@ -290,13 +493,13 @@ class Engine:
         moved = transfer.remapped_registry(self.registry().filter(F.col("workspace_id") == row.workspace_id), mapping, self.settings.prefix).cache()
         target = moved.first()
         points = transfer.remapped_points(self.vectors.read(row.collection_name), mapping)
-        version = self.vectors.build(target.collection_name, points)
-        self._replace(self.states, target.workspace_id, transfer.remapped_state(self.state(row.workspace_id), mapping))
+        state = transfer.remapped_state(self.state(row.collection_name), mapping)
+        head = (self.vectors.head(row.collection_name) or {}) | {"commit_sha": None, "dirty": []}
+        version = self.vectors.build(target.collection_name, points, state=state, head=head)
         self.vectors.promote(target.collection_name, version)
         rest = self.registry().filter(F.col("workspace_id") != row.workspace_id)
         self._replace(self.catalogs, "registry", catalog.upserted_registry(rest, moved))
         self.vectors.drop(row.collection_name)
-        self.states.drop(row.workspace_id)
         return target.collection_name
 
     def adopt_workspace(self, root: str) -> dict[str, int]:
@@ -305,8 +508,9 @@ class Engine:
         if row is None:
             raise LookupError(f"{root} is not indexed")
         points, files = self.vectors.read(row.collection_name), scan.tree(self.spark, root)
-        state = transfer.recovered_state(points, files, self.settings.fingerprint_content)
-        self._replace(self.states, row.workspace_id, state.select(*[c.split()[0] for c in _STATE.split(", ")]))
+        state = transfer.recovered_state(points, files, self.settings.fingerprint_content).select(*[c.split()[0] for c in _STATE.split(", ")])
+        head = {"embedding_model": self._model()[0], "schema_version": S.SCHEMA_VERSION, "saved_at_utc": datetime.now(UTC).isoformat(), "rules": self._rules(()), "commit_sha": None, "dirty": []}
+        self.vectors.promote(row.collection_name, self.vectors.build(row.collection_name, points, state=state, head=head))
         return transfer.recovery_summary(points, files).first().asDict()
 
     @staticmethod

@@ -7,7 +7,7 @@ fingerprints with it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.paths import path_key
@@ -86,6 +86,32 @@ def dry_run(current: DataFrame, previous: DataFrame, estimates: DataFrame, force
     )
 
 
+def dry_run_totals(plan: DataFrame) -> DataFrame:
+    """One row of what ``dry_run`` says: files changed and deleted, chunks to make and to delete."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return plan.agg(
+        F.count_if("changed").alias("changed"), F.count_if("deleted").alias("deleted"), n("estimated_chunks").alias("estimated_chunks"), n("estimated_deletes").alias("estimated_deletes")
+    )
+
+
+def compatible(model: Column, schema_version: Column, wanted_model: str, wanted_version: int) -> Column:
+    """Whether a stored state can be continued: same model by exact name, and a blank or equal schema version."""
+    version = F.trim(F.coalesce(schema_version, F.lit("")))
+    return F.coalesce(model == wanted_model, F.lit(False)) & ((version == "") | (version == str(wanted_version)))
+
+
+def without_failed(state: DataFrame, made: DataFrame) -> DataFrame:
+    """State rows (path_key) less files of which a chunk (file_path, embedding) got no vector: the next run does them again."""
+    failed = made.filter("embedding IS NULL").select(path_key(F.col("file_path")).alias("path_key")).distinct()
+    return state.join(failed, "path_key", "left_anti")
+
+
+def running_totals(steps: DataFrame) -> DataFrame:
+    """``steps`` (workspace_root, seq, files, chunks) of runs, with what each run has done up to each step."""
+    upto = Window.partitionBy("workspace_root").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return steps.withColumns({"files_done": F.sum("files").over(upto), "chunks_done": F.sum("chunks").over(upto)})
+
+
 def resumed(changed: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """Files that a stopped run still has to do."""
     done = keyed(checkpoint).select("path_key", F.col("fingerprint").alias("done"))
@@ -123,18 +149,23 @@ def chunks_per_file(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(path_key(F.col("file_path")).alias("path_key")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
 
 
+#: Ranges of paths that ranks are counted in.
+PAGE_RANGES = 256
+
+
 def state_pages(state: DataFrame, page_files: int = 512) -> DataFrame:
     """The state's files with their page, in order of directory and path.
 
-    Pages come from a count of files by directory and a rank inside each directory, so no task orders
-    all files.
+    Rows are dealt by ranges of (directory, path), so a flat directory of any size is split; each
+    part ranks its own rows and adds what the parts before it hold, one number a part.
     """
-    ranges = state.withColumn("path_key", path_key(F.col("file_path"))).withColumn("_range", F.regexp_replace("path_key", "[^/]*$", ""))
-    counts = ranges.groupBy("_range").count()
-    before = counts.withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    order = Window.partitionBy("_range").orderBy("path_key", "file_path")
-    placed = ranges.join(before, "_range").withColumn("_n", F.col("_base") + F.row_number().over(order) - 1)
-    return placed.withColumn("page", F.floor(F.col("_n") / page_files).cast("int")).drop("_range", "_base", "_n", "path_key")
+    named = state.withColumn("_k", path_key(F.col("file_path"))).withColumn("_d", F.regexp_replace("_k", "[^/]*$", ""))
+    parts = named.repartitionByRange(PAGE_RANGES, "_d", "_k", "file_path").withColumn("_p", F.spark_partition_id())
+    counts = parts.groupBy("_p").count()
+    before = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    order = Window.partitionBy("_p").orderBy("_d", "_k", "file_path")
+    placed = parts.join(F.broadcast(before), "_p").withColumn("_n", F.col("_base") + F.row_number().over(order) - 1)
+    return placed.withColumn("page", F.floor(F.col("_n") / page_files).cast("int")).drop("_d", "_k", "_p", "_base", "_n")
 
 
 def index_summary(state: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,23 +15,59 @@ from siltstone.functions import keys as K
 from siltstone.functions import paths as P
 
 
-def tree(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+#: Local trees of up to this many files are listed without their excluded directories; larger ones by Spark.
+PRUNED_FILES = 50_000
+_FOUND = "workspace_root string, file_path string, content string, size long, last_write_time_utc timestamp"
+
+
+def tree(spark: SparkSession, root: str, pattern: str | None = None, excluded_directories: Sequence[str] = ()) -> DataFrame:
     """(workspace_root, file_path, content, size, last_write_time_utc) of every file below ``root``.
 
-    Columns that are not used are not read: a scan for names and times opens no file.
+    Columns that are not used are not read: a scan for names and times opens no file. On a mounted
+    file system excluded directories are neither listed nor opened. Bytes that are no UTF-8 become
+    replacement characters.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    kept = _pruned(root, excluded_directories) if excluded_directories and os.path.isdir(root) else None
+    if kept is not None:
+        return read_files(spark, root, kept)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(root).select(
+    return _rows(reader.load(root), root)
+
+
+def read_files(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
+    """The same of the named files."""
+    if not paths:
+        return spark.createDataFrame([], _FOUND)
+    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]  # names are no patterns
+    return _rows(spark.read.format("binaryFile").load(literal), root)
+
+
+def _rows(found: DataFrame, root: str) -> DataFrame:
+    return found.select(
         F.lit(root).alias("workspace_root"),
         F.regexp_replace("path", "^file:(//)?", "").alias("file_path"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("last_write_time_utc"),
     )
 
 
+def _pruned(root: str, excluded: Sequence[str]) -> list[str] | None:
+    """Files below ``root`` outside of excluded directories; None if there are too many to name."""
+    names = {e.replace("\\", "/").strip("/").lower() for e in excluded}
+    out: list[str] = []
+    for here, directories, files in os.walk(root):
+        below = os.path.relpath(here, root).replace(os.sep, "/").lower()
+        inside = (lambda d: d.lower()) if below == "." else (lambda d: f"{below}/{d.lower()}")
+        directories[:] = [d for d in directories if d.lower() not in names and inside(d) not in names]
+        out += [os.path.join(here, f) for f in files]
+        if len(out) > PRUNED_FILES:
+            return None
+    return out
+
+
 def in_scope(path: Column, root: Column, content: Column | None, excluded_directories: Sequence[str], excluded_files: Sequence[str], profile: str = "all", skip_generated: bool = True) -> Column:
     """Whether a scan takes a file: some analyzer accepts it, nothing excludes it, and its guessed profile fits."""
     taken = F.lit(False)
@@ -45,7 +83,8 @@ def in_scope(path: Column, root: Column, content: Column | None, excluded_direct
 def scanned(files: DataFrame, excluded_directories: Sequence[str] = C.DEFAULT_EXCLUDED_DIRECTORIES, excluded_files: Sequence[str] = C.DEFAULT_EXCLUDED_FILES, profile: str = "all", skip_generated: bool = True) -> DataFrame:
     """Files that a scan takes, one row for each path whatever its case."""
     keep = in_scope(F.col("file_path"), F.col("workspace_root"), F.col("content"), excluded_directories, excluded_files, profile, skip_generated)
-    return files.filter(keep).dropDuplicates(["workspace_root", "file_path"])
+    once = files.filter(keep).groupBy("workspace_root", P.path_key(F.col("file_path")).alias("_k"))
+    return once.agg(F.min_by(F.struct(*files.columns), "file_path").alias("row")).select("row.*")
 
 
 def targets(files: DataFrame, roots: Sequence[str], singles: Sequence[str] = ()) -> DataFrame:
@@ -56,7 +95,13 @@ def targets(files: DataFrame, roots: Sequence[str], singles: Sequence[str] = ())
     return files.filter(inside)
 
 
-def fingerprinted(files: DataFrame, by_content: bool = True) -> DataFrame:
-    """Rows of a file state without chunk counts; by size and time, contents are never read."""
+def target_files(files: DataFrame, target: str, excluded_directories: Sequence[str] = (), excluded_files: Sequence[str] = ()) -> DataFrame:
+    """(file_path, scanned): a single file as a target; excluded or of no analyzer it is not scanned, but may still be deleted."""
+    one = files.filter(P.path_key(F.col("file_path")) == target.lower())
+    return one.select("file_path", in_scope(F.col("file_path"), F.col("workspace_root"), None, excluded_directories, excluded_files, skip_generated=False).alias("scanned"))
+
+
+def fingerprinted(files: DataFrame, by_content: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of a file state without chunk counts, and the columns to ``keep``; by size and time, contents are never read."""
     print_ = K.content_fingerprint(F.col("content")) if by_content else K.metadata_fingerprint(F.col("size"), F.col("last_write_time_utc"))
-    return files.select("file_path", print_.alias("fingerprint"), "size", "last_write_time_utc", F.lit(0).alias("chunk_count"))
+    return files.select("file_path", print_.alias("fingerprint"), "size", "last_write_time_utc", F.lit(0).alias("chunk_count"), *keep)

@@ -373,9 +373,10 @@ def code_chunks(files: DataFrame, analyzer: str) -> DataFrame:
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """The chunk table of all files that some analyzer takes."""
+    """The chunk table of all files that some analyzer takes; a column ``analyzer`` that is there already decides."""
     pick = C.select_analyzer(F.col("file_path"), F.col("workspace_root"), F.col("content"))["analyzer"]
-    chosen = files.withColumn("analyzer", pick).filter("analyzer IS NOT NULL")
+    named = files if "analyzer" in files.columns else files.withColumn("analyzer", pick)
+    chosen = named.filter("analyzer IS NOT NULL")
     of = lambda name: chosen.filter(F.col("analyzer") == name).drop("analyzer")
     out = documentation_chunks(of("documentation")).unionByName(metadata_chunks(of("metadata")))
     for name in SCANNERS:

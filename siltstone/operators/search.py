@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import batched
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,11 +154,18 @@ def batched_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
 
     Each Arrow batch is multiplied with the matrix of queries and gives its own best ``k`` a query,
     so what is shuffled is at most ``k`` rows a query and batch, and no row is paired with all
-    queries as a row. The queries go to every task: at most MAX_QUERIES.
+    queries as a row. The queries go to every task, at most MAX_QUERIES at once: more are done in
+    blocks, with a scan for each.
     """
-    asked = queries.select("query_id", "vector").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"ask at most {MAX_QUERIES} queries at once")
+    blocks = batched(queries.select("query_id", "vector").toLocalIterator(), MAX_QUERIES)
+    found = [_best_of_block(vectors, list(block), k, id_col) for block in blocks]
+    if not found:
+        return top(vectors.sparkSession.createDataFrame([], f"query_id long, {id_col} long, score double"), k, ["query_id"], tie=id_col)
+    return top(reduce(DataFrame.unionByName, found), k, ["query_id"], tie=id_col)
+
+
+def _best_of_block(vectors: DataFrame, asked: list, k: int, id_col: str) -> DataFrame:
+    """(query_id, point_id, score): the best ``k`` of each batch of vectors for each query of a block."""
     ids = [r.query_id for r in asked]
     matrix = [[float(x) for x in r.vector] for r in asked]
 
@@ -187,5 +196,4 @@ def batched_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
                 out[2].extend(scores[order, j].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", id_col, "score"])
 
-    found = vectors.select(F.col(id_col).cast("long"), F.col("embedding")).mapInArrow(best, f"query_id long, {id_col} long, score double")
-    return top(found, k, ["query_id"], tie=id_col)
+    return vectors.select(F.col(id_col).cast("long"), F.col("embedding")).mapInArrow(best, f"query_id long, {id_col} long, score double")

@@ -31,11 +31,12 @@ def solution_projects(files: DataFrame) -> DataFrame:
 def project_references(files: DataFrame) -> DataFrame:
     """(file_path, project): projects that each project refers to and that are among ``files``.
 
-    Elements count whatever their case and namespace; text that is no XML gives what the pattern
-    still finds.
+    Elements count whatever their case and namespace; text that is no XML has none.
     """
+    parsed = F.from_xml(F.col("content"), "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     names = F.regexp_extract_all("content", F.lit(r"""(?is)<(?:[\w.-]+:)?ProjectReference\b[^>]*?\bInclude\s*=\s*["']([^"']+\.csproj)["']"""), F.lit(1))
-    found = files.filter(P.extension(F.col("file_path")) == ".csproj").select("file_path", F.explode(F.array_distinct(names)).alias("name"))
+    sound = files.filter((P.extension(F.col("file_path")) == ".csproj") & parsed["_bad"].isNull())
+    found = sound.select("file_path", F.explode(F.array_distinct(names)).alias("name"))
     return _existing(found, files, "project")
 
 

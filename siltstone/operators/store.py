@@ -1,12 +1,15 @@
 """Versioned vector tables: keyed upsert and deletes as whole new versions, promotion as a pointer.
 
-A table's folder holds ``v=<n>`` folders, and the registry row of its workspace names the active
-one. A run builds a new version beside it; readers keep the old one until ``promote`` switches the
-pointer, and the version before stays for rollback.
+A table's folder holds ``v=<n>`` folders, each with its points and, for a workspace's collection,
+the file state and a head that belong to them. Which one is active says the last of the pointers,
+empty files named ``active-<number>-v<n>``: making one is a single step, so readers see the old
+version or the new one, with its own state, and never neither. The version before stays for rollback.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,40 +94,61 @@ class VectorStore:
         names = [s.getPath().getName() for s in fs.listStatus(where)]
         return sorted(int(n[2:]) for n in names if n.startswith("v="))
 
+    def pointers(self, name: str) -> list[tuple[int, int]]:
+        """(number, version) of the pointers, in order."""
+        fs, where = self._fs(f"{self.root}/{name}")
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted((int(m[1]), int(m[2])) for n in names if (m := re.fullmatch(r"active-(\d+)-v(\d+)", n)))
+
     def active(self, name: str) -> int | None:
-        fs, where = self._fs(f"{self.root}/{name}/ACTIVE")
-        if not fs.exists(where):
-            return None
-        stream = fs.open(where)
-        try:
-            return int(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        found = self.pointers(name)
+        return found[-1][1] if found else None
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, part: str = "points") -> DataFrame:
         version = self.active(name)
         if version is None:
             raise LookupError(f"no active version of {name}")
-        return self.spark.read.parquet(self.path(name, version))
+        return self.spark.read.parquet(f"{self.path(name, version)}/{part}")
 
-    def build(self, name: str, points: DataFrame, width: int | None = None) -> int:
-        """Write ``points`` as a new version, not yet active."""
+    def head(self, name: str) -> dict | None:
+        """What the active version says of itself; None without one."""
+        version = self.active(name)
+        fs, where = self._fs(f"{self.path(name, version or 0)}/head")
+        if version is None or not fs.exists(where):
+            return None
+        return json.loads(self.spark.read.text(f"{self.path(name, version)}/head").first().value)
+
+    def build(self, name: str, points: DataFrame, width: int | None = None, state: DataFrame | None = None, head: dict | None = None) -> int:
+        """Write ``points`` as a new version with its ``state`` and ``head``, not yet active."""
         version = max(self.versions(name), default=0) + 1
-        checked_vectors(points, width).write.parquet(self.path(name, version))
+        if width is None and self.active(name) is not None:
+            width = self.width(name)
+        checked_vectors(points, width).write.parquet(f"{self.path(name, version)}/points")
+        if state is not None:
+            state.write.parquet(f"{self.path(name, version)}/state")
+        if head is not None:
+            one = self.spark.createDataFrame([(json.dumps(head),)], "value string")
+            one.coalesce(1).write.text(f"{self.path(name, version)}/head")
         return version
 
+    def width(self, name: str) -> int | None:
+        """Width of the active version's vectors; None if it has none."""
+        points = self.read(name)
+        row = points.select(F.size("embedding").alias("n")).first() if "embedding" in points.columns else None
+        return row.n if row else None
+
     def promote(self, name: str, version: int, keep: int = 2) -> None:
         """Make a version the active one; older ones go, but for the last ``keep``."""
-        fs, where = self._fs(f"{self.root}/{name}/ACTIVE")
-        _, fresh = self._fs(f"{self.root}/{name}/ACTIVE.next")
-        out = fs.create(fresh, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        if fs.exists(where):
-            fs.delete(where, False)
-        fs.rename(fresh, where)
+        before = self.pointers(name)
+        number = before[-1][0] + 1 if before else 1
+        fs, where = self._fs(f"{self.root}/{name}/active-{number}-v{version}")
+        fs.create(where, False).close()
+        for old, v in before[:-1]:
+            f, p = self._fs(f"{self.root}/{name}/active-{old}-v{v}")
+            f.delete(p, False)
+        stay = {version, *([before[-1][1]] if before else []), *self.versions(name)[-keep:]}
         for old in self.versions(name):
-            if old < version and old not in self.versions(name)[-keep:]:
+            if old < version and old not in stay:
                 f, p = self._fs(self.path(name, old))
                 f.delete(p, True)
 

@@ -33,7 +33,7 @@ def required(value: Column, label: str, what: Column) -> Column:
 
 
 def remapped_points(points: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """Points under new roots: root, ids and paths follow, and point ids are made anew from the chunk."""
+    """Points under new roots: root, workspace id and paths follow; point ids stay, as they are keys and no more."""
     root = required(mapped_root(F.col("workspace_root"), mapping), "no new root for", F.col("workspace_root"))
     path = F.coalesce(mapped_root(F.col("file_path"), mapping), F.concat_ws("/", root, F.col("relative_path")))
     repository = F.coalesce(mapped_root(F.col("repository_root"), mapping), F.col("repository_root"))
@@ -61,17 +61,24 @@ def remapped_registry(registry: DataFrame, mapping: Mapping[str, str], prefix: s
     )
 
 
-def export(points: DataFrame, registry: DataFrame, folder: str, kind: str = "workspace", prefix: str = "siltstone") -> None:
-    """Points as JSON lines, and a manifest of what they are."""
+def export(points: DataFrame, registry: DataFrame, folder: str, kind: str = "workspace", prefix: str = "siltstone", groups: DataFrame | None = None) -> None:
+    """Points as JSON lines, and a manifest of what they are: a workspace, or a group with all of its own."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}")
     points.write.mode("overwrite").json(f"{folder}/points")
-    rows = [json.loads(r) for r in registry.orderBy("workspace_root").toJSON().collect()]  # a row for each exported workspace
-    manifest = {"format": FORMAT, "schema_version": S.SCHEMA_VERSION, "prefix": prefix, "kind": kind, "workspaces": rows}
+    listed = lambda df, by: [json.loads(r) for r in df.orderBy(by).toJSON().collect()]  # noqa: E731  a row for each exported workspace or group
+    manifest = {"format": FORMAT, "schema_version": S.SCHEMA_VERSION, "prefix": prefix, "kind": kind, "workspaces": listed(registry, "workspace_root")}
+    if groups is not None:
+        manifest["groups"] = listed(groups, "name")
     spark = points.sparkSession
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
 
 
+def remapped_groups(groups: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """Groups with their roots under new ones; a root that has no new place is an error."""
+    return groups.withColumn("roots", F.transform("roots", lambda r: required(mapped_root(r, mapping), "no new root for", r)))
+
+
 def read_manifest(spark: SparkSession, folder: str) -> dict:
     manifest = json.loads("\n".join(r.value for r in spark.read.text(f"{folder}/manifest").collect()))
     if manifest.get("format") != FORMAT:

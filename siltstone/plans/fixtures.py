@@ -79,7 +79,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("long"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce("text", F.lit("")).alias("content"))
     line = F.col("vec_id") % 8 * 5 + 1
-    return e.join(d, "vec_id").select(
+    return e.join(d, "vec_id", "left").withColumn("content", F.coalesce("content", F.lit(""))).select(
         F.col("vec_id").alias("point_id"),
         "embedding",
         F.concat(F.lit("w"), F.col("vec_id") % 3).alias("workspace_id"),
@@ -102,7 +102,7 @@ VECTORS = f"""vectors AS (SELECT vec_id AS point_id, embedding::DOUBLE[] AS embe
   CAST(vec_id % 8 * 5 + 1 AS INTEGER) AS start_line, CAST(vec_id % 8 * 5 + 6 AS INTEGER) AS end_line,
   {_pick_sql(TYPES, 'label')} AS content_type, {_pick_sql(PROFILES, 'label')} AS index_profile, {_pick_sql(LANGUAGES, 'label')} AS language,
   coalesce(text, '') AS content, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE coalesce(text, '') END AS preview
-  FROM embeddings JOIN documents ON vec_id = doc_id),
+  FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
 q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1),
 words AS (SELECT list_filter(list_transform(string_split(text, ' '), lambda t: trim(t)), lambda t: t <> '') AS ts FROM benchmark ORDER BY item_id LIMIT 1),
 sem AS (SELECT vectors.*, round(list_cosine_similarity(embedding, v), 6) AS score FROM vectors, q),

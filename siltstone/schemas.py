@@ -10,8 +10,7 @@ INDEX_STATE = (
 )
 CHUNKS = (
     "id string, workspace_root string, file_path string, language string, symbol_name string, symbol_kind string, "
-    "start_line int, end_line int, content string, content_type string, index_profile string, "
-    "fully_qualified_symbol_name string, namespace string, type_context string, base_types string"
+    "start_line int, end_line int, content string, content_type string, index_profile string"
 )
 REGISTRY = (
     "workspace_root string, workspace_id string, collection_name string, groups array<string>, "

@@ -98,13 +98,15 @@ def test_groups_and_stores(spark, tmp_path):
 def test_solution_scope(spark):
     files = {
         "/w/all.sln": 'Project("{X}") = "A", "a\\A.csproj", "{Y}"\nProject("{X}") = "No", "no\\No.csproj", "{Y}"',
-        "/w/a/A.csproj": '<Project><ItemGroup><projectreference include="..\\b\\B.csproj" /></ItemGroup>',
+        "/w/a/A.csproj": '<Project><ItemGroup><projectreference include="..\\b\\B.csproj" /></ItemGroup></Project>',
         "/w/b/B.csproj": "<Project xmlns:m='x'><m:ProjectReference Include='../a/A.csproj'/></Project>",
+        "/w/b/Bad.csproj": "<Project><ProjectReference Include='../c/C.csproj'></Project>", "/w/c/C.csproj": "<Project/>",
         "/w/a/x.cs": "", "/w/b/deep/y.cs": "", "/w/c/z.cs": "", "/w/Directory.Build.props": "", "/other/global.json": "",
     }
     df = spark.createDataFrame(list(files.items()), "file_path string, content string")
     got = sorted(r.file_path for r in solution.solution_scope(df, "/w/all.sln", "/w").collect())
-    assert got == ["/w/Directory.Build.props", "/w/a/A.csproj", "/w/a/x.cs", "/w/all.sln", "/w/b/B.csproj", "/w/b/deep/y.cs"]
+    assert got == ["/w/Directory.Build.props", "/w/a/A.csproj", "/w/a/x.cs", "/w/all.sln", "/w/b/B.csproj", "/w/b/Bad.csproj", "/w/b/deep/y.cs"]
+    assert {(r.file_path, r.project) for r in solution.project_references(df).collect()} == {("/w/a/A.csproj", "/w/b/B.csproj"), ("/w/b/B.csproj", "/w/a/A.csproj")}
     assert solution.detected_root(df, "/w/a/sub").first().root == "/w"
     assert solution.detected_root(df, "/none/x").first().root == "/none/x"
 
