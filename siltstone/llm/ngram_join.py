@@ -59,7 +59,7 @@ BROADCAST_IDS = 2_000_000
 LISTS_IN_BATCH = 64
 
 ASKED = "p int, fps binary, docs binary, ids binary, sigs binary"
-ANSWERED = "doc_id long, n int, sig binary, tok long, df int"
+ANSWERED = "doc_id long, n int, sig binary, low long, tok long, df int"
 INDEXED = "tok long, rep long, n int, pos int, tail binary"
 
 
@@ -122,22 +122,27 @@ def _ask(ngram: int, parts: int):
 
 
 def _answer(key, asked):
-    """Documents as they are; for a partition of fingerprints, those that several sets hold."""
+    """Documents as they are; for a partition of fingerprints, those that several sets hold, once a set and under its smallest id.
+
+    All documents of a set hold its fingerprints, so all are here. ``low`` tells sets of one id apart.
+    """
     import numpy as np
     import pyarrow as pa
 
     p = key[0].as_py()
     column = lambda c, t: [np.frombuffer(x, dtype=t) for x in asked.column(c).to_pylist()]
     ids = column("ids", np.int64)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("tok", pa.int64()), ("df", pa.int32())])
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    schema = pa.schema([(c.split()[0], t) for c, t in zip(ANSWERED.split(", "), types, strict=True)])
     if p < 0:
         signs = b"".join(asked.column("sigs").to_pylist())
         flat = np.concatenate(ids)
         none = pa.nulls(len(flat), pa.int64())
         cut = [signs[i : i + 16] for i in range(0, len(signs), 16)]
         n = np.concatenate(column("fps", np.uint32)).astype(np.int32)
+        low = np.frombuffer(signs, dtype="<i8")[::2]
         return pa.Table.from_arrays(
-            [pa.array(flat), pa.array(n), pa.array(cut, pa.binary()), none, none.cast(pa.int32())], schema=schema
+            [pa.array(flat), pa.array(n), pa.array(cut, pa.binary()), pa.array(low), none, none.cast(pa.int32())], schema=schema
         )
     fps = np.concatenate(column("fps", np.uint32))
     docs = column("docs", np.uint16)
@@ -149,7 +154,7 @@ def _answer(key, asked):
     twin[1:] = fps[1:] == fps[:-1]
     twin[:-1] |= twin[1:]
     fps, doc, sig = fps[twin], doc[order[twin]], sig[order[twin]]
-    order = np.lexsort((sig, fps))
+    order = np.lexsort((doc, sig, fps))
     fps, doc, sig = fps[order], doc[order], sig[order]
     new_fp = np.ones(len(fps), dtype=bool)
     new_fp[1:] = fps[1:] != fps[:-1]
@@ -157,11 +162,12 @@ def _answer(key, asked):
     new_set[1:] |= sig[1:] != sig[:-1]
     group = np.cumsum(new_fp) - 1
     df = np.bincount(group, weights=new_set)[group].astype(np.int32) if len(fps) else np.empty(0, np.int32)
-    keep = df > 1
+    keep = new_set & (df > 1)
     tok = (np.int64(p) << np.int64(32)) | fps[keep].astype(np.int64)
     n = int(keep.sum())
     return pa.Table.from_arrays(
-        [pa.array(doc[keep]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(tok), pa.array(df[keep])], schema=schema
+        [pa.array(doc[keep]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(sig[keep].view(np.int64)), pa.array(tok), pa.array(df[keep])],
+        schema=schema,
     )
 
 
@@ -314,12 +320,13 @@ def jaccard_components(
     tasks = min(max(1, -(-held // TASK_BYTES)), MOST_TASKS)
     asked = named.mapInArrow(_ask(ngram, parts), ASKED).repartition(tasks, "p")
     answers = scratch.table(asked.groupBy("p").applyInArrow(_answer, ANSWERED), "answers")
-    known = answers.filter("sig IS NOT NULL").select("doc_id", "n", "sig")
-    classes = scratch.table(known.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    known = answers.filter("sig IS NOT NULL").select("doc_id", "n", "sig", "low")
+    firsts = (F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"))
+    classes = scratch.table(known.filter("n > 0").groupBy("sig").agg(*firsts), "classes")
 
     # rare-first prefixes
-    shared = answers.filter("tok IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))
-    sets_in_order = shared.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "toks")
+    shared = answers.filter("tok IS NOT NULL").groupBy(F.col("doc_id").alias("rep"), "low").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))
+    sets_in_order = shared.join(classes.select("rep", "n", "low"), ["rep", "low"]).select("rep", "n", "toks")
     with small_batches(spark, INDEX_SETS):
         index = scratch.table(sets_in_order.mapInArrow(_index(percent), INDEXED), "index")
     sizes = index.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))

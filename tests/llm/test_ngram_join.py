@@ -66,6 +66,14 @@ def test_components_match_all_pairs(spark, monkeypatch, seed, block, group):
     assert [(r.class_id, r.component_id) for r in got if r.doc_id is None] == [(None, None)]
 
 
+def test_an_id_with_two_texts_links_as_both(spark):
+    a, b = ([f"{c}{k}" for k in range(60)] for c in "ab")
+    near = lambda words, k: " ".join(words[:-1] + [f"end{k}"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 2)), (3, near(b, 3)), (4, near(a, 4)), (5, near(a, 5)), (6, near(a, 6))]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.component_id for r in got] == [1] * 7
+
+
 def test_links_are_counted_and_long_texts_are_whole(spark):
     rows = corpus(3) + [(5000, "long " + " ".join(f"v{k}" for k in range(60_000)))]
     rows.append((5001, rows[-1][1].replace("v59999", "other")))
