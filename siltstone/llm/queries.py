@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.exact_search import nearest
+from siltstone.llm.fill_middle import fill_in_middle, restored
 from siltstone.llm.html_text import extract_pages
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.mixing import mix_sources
@@ -207,6 +209,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50, scale=256)
+
+
+_SEARCH_SQL = """
+WITH usable AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM (SELECT vec_id, embedding FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+e AS (SELECT rid, vec_id, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v FROM usable),
+scored AS (
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.rid <> c.rid)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) <= 5
+"""
+
+_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us,
+    CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (
+  SELECT *, CAST(len(us) AS BIGINT) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS u1,
+    greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS u2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (
+  SELECT doc_id, t, n, form, array_to_string(us[1:u1], '') AS p, array_to_string(us[u1 + 1:u2], '') AS m,
+    array_to_string(us[u2 + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -219,8 +275,15 @@ def queries() -> dict[str, Query]:
         "op8_media": op8_media,
         "op9_pack": op9_pack,
         "op10_mix_sources": op10_mix_sources,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_exact_search": op13_exact_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _quality_sql(), "op10_mix_sources": _mix_sql()}
+    return {
+        "op5_quality_rules": _quality_sql(),
+        "op10_mix_sources": _mix_sql(),
+        "op12_fill_middle": _MIDDLE_SQL,
+        "op13_exact_search": _SEARCH_SQL,
+    }
