@@ -15,6 +15,7 @@ from siltstone.llm.mixing import mix_sources
 from siltstone.llm.media import media_features, store_media
 from siltstone.llm.ngram_join import jaccard_components
 from siltstone.llm.packing import pack
+from siltstone.llm.prefix_trie import conversation_nodes
 from siltstone.llm.quality import RULES, STOP_WORDS, quality_rules
 from siltstone.llm.token_counts import token_counts
 from siltstone.llm.token_files import token_files
@@ -209,6 +210,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_nodes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+#: The cyclic redundancy check goes byte by byte, then bit by bit.
+_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, text, label,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, label) AS pos
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS text,
+      md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label
+    FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
+      string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda ch: list_concat([CAST(ascii(ch) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+      lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, (x & 1) * 3988292384) END), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT conv_id, text, label, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS BIGINT) AS depth
+  FROM (
+    SELECT c.conv_id, 0 AS part, pos, text, label FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+    UNION ALL
+    SELECT c.conv_id, 1 AS part, pos, text, label FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h)),
+m AS (
+  SELECT conv_id, depth, strlen(text) AS bytes, list(label) OVER (PARTITION BY conv_id ORDER BY depth) AS path,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM r
+  UNION ALL
+  SELECT conv_id, 0, 0, CAST([] AS VARCHAR[]), conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+n AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY path),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (
+  SELECT path[1:d] AS path, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+    CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.path = f.path LEFT JOIN n p ON f.depth > 0 AND p.path = f.path[1:f.depth - 1]
+"""
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select(
@@ -275,6 +320,7 @@ def queries() -> dict[str, Query]:
         "op8_media": op8_media,
         "op9_pack": op9_pack,
         "op10_mix_sources": op10_mix_sources,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_fill_middle": op12_fill_middle,
         "op13_exact_search": op13_exact_search,
     }
@@ -284,6 +330,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": _quality_sql(),
         "op10_mix_sources": _mix_sql(),
+        "op11_prefix_trie": _TRIE_SQL,
         "op12_fill_middle": _MIDDLE_SQL,
         "op13_exact_search": _SEARCH_SQL,
     }
