@@ -1,9 +1,10 @@
 """N-gram Jaccard join: connected components of documents whose shingle sets are alike.
 
 1. *Document frequencies.* Each task sends its documents' shingle hashes in blocks of 32-bit
-   fingerprints to the group that their hash names, which counts the different sets that hold each
-   one and answers for those that more than one set holds; a shingle of one set alone can't link
-   anything and costs four bytes once. There are as many groups as the texts' bytes need.
+   fingerprints to the group that their hash names, with 64 bits of each set's signature. The group
+   counts the different sets that hold each one and answers, once a set, for those that more than one
+   set holds; a shingle of one set alone can't link anything and is sent once. There are as many groups
+   as the texts' bytes need.
 2. *Classes.* Documents with equal sets form a class; its smallest id stands for it from here on.
 3. *Rare-first prefixes.* A set of n shingles, ordered by (frequency, fingerprint), links only with
    sets that share one of its first ``n - ceil(t n) + 1``. Shingles of frequency 1 come first and
@@ -58,7 +59,7 @@ CLASSES = 8
 BROADCAST_IDS = 2_000_000
 LISTS_IN_BATCH = 64
 
-ASKED = "p int, fps binary, docs binary, ids binary, sigs binary"
+ASKED = "p int, fps binary, counts binary, ids binary, sigs binary"
 ANSWERED = "doc_id long, n int, sig binary, low long, tok long, df int"
 INDEXED = "tok long, rep long, n int, pos int, tail binary"
 
@@ -97,7 +98,7 @@ def _ask(ngram: int, parts: int):
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("p", pa.int32()), *((c, pa.binary()) for c in ("fps", "docs", "ids", "sigs"))])
+        schema = pa.schema([("p", pa.int32()), *((c, pa.binary()) for c in ("fps", "counts", "ids", "sigs"))])
         for ids, sets in _chunks(batches, ngram):
             rows = []
             signs = [set_signature(s) for s in sets]
@@ -114,29 +115,25 @@ def _ask(ngram: int, parts: int):
             p = p[order]
             firsts = np.flatnonzero(np.diff(p, prepend=-1))  # of the groups that there are
             for a, b in pairwise([*firsts.tolist(), len(p)] if len(p) else []):
-                here, docs = np.unique(owner[a:b], return_inverse=True)
-                rows.append((int(p[a]), fps[a:b].tobytes(), docs.astype(np.uint16).tobytes(), ids[here].tobytes(), low[here].tobytes()))
+                here, counts = np.unique(owner[a:b], return_counts=True)  # fingerprints are in the order of their sets
+                rows.append((int(p[a]), fps[a:b].tobytes(), counts.astype("<u4").tobytes(), b"", low[here].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return ask
 
 
 def _answer(key, asked):
-    """Documents as they are; for a partition of fingerprints, those that several sets hold, once a set and under its smallest id.
-
-    All documents of a set hold its fingerprints, so all are here. ``low`` tells sets of one id apart.
-    """
+    """Documents as they are; for a partition of fingerprints, those that several sets hold, once a set (the low half of its signature)."""
     import numpy as np
     import pyarrow as pa
 
     p = key[0].as_py()
     column = lambda c, t: [np.frombuffer(x, dtype=t) for x in asked.column(c).to_pylist()]
-    ids = column("ids", np.int64)
     types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
     schema = pa.schema([(c.split()[0], t) for c, t in zip(ANSWERED.split(", "), types, strict=True)])
     if p < 0:
         signs = b"".join(asked.column("sigs").to_pylist())
-        flat = np.concatenate(ids)
+        flat = np.concatenate(column("ids", np.int64))
         none = pa.nulls(len(flat), pa.int64())
         cut = [signs[i : i + 16] for i in range(0, len(signs), 16)]
         n = np.concatenate(column("fps", np.uint32)).astype(np.int32)
@@ -145,17 +142,15 @@ def _answer(key, asked):
             [pa.array(flat), pa.array(n), pa.array(cut, pa.binary()), pa.array(low), none, none.cast(pa.int32())], schema=schema
         )
     fps = np.concatenate(column("fps", np.uint32))
-    docs = column("docs", np.uint16)
-    doc = np.concatenate([i[d] for i, d in zip(ids, docs, strict=True)])
-    sig = np.concatenate([s[d] for s, d in zip(column("sigs", np.uint64), docs, strict=True)])
+    sig = np.repeat(np.concatenate(column("sigs", np.uint64)), np.concatenate(column("counts", "<u4")))
     order = np.argsort(fps, kind="stable")
     fps = fps[order]
     twin = np.zeros(len(fps), dtype=bool)
     twin[1:] = fps[1:] == fps[:-1]
     twin[:-1] |= twin[1:]
-    fps, doc, sig = fps[twin], doc[order[twin]], sig[order[twin]]
-    order = np.lexsort((doc, sig, fps))
-    fps, doc, sig = fps[order], doc[order], sig[order]
+    fps, sig = fps[twin], sig[order[twin]]
+    order = np.lexsort((sig, fps))
+    fps, sig = fps[order], sig[order]
     new_fp = np.ones(len(fps), dtype=bool)
     new_fp[1:] = fps[1:] != fps[:-1]
     new_set = new_fp.copy()
@@ -166,7 +161,7 @@ def _answer(key, asked):
     tok = (np.int64(p) << np.int64(32)) | fps[keep].astype(np.int64)
     n = int(keep.sum())
     return pa.Table.from_arrays(
-        [pa.array(doc[keep]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(sig[keep].view(np.int64)), pa.array(tok), pa.array(df[keep])],
+        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(sig[keep].view(np.int64)), pa.array(tok), pa.array(df[keep])],
         schema=schema,
     )
 
@@ -325,8 +320,8 @@ def jaccard_components(
     classes = scratch.table(known.filter("n > 0").groupBy("sig").agg(*firsts), "classes")
 
     # rare-first prefixes
-    shared = answers.filter("tok IS NOT NULL").groupBy(F.col("doc_id").alias("rep"), "low").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))
-    sets_in_order = shared.join(classes.select("rep", "n", "low"), ["rep", "low"]).select("rep", "n", "toks")
+    shared = answers.filter("tok IS NOT NULL").groupBy("low").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))
+    sets_in_order = shared.join(classes.select("rep", "n", "low"), "low").select("rep", "n", "toks")
     with small_batches(spark, INDEX_SETS):
         index = scratch.table(sets_in_order.mapInArrow(_index(percent), INDEXED), "index")
     sizes = index.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
