@@ -1,21 +1,22 @@
 """Best-fit packing: a configuration linear program over the histogram of piece lengths.
 
 A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest
-configurations, in fractions, that hold every length as often as it occurs. ``solve_fractions``
-runs multiplicative weights on it: each length has a price, first its share of a sequence, that
-falls exponentially with the share of its pieces that is covered. A knapsack dynamic program a
-round finds the configuration worth most at these prices, and for each length the best one that
-holds it; those worth at least ``NEAR`` of the best are taken, best first, and no length is
-covered by more than a ``step`` of its pieces a round (the program's width). Prices over the best
-worth solve the dual program, so each round also gives a lower bound. Where the fractions need
-over ``GAP`` more than the bound, they are sought again with half the step and twice the rate,
-as long as that helps.
-
-Rounding takes whole sequences of the fractions, fullest and then longest pieces first, and the
-program is solved again for the pieces that are left, until at most ``REST`` of all are; these few
-go by best fit. All of this sees only the histogram, at most ``capacity`` numbers, so the driver's
-work does not grow with the corpus. Pieces then find their places by their rank among the pieces
-of their length: ranks inside a partition, plus a prefix sum of counts.
+configurations that hold every length as often as it occurs. It is solved by multiplicative weights:
+each length has a price, at first its share of a sequence and, if over half of one, a sequence of its
+own on top. A pass covers all pieces at these prices. A knapsack dynamic program a round finds the
+configuration worth most, and for each length the best one that holds it; those worth at least
+``NEAR`` of the best are taken, best first, each as many whole times as the pieces that are left
+allow, so that amounts are rounded down as they arise. Then each length's price moves by the power
+``RATE`` towards what its pieces have cost, a sequence being paid by its pieces in proportion to
+their prices: lengths that were left over for poor sequences get dearer, are placed earlier in the
+next pass and with whom they fit. Prices are carried over from pass to pass. Prices over the best
+worth solve the dual program, so each pass also gives a lower bound. Passes end at the bound or after
+``PASSES``, and the best one counts.
+
+The least full of its sequences, with at most ``REST`` of all pieces, are packed again by best fit. All
+of this sees only the histogram, at most ``capacity`` numbers, so the driver's work does not grow with
+the corpus. Pieces then find their places by their rank among the pieces of their length: ranks inside
+a partition, plus a prefix sum of counts.
 """
 
 from __future__ import annotations
@@ -34,15 +35,14 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 CAPACITY = 2048
-#: A round covers at most this share of a length's pieces, at first.
-STEP = 0.5
-#: Prices fall by this power of e while a length goes from uncovered to covered, at first.
-RATE = 1.0
+#: Prices move by this power towards what was paid.
+RATE = 0.7
 #: Configurations worth this share of the round's best one are taken as well.
-NEAR = 0.5
-#: Fractions that need this share more than the lower bound are good enough.
+NEAR = 0.9
+PASSES = 10
+#: Passes end if they need this share more than the lower bound.
 GAP = 0.001
-#: Rounding leaves at most this share of the pieces to best fit.
+#: At most this share of the pieces goes by best fit.
 REST = 0.05
 #: Rank bases up to this many rows are broadcast (three numbers a row).
 BROADCAST_BASES = 500_000
@@ -58,7 +58,7 @@ class Pattern:
 
 @dataclass(frozen=True)
 class Fractions:
-    """Amounts of configurations, each as (index of a length, pieces) pairs, and a bound that no solution beats."""
+    """Amounts of configurations, each as (index of a length, pieces) pairs, and a bound that no packing beats."""
 
     amounts: dict[tuple[tuple[int, int], ...], float]
     bound: float
@@ -71,14 +71,15 @@ class Fractions:
 def near_best_configurations(lengths, prices, limits, capacity: int) -> tuple[list[dict[int, int]], float]:
     """Multisets of ``lengths``, by worth at ``prices``: the best of all, then the best with each length; the best worth.
 
-    A knapsack dynamic program over bundles of 1, 2, 4, ... pieces of a length. The first keeps to
-    ``limits``; the others may hold their own length once more, and are worth ``NEAR`` of the first.
+    A knapsack dynamic program over bundles of 1, 2, 4, ... pieces of a length; of equal worth are
+    those with long pieces. The first keeps to ``limits``; the others may hold their own length once
+    more, and are worth ``NEAR`` of the first.
     """
     import numpy as np
 
     bundles: list[tuple[int, int]] = []  # (index of the length, pieces)
-    for j, n in enumerate(lengths):
-        most, size = min(int(limits[j]), capacity // int(n)), 1
+    for j in range(len(lengths) - 1, -1, -1):
+        most, size = min(int(limits[j]), capacity // int(lengths[j])), 1
         while most > 0:
             bundles.append((j, min(size, most)))
             most, size = most - size, 2 * size
@@ -92,7 +93,7 @@ def near_best_configurations(lengths, prices, limits, capacity: int) -> tuple[li
         worth[wide:] = total
     with_each = prices + worth[capacity - lengths]
     near = np.flatnonzero(with_each >= NEAR * worth[capacity])
-    near = near[np.argsort(-with_each[near], kind="stable")]
+    near = near[np.lexsort((-lengths[near], -np.round(with_each[near], 9)))]
     room = np.concatenate([[capacity], capacity - lengths[near]])
     chosen: list[dict[int, int]] = [{}, *({j: 1} for j in near.tolist())]
     for b in range(len(bundles) - 1, -1, -1):
@@ -105,82 +106,73 @@ def near_best_configurations(lengths, prices, limits, capacity: int) -> tuple[li
     return chosen, float(worth[capacity])
 
 
-def solve_fractions(lengths, counts, capacity: int, step: float = STEP, rate: float = RATE) -> Fractions:
-    """Fractions of configurations that cover each length exactly, by multiplicative weights; see the module's text."""
+def one_pass(lengths, counts, prices, capacity: int):
+    """Amounts that cover each length exactly at ``prices``, what a piece of each has cost, and a lower bound."""
     import numpy as np
 
-    start = lengths / capacity
-    covered = np.zeros(len(lengths))
-    amounts: dict[tuple[tuple[int, int], ...], float] = {}
-    bound = float(counts[2 * lengths > capacity].sum())  # no two of these share a sequence
+    amounts: dict[tuple[tuple[int, int], ...], int] = {}
+    left, cost = counts.tolist(), np.zeros(len(lengths))
     at = np.arange(len(lengths))
+    bound = None
     while len(at):
-        have = counts[at]
-        prices = start[at] * np.exp(-rate * covered[at] / have)
-        chosen, best = near_best_configurations(lengths[at], prices, have, capacity)
-        bound = max(bound, float(have @ prices) / best)
-        budget = np.minimum(step * have, have - covered[at])
-        left = budget.tolist()
+        chosen, best = near_best_configurations(lengths[at], prices[at], [left[i] for i in at.tolist()], capacity)
+        if bound is None:
+            bound = float(counts @ prices) / best
         for one in chosen:
-            x = min(left[j] / n for j, n in one.items())
-            if x > 1e-9:
-                key = tuple(sorted((int(at[j]), n) for j, n in one.items()))
-                amounts[key] = amounts.get(key, 0.0) + x
-                for j, n in one.items():
-                    left[j] -= n * x
-        covered[at] += budget - np.array(left)
-        at = np.flatnonzero(counts - covered > 1e-7 * counts)
-    return Fractions(amounts, bound)
+            key = tuple(sorted((int(at[j]), n) for j, n in one.items()))
+            x = min(left[i] // n for i, n in key)
+            if x:  # the first always fits, so each round leaves less
+                amounts[key] = amounts.get(key, 0) + x
+                worth = sum(prices[i] * n for i, n in key)
+                for i, n in key:
+                    left[i] -= n * x
+                    cost[i] += prices[i] * n * x / worth
+        at = np.flatnonzero(left)
+    return amounts, cost / counts, bound
 
 
 def near_optimal_fractions(lengths, counts, capacity: int) -> Fractions:
-    """Fractions within ``GAP`` of the bound, or the best that smaller steps give."""
-    step, rate = STEP, RATE
-    best = solve_fractions(lengths, counts, capacity, step, rate)
-    while best.value > (1 + GAP) * best.bound:
-        step, rate = step / 2, rate * 2
-        more = solve_fractions(lengths, counts, capacity, step, rate)
-        better = more if more.value < best.value else best
-        helped = best.value - better.value + more.bound - best.bound > GAP / 2 * best.value
-        best = Fractions(better.amounts, max(best.bound, more.bound))
-        if not helped:
-            break
-    return best
-
-
-def rounded(fractions: Fractions, lengths, counts, capacity: int) -> tuple[list[Pattern], list[int]]:
-    """Whole sequences of ``fractions``, and how many pieces of each length they leave."""
-    size, left = lengths.tolist(), counts.tolist()
-
-    def order(item):
-        key, x = item
-        return capacity - sum(size[i] * n for i, n in key), sum(n for _, n in key), -x, key
+    """The best of up to ``PASSES`` passes; see the module's text."""
+    import numpy as np
 
-    taken = []
-    for key, x in sorted(fractions.amounts.items(), key=order):
-        times = min(max(1, int(x)), *(left[i] // n for i, n in key))
-        if times:
-            taken.append(Pattern({size[i]: n for i, n in key}, times))
-            for i, n in key:
-                left[i] -= n * times
-    return taken, left
+    prices = (lengths / capacity + (2 * lengths > capacity)) / 2
+    # pieces over half a sequence share none with each other, and sequences have room for so much
+    bound = max(int((counts[2 * lengths > capacity]).sum()), -(-int(lengths @ counts) // capacity))
+    best = None
+    for _ in range(PASSES):
+        amounts, cost, dual = one_pass(lengths, counts, prices, capacity)
+        bound = max(bound, int(np.ceil(dual * (1 - 1e-9))))
+        if best is None or sum(amounts.values()) < sum(best.values()):
+            best = amounts
+        if sum(best.values()) <= (1 + GAP) * bound:
+            break
+        prices = prices ** (1 - RATE) * cost**RATE
+    return Fractions(best or {}, bound)
 
 
 def solve_configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that hold each length of ``histogram`` exactly as often as it occurs."""
     import numpy as np
 
-    left = {int(n): int(c) for n, c in histogram.items() if c > 0}
-    few = REST * sum(left.values())
-    patterns: list[Pattern] = []
-    while sum(left.values()) > few:  # the first configuration always fits, so each time less is left
-        lengths = np.array(sorted(left), dtype=np.int64)
-        counts = np.array([left[n] for n in lengths.tolist()], dtype=np.int64)
-        fractions = near_optimal_fractions(lengths, counts, capacity)
-        taken, rest = rounded(fractions, lengths, counts, capacity)
-        patterns += taken
-        left = {n: c for n, c in zip(lengths.tolist(), rest, strict=True) if c}
-    return patterns + best_fit_decreasing(left, capacity)
+    some = {int(n): int(c) for n, c in histogram.items() if c > 0}
+    if not some:
+        return []
+    lengths = np.array(sorted(some), dtype=np.int64)
+    counts = np.array([some[n] for n in lengths.tolist()], dtype=np.int64)
+    fractions = near_optimal_fractions(lengths, counts, capacity)
+    size = lengths.tolist()
+    made = [Pattern({size[i]: n for i, n in key}, x) for key, x in fractions.amounts.items()]
+    made.sort(key=lambda p: sum(n * a for n, a in p.lengths.items()))
+    few, rest, kept = int(REST * counts.sum()), {}, []
+    for p in made:  # the least full first
+        each = sum(p.lengths.values())
+        again = min(p.count, few // each)
+        few -= again * each
+        for n, a in p.lengths.items():
+            if again:
+                rest[n] = rest.get(n, 0) + a * again
+        kept += [Pattern(p.lengths, p.count - again)] if p.count > again else []
+    return kept + best_fit_decreasing(rest, capacity)
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:

@@ -143,6 +143,30 @@ def test_configurations_hold_each_length_and_come_close_to_the_bound():
         assert sum(p.count for p in patterns) <= sum(p.count for p in best_fit_decreasing(histogram))
 
 
+def test_flat_bimodal_and_tiny_histograms():
+    rng = np.random.default_rng(1)
+    shapes = {
+        "flat": (rng.integers(1, 2048, 20_000), 1.006, 1.002),
+        "pairs": (rng.integers(683, 1400, 20_000), 1.03, 1.0),
+        "bimodal": (np.concatenate([rng.normal(1300, 100, 5_000), rng.normal(500, 60, 9_000)]).astype(int), 1.06, 0.99),
+    }
+    for sizes, over_bound, over_fit in shapes.values():
+        lengths, counts = np.unique(sizes, return_counts=True)
+        histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+        patterns = solve_configurations(histogram)
+        assert held(patterns) == histogram
+        used = sum(p.count for p in patterns)
+        bound = max(int(counts[2 * lengths > 2048].sum()), -(-int(lengths @ counts) // 2048))
+        assert used <= over_bound * bound
+        assert used <= over_fit * sum(p.count for p in best_fit_decreasing(histogram))
+    for _ in range(30):
+        few = Counter(rng.choice([1, 2047, 1500, 600, 548, 1024, 683, 682, 300], int(rng.integers(1, 12))).tolist())
+        patterns = solve_configurations(dict(few))
+        assert held(patterns) == dict(few)
+        assert sum(p.count for p in patterns) <= sum(p.count for p in best_fit_decreasing(dict(few)))
+    assert sum(p.count for p in solve_configurations({2047: 3, 1: 3, 1500: 1, 600: 1, 548: 1})) == 5
+
+
 @pytest.fixture(scope="module")
 def sample_histogram():
     """Piece lengths of the larger sample table, and of the smaller, without whole sequences."""
