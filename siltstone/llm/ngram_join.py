@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
 from siltstone.llm.scratch import Scratch
-from siltstone.llm.shingles import bitmap, set_signature, shingle_set
+from siltstone.llm.shingles import bitmap, release, set_signature, shingle_set
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -79,6 +79,7 @@ def small_batches(spark: SparkSession, rows: int):
 def _chunks(batches: Iterator[pa.RecordBatch], ngram: int):
     """(ids, sets) of documents, about CHUNK_BYTES characters of text at a time."""
     ids, sets, held = [], [], 0
+    batch = texts = text = None
     for batch in batches:
         texts = batch.column(1)
         for k, i in enumerate(batch.column(0).to_pylist()):
@@ -91,6 +92,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], ngram: int):
                 ids, sets, held = [], [], 0
     if ids:
         yield ids, sets
+    del ids, sets, batch, texts, text
+    release()
 
 
 def _ask(ngram: int, parts: int):
@@ -117,7 +120,9 @@ def _ask(ngram: int, parts: int):
             for a, b in pairwise([*firsts.tolist(), len(p)] if len(p) else []):
                 here, counts = np.unique(owner[a:b], return_counts=True)  # fingerprints are in the order of their sets
                 rows.append((int(p[a]), fps[a:b].tobytes(), counts.astype("<u4").tobytes(), b"", low[here].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)]
+            del rows, sets, hashes, order, fps, owner, p
+            yield pa.RecordBatch.from_arrays(made, schema=schema)
 
     return ask
 
