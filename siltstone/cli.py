@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="noun", required=True)
     i = sub.add_parser("index")
     i.add_argument("root", nargs="?", help="by default the workspace around the target or the current directory")
-    i.add_argument("-t", "--target")
+    i.add_argument("-t", "--target", action="append", default=[], help="a path or a solution; may be given several times")
     i.add_argument("-f", "--force", action="store_true")
     i.add_argument("-p", "--profile", default="all")
     i.add_argument("-x", "--exclude", action="append", default=[])
@@ -50,12 +50,13 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("eval")
     e.add_argument("suite")
     w = sub.add_parser("workspace")
-    w.add_argument("verb", choices=["list", "status", "delete", "export", "import"])
+    w.add_argument("verb", choices=["list", "status", "delete", "export", "import", "migrate", "adopt", "collection", "index"])
     w.add_argument("root", nargs="?")
+    w.add_argument("--to", help="new root of a workspace that is migrated")
     w.add_argument("--folder")
     w.add_argument("--path-map", action="append", default=[])
     g = sub.add_parser("group")
-    g.add_argument("verb", choices=["list", "create", "delete", "export", "import"])
+    g.add_argument("verb", choices=["list", "create", "add", "delete", "export", "import"])
     g.add_argument("name", nargs="?")
     g.add_argument("--local", action="store_true", help="in the file of --local-groups")
     g.add_argument("--folder")
@@ -67,6 +68,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def show(rows) -> None:
+    """All rows of a listing, one a line; they stream through the driver."""
+    print("\t".join(rows.columns))
+    for row in rows.toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in row))
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     from siltstone import schemas
     from siltstone.engine import Engine, Settings
@@ -82,9 +90,10 @@ def main(argv: Sequence[str] | None = None) -> int:
     engine = Engine(local_session(), a.store, settings=Settings(local_groups=a.local_groups, progress=progress))
     try:
         if a.noun == "index":
-            root = a.root or engine.workspace_of(a.target or ".")
-            done = engine.index_workspace(root, a.target, a.force, a.profile, delimited(a.exclude), a.dry_run)
-            done.show(100, False) if a.dry_run else print(done)
+            targets = delimited(a.target)
+            root = a.root or engine.workspace_of(targets[0] if targets else ".")
+            done = engine.index_workspace(root, targets, a.force, a.profile, delimited(a.exclude), a.dry_run)
+            show(done.orderBy("file_path")) if a.dry_run else print(done)
         elif a.noun == "search":
             run = engine.hybrid_search if a.hybrid else engine.search_code
             scope = {"scope": a.scope, "workspace_root": a.root, "workspace_group": a.group}
@@ -96,9 +105,17 @@ def main(argv: Sequence[str] | None = None) -> int:
             return exit_code(row.passed, row.queries)
         elif a.noun == "workspace":
             if a.verb == "list":
-                engine.registry().select("workspace_root", "status", "files_scanned", "chunks_indexed").show(100, False)
+                show(engine.registry().select("workspace_root", "status", "files_scanned", "chunks_indexed").orderBy("workspace_root"))
             elif a.verb == "status":
-                engine.status(a.root).show(1, False)
+                show(engine.status(a.root))
+            elif a.verb == "migrate":
+                print(engine.migrate_workspace(a.root, a.to or ""))
+            elif a.verb == "adopt":
+                print(engine.adopt_workspace(a.root))
+            elif a.verb == "collection":
+                print(engine.collection_of(a.root))
+            elif a.verb == "index":
+                print(engine.build_vector_index(engine.named_workspace(a.root)))
             elif a.verb == "delete":
                 engine.delete_workspace(a.root)
             elif a.verb == "export":
@@ -115,7 +132,9 @@ def main(argv: Sequence[str] | None = None) -> int:
         elif a.verb == "import":
             print(engine.import_workspace(a.folder, path_map(a.path_map)))
         elif a.verb == "list":
-            engine.groups().show(100, False)
+            show(engine.groups().orderBy("name"))
+        elif a.verb == "add":
+            engine.add_to_group(a.name, a.root, delimited(a.exclude), a.local)
         elif a.verb == "create":
             engine.save_group(a.name, a.root, delimited(a.exclude), a.local)
         else:

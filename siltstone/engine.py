@@ -12,9 +12,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ from siltstone import schemas as S
 from siltstone.functions import classify as C
 from siltstone.functions import keys as K
 from siltstone.functions import paths as P
-from siltstone.operators import catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
+from siltstone.operators import ann, catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
 from siltstone.sources import json_files
 from siltstone.sources.changes import git_changes, git_identity, with_identity
 
@@ -63,9 +65,17 @@ class Result:
 _STATE = S.FILE_STATE
 #: Change lists of more files than this are no shorter way than comparing all.
 MOST_CHANGES = 5_000
+#: Kinds of errors that a run names; of more it gives the number.
+MOST_WARNINGS = 20
+#: What classification needs of a file.
+PROBE_CHARACTERS = 12_000
 _locks: dict[str, Lock] = {}
 
 
+def _is_solution(target: str) -> bool:
+    return target.lower().endswith((".sln", ".slnx"))
+
+
 class Engine:
     def __init__(
         self,
@@ -88,9 +98,7 @@ class Engine:
         return where.read(name) if where.active(name) is not None else self.spark.createDataFrame([], schema)
 
     def _replace(self, where: store.VectorStore, name: str, rows: DataFrame) -> None:
-        version = max(where.versions(name), default=0) + 1
-        rows.write.parquet(f"{where.path(name, version)}/points")
-        where.promote(name, version)
+        where.promote(name, where.build(name, rows))
 
     def registry(self) -> DataFrame:
         return self._table(self.catalogs, "registry", S.REGISTRY)
@@ -115,6 +123,17 @@ class Engine:
         saved = catalog.saved_group(self.groups(), new).filter("source = 'shared'")
         self._replace(self.catalogs, "groups", saved)
 
+    def add_to_group(self, name: str, roots: Sequence[str], exclude_directories: Sequence[str] = (), local: bool = False) -> None:
+        """Add roots and excludes to a group, which may be new."""
+        old = self.groups().filter(F.lower(F.trim("name")) == name.strip().lower()).first()
+        had, excluded = (old.roots, old.exclude_directories or []) if old else ([], [])
+        known = {r.lower() for r in had}
+        self.save_group(old.name if old else name, [*had, *(r for r in roots if r.lower() not in known)], list(dict.fromkeys([*excluded, *exclude_directories])), local)
+
+    def collection_of(self, root: str) -> str:
+        """The collection of a workspace, indexed or not."""
+        return self._names(root)[1]
+
     def delete_group(self, name: str) -> None:
         if self.settings.local_groups:
             json_files.delete_local_group(self.settings.local_groups, name)
@@ -160,20 +179,32 @@ class Engine:
         if self.settings.progress:
             self.settings.progress(json_files.Progress(root, stage, current, total, message))
 
-    def index_workspace(self, root: str, target: str | None = None, force: bool = False, profile: str = "all", excludes: Sequence[str] = (), dry_run: bool = False) -> Result | DataFrame:
-        """Bring a workspace's index up to date; ``target`` (a path or a solution) and ``profile`` limit what is looked at.
-
-        With ``dry_run`` nothing is written, and the result is a row for each file that would change.
+    def named_workspace(self, name: str) -> str:
+        """The root of an indexed workspace by one of its names; a path is its own."""
+        if os.path.isdir(name) or "://" in name:
+            return name
+        found = None if catalog.is_path_like(name) else catalog.aliased(self.registry(), name).first()
+        if found is not None:
+            return found.workspace_root
+        raise FileNotFoundError(f"no directory and no indexed workspace {name}")
+
+    def index_workspace(
+        self, root: str, target: str | Sequence[str] | None = None, force: bool = False, profile: str = "all", excludes: Sequence[str] = (), dry_run: bool = False
+    ) -> Result | DataFrame:
+        """Bring a workspace's index up to date; it may be named by what an earlier run called it.
+
+        ``target`` (paths and solutions, looked at together in one run) and ``profile`` limit what is
+        looked at. With ``dry_run`` nothing is written, and the result is a row for each file that would change.
         An index of another model or schema is an error unless the run is forced, which replaces it.
         """
-        catalog.allowed([root, target or root], self.settings.allowed_roots)
-        if not os.path.isdir(root) and "://" not in root:
-            raise FileNotFoundError(f"no directory {root}")
+        root = self.named_workspace(root)
+        targets = list(dict.fromkeys([target] if isinstance(target, str) else target or []))
+        catalog.allowed([root, *targets], self.settings.allowed_roots)
         profile = S.normal_profile(profile)
         workspace, collection = self._names(root)
         lock = _locks.setdefault(f"{self.folder}|{workspace}", Lock())
         with lock:
-            return self._index(root, workspace, collection, target, force, profile, list(excludes), dry_run)
+            return self._index(root, workspace, collection, targets, force, profile, list(excludes), dry_run)
 
     def _changes(self, root: str, head: dict | None, rules: str) -> list[str] | None:
         """Paths that may differ from the active state by the repository's own account; None without a complete one.
@@ -183,8 +214,7 @@ class Engine:
         if not self.settings.use_change_lists or not head or not head.get("commit_sha") or head.get("rules") != rules:
             return None
         listed, complete = git_changes(root, head["commit_sha"])
-        top = git_identity(root)["repository_root"]
-        paths = {os.path.normpath(f"{top}/{p}") for p, _ in listed} | set(head.get("dirty") or [])
+        paths = {os.path.normpath(f"{root}/{p}") for p, _ in listed} | set(head.get("dirty") or [])
         return sorted(paths) if complete and len(paths) <= MOST_CHANGES else None
 
     def _rules(self, excludes: Sequence[str]) -> str:
@@ -202,7 +232,21 @@ class Engine:
             here = here | P.is_under(F.col("file_path"), F.lit(d))
         return inside, here
 
-    def _index(self, root, workspace, collection, target, force, profile, excludes, dry_run):
+    def _targeted(self, found: DataFrame, files: DataFrame, root: str, targets: Sequence[str]) -> tuple[DataFrame, object]:
+        """Files of any of the targets, and whether a path of the state is in their reach."""
+        plain = [t for t in targets if not _is_solution(t)]
+        here, parts = F.lit(False), [scan.targets(files, plain)] if plain else []
+        for t in plain:
+            here = here | P.is_under(F.col("file_path"), F.lit(t))
+        for t in targets:
+            if _is_solution(t):
+                inside, reach = self._solution_scope(found, root, t)
+                parts.append(files.join(inside, "file_path", "left_semi"))
+                here = here | reach
+        together = reduce(DataFrame.unionByName, parts)
+        return (together if len(parts) == 1 else together.dropDuplicates(["file_path"])), here
+
+    def _index(self, root, workspace, collection, targets, force, profile, excludes, dry_run):
         s = self.settings
         model, warnings = self._model()
         head, rules = self.vectors.head(collection), self._rules(excludes)
@@ -211,30 +255,28 @@ class Engine:
                 raise ValueError(
                     f"the index was made by model {head['embedding_model']!r} and schema {head['schema_version']}, not {model!r} and {S.SCHEMA_VERSION}; run with force to replace it"
                 )
-            if target or profile != "all":
+            if targets or profile != "all":
                 raise ValueError("an index of another model is replaced as a whole")
         excluded = [*s.excluded_directories, *excludes]
-        solution_target = bool(target) and target.lower().endswith((".sln", ".slnx"))
-        changes = None if force or target or profile != "all" else self._changes(root, head, rules)
+        changes = None if force or targets or profile != "all" else self._changes(root, head, rules)
         if changes is None:
-            found = scan.tree(self.spark, root, excluded_directories=excluded)
+            # projects of a solution may be anywhere; other targets are the only way into the tree
+            below = [] if any(map(_is_solution, targets)) else targets
+            found = scan.tree(self.spark, root, excluded_directories=excluded, below=below, characters=None if s.fingerprint_content else PROBE_CHARACTERS)
         else:
             found = scan.read_files(self.spark, root, [p for p in changes if os.path.isfile(p)])
         files = scan.scanned(found, excluded, s.excluded_files, profile, s.skip_generated)
         previous = self.state(collection)
-        here = P.is_under(F.col("file_path"), F.lit(target or root))
-        if solution_target:
-            inside, here = self._solution_scope(found, root, target)
-            files = files.join(inside, "file_path", "left_semi")
-        elif target:
-            files = scan.targets(files, [target])
+        here = P.is_under(F.col("file_path"), F.lit(root))
+        if targets:
+            files, here = self._targeted(found, files, root, targets)
         if changes is not None:
             here = P.path_key(F.col("file_path")).isin([p.lower() for p in changes])
         if profile != "all":
             here = here & (C.index_profile(F.col("file_path"), C.guessed_content_type(F.col("file_path"))) == profile)
         self._tell(root, "scan", 0, None, "all files" if changes is None else f"{len(changes)} files of the change list")
         in_scope = previous.filter(here)
-        replaces = force and not (target or profile != "all")
+        replaces = force and not (targets or profile != "all")
         work = self._scanned(collection, files, in_scope, force)
         current = work.drop("content", "workspace_root", "changed", "analyzer")
         changed = delta.keyed(work.filter("changed").drop("content", "analyzer"))
@@ -248,27 +290,31 @@ class Engine:
         made = self._embedded(root, collection, work, changed, f"{model}|{rules}").cache()
         points = store.payload(with_identity(embedding.ready(made), git_identity(root)))
         full = not had or replaces
-        if full:
-            rows = points
-        else:
-            stale = changed.select("file_path").unionByName(gone.select("file_path"))
-            rows = store.upserted(store.without_files(self.vectors.read(collection), workspace, stale), points)
+        stale = changed.select("file_path").unionByName(gone.select("file_path"))
         counted = delta.backfilled(current, delta.chunks_per_file(made), previous)
         merged = delta.merged_state(self.spark.createDataFrame([], _STATE) if full else previous, counted.drop("path_key"), here)
         state = delta.without_failed(merged, made).select(*[c.split()[0] for c in _STATE.split(", ")])
         state = state.withColumn("chunk_count", F.col("chunk_count").cast("int"))
         who = git_identity(root)
         dirty, _ = git_changes(root, None) if who["is_git_repository"] else ([], False)
+        index = None if full or not head else head.get("index")
         head = {
-            "embedding_model": model, "schema_version": S.SCHEMA_VERSION, "saved_at_utc": datetime.now(UTC).isoformat(), "rules": rules,
-            "commit_sha": who["commit_sha"], "dirty": [os.path.normpath(f"{who['repository_root']}/{p}") for p, _ in dirty],
+            "index": index, "embedding_model": model, "schema_version": S.SCHEMA_VERSION, "saved_at_utc": datetime.now(UTC).isoformat(), "rules": rules,
+            "commit_sha": who["commit_sha"], "dirty": [os.path.normpath(f"{root}/{p}") for p, _ in dirty],
         }
-        version = self.vectors.build(collection, rows, self.provider.width, state, head)
+        if full:
+            version = self.vectors.build(collection, points, self.provider.width, state, head)
+        else:
+            version = self.vectors.change(collection, points, [lambda rows: store.of_files(rows, workspace, stale)], self.provider.width, state, head)
         totals = {"scanned": current.count(), "changed": changed.count(), "deleted": gone.count(), "chunks": made.filter("embedding IS NOT NULL").count()}
-        warnings += [r.embedding_error for r in made.filter("embedding IS NULL").select("embedding_error").distinct().limit(20).collect()]
+        errors = made.filter("embedding IS NULL").select("embedding_error").distinct()
+        told = [r.embedding_error for r in errors.orderBy("embedding_error").limit(MOST_WARNINGS + 1).collect()]
+        if len(told) > MOST_WARNINGS:
+            told[MOST_WARNINGS:] = [f"and {errors.count() - MOST_WARNINGS} more kinds of errors"]
+        warnings += told
         self._tell(root, "write", totals["chunks"], totals["chunks"], f"version {version}")
         self.vectors.promote(collection, version)
-        self._register(root, workspace, collection, target, totals, had and full)
+        self._register(root, workspace, collection, targets, totals, had and full)
         self._drop_staging(collection)
         made.unpersist()
         self._tell(root, "done", totals["chunks"], totals["chunks"], f"{totals['changed']} files changed, {totals['deleted']} deleted")
@@ -290,6 +336,8 @@ class Engine:
         pick = C.select_analyzer(F.col("file_path"), F.col("workspace_root"), F.col("content"))["analyzer"]
         flagged = joined.withColumn("changed", differs)
         marked = flagged.withColumns({c: F.when(F.col("changed"), v) for c, v in (("analyzer", pick), ("content", F.col("content")))}).drop("_old", "path_key")
+        if not self.settings.fingerprint_content:  # only the beginnings were read, to classify them
+            marked = scan.whole_contents(marked)
         where = f"{self._staging(collection)}/scan/{datetime.now(UTC):%Y%m%d%H%M%S%f}"
         marked.write.parquet(where)
         return self.spark.read.schema(marked.schema).parquet(where)
@@ -338,18 +386,18 @@ class Engine:
         keyed = files.select("workspace_root", "file_path", "content", "analyzer", P.path_key(F.col("file_path")).alias("path_key"))
         return keyed.join(changed.select("path_key"), "path_key", "left_semi").drop("path_key")
 
-    def _register(self, root, workspace, collection, target, totals, full) -> None:
+    def _register(self, root, workspace, collection, wanted, totals, full) -> None:
         who = git_identity(root)
         old = self.registry()
         name = root.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]
         known = old.filter(F.col("workspace_id") == workspace).first()
         prior, targets = (known.aliases or [], known.indexed_targets or []) if known else ([], [])
-        sln = target if target and target.lower().endswith((".sln", ".slnx")) else None
-        named = catalog.aliases(F.lit(root), F.lit(sln).cast("string"), F.lit([target] if target and not sln else []).cast("array<string>"), F.lit(prior).cast("array<string>"))
+        sln = next(filter(_is_solution, wanted), None)
+        named = catalog.aliases(F.lit(root), F.lit(sln).cast("string"), F.lit([t for t in wanted if t != sln]).cast("array<string>"), F.lit(prior).cast("array<string>"))
         aliases = self.spark.range(1).select(named.alias("a")).first().a
         member = [r.name for r in self.groups().filter(F.exists("roots", lambda r: P.path_key(r) == root.lower())).select("name").collect()]
         row = (
-            root, workspace, collection, sorted(member), list(dict.fromkeys([*targets, target or root])), datetime.now(UTC).replace(tzinfo=None), totals["scanned"], totals["chunks"], full,
+            root, workspace, collection, sorted(member), list(dict.fromkeys([*targets, *(wanted or [root])])), datetime.now(UTC).replace(tzinfo=None), totals["scanned"], totals["chunks"], full,
             who["repository_root"], who["remote_url"], who["branch"], who["commit_sha"], name, aliases, "completed",
         )
         self._replace(self.catalogs, "registry", catalog.upserted_registry(old, self.spark.createDataFrame([row], S.REGISTRY)))
@@ -371,6 +419,8 @@ class Engine:
         for r in self.registry().filter(P.path_key(F.col("workspace_root")) == root.lower()).collect():
             self.vectors.drop(r.collection_name)
             self._drop_staging(r.collection_name)
+            fs, where = self.vectors._fs(f"{self.folder}/indexes/{r.collection_name}")
+            fs.delete(where, True)
         self._replace(self.catalogs, "registry", self.registry().filter(P.path_key(F.col("workspace_root")) != root.lower()))
 
     def trigger_indexing(self, request: dict) -> dict:
@@ -388,29 +438,70 @@ class Engine:
 
     # --- reading
 
-    def points(self, scope: DataFrame) -> tuple[DataFrame, list[str]]:
-        """Points of a scope's collections; a scope is a handful of registry rows."""
+    def build_vector_index(self, root: str, lists: int | None = None, target: float = ann.TARGET, k: int = search.MAX_CANDIDATES) -> dict:
+        """Make the approximate index of a workspace: what it covers, and the recall at ``k`` that was measured.
+
+        Points that come later are searched exactly beside it, and points that go are not found, so it
+        stays right without being made anew; a run that replaces the whole index drops it.
+        """
+        collection = self._names(root)[1]
+        points = self.vectors.read(collection).select("point_id", "embedding")
+        books = ann.fit(points, lists)
+        if books is None:
+            raise ValueError(f"{root} has no vectors")
+        folder = f"{self.folder}/indexes/{collection}/{uuid.uuid4().hex}"
+        ann.save(ann.indexed(points, books), books, folder)
+        blocks, books = ann.load(self.spark, folder)
+        probes, rescore, recall = ann.tuned(points, blocks, books, k, target)
+        index = {"folder": folder, "segments": self.vectors.segments_of(collection), "lists": len(books.centroids), "probes": probes, "rescore": rescore, "recall": recall}
+        self.vectors.promote(collection, self.vectors.change(collection, head=(self.vectors.head(collection) or {}) | {"index": index}))
+        return index
+
+    def _near(self, collection: str, vector: Sequence[float], n: int) -> DataFrame:
+        """Points among which the ``n`` nearest to a vector are, by the index; all of them without one."""
+        points, index = self.vectors.read(collection), (self.vectors.head(collection) or {}).get("index")
+        if not index:
+            return points
+        blocks, books = ann.load(self.spark, index["folder"])
+        asked = self.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id int, vector array<float>")
+        found = ann.approximate_topk(points, blocks, books, asked, n, index["probes"], max(index["rescore"], n)).select("point_id")
+        fresh = self.vectors.read_since(collection, index["segments"]).select("point_id")
+        return points.join(F.broadcast(found).unionByName(fresh).distinct(), "point_id", "left_semi")
+
+    def points(self, scope: DataFrame, near: tuple[Sequence[float], int] | None = None) -> tuple[DataFrame, list[str]]:
+        """Points of a scope's collections, or those near a vector; a scope is a handful of registry rows."""
         rows = [r for r in scope.collect() if self.vectors.active(r.collection_name) is not None]
         out: DataFrame | None = None
         for r in rows:
-            one = self.vectors.read(r.collection_name).filter(F.col("workspace_id") == r.workspace_id)
+            held = self._near(r.collection_name, *near) if near else self.vectors.read(r.collection_name)
+            one = held.filter(F.col("workspace_id") == r.workspace_id)
             out = one if out is None else out.unionByName(one)
         if out is None:
             raise LookupError("nothing is indexed in this scope")
         return store.with_defaults(out), [r.workspace_id for r in rows]
 
-    def _search(self, text: str, hybrid: bool, limit: int | None, content_type, profile, mode, **scope) -> DataFrame:
+    def _search(self, text: str, hybrid: bool, limit: int | None, content_type, profile, mode, approximate: bool = False, **scope) -> DataFrame:
+        """``approximate`` looks where the workspaces' indexes say first, and everywhere if filters leave too few of that."""
         vector = tuple(self.provider.embed([text])[0] or ())
         covered = catalog.resolve_scope(self.registry(), self.groups(), **scope)
-        points, workspaces = self.points(covered)
         asked = search.Search(vector, text, S.clamp_limit(limit), hybrid, content_type, profile, mode)
+        if approximate:
+            points, workspaces = self.points(covered, (vector, search.OVERFETCH * asked.candidates))
+            found = search.search(points, asked, workspaces)
+            if found.count() >= asked.limit:
+                return found
+        points, workspaces = self.points(covered)
         return search.search(points, asked, workspaces)
 
-    def search_code(self, text: str, limit: int | None = None, content_type: str | None = None, search_profile: str | None = None, retrieval_mode: str | None = None, **scope) -> DataFrame:
-        return self._search(text, False, limit, content_type, search_profile, retrieval_mode, **scope)
+    def search_code(
+        self, text: str, limit: int | None = None, content_type: str | None = None, search_profile: str | None = None, retrieval_mode: str | None = None, approximate: bool = False, **scope
+    ) -> DataFrame:
+        return self._search(text, False, limit, content_type, search_profile, retrieval_mode, approximate, **scope)
 
-    def hybrid_search(self, text: str, limit: int | None = None, content_type: str | None = None, search_profile: str | None = None, retrieval_mode: str | None = None, **scope) -> DataFrame:
-        return self._search(text, True, limit, content_type, search_profile, retrieval_mode, **scope)
+    def hybrid_search(
+        self, text: str, limit: int | None = None, content_type: str | None = None, search_profile: str | None = None, retrieval_mode: str | None = None, approximate: bool = False, **scope
+    ) -> DataFrame:
+        return self._search(text, True, limit, content_type, search_profile, retrieval_mode, approximate, **scope)
 
     def get_code_context(self, file_path: str, line: int, before: int = 20, after: int = 20) -> DataFrame:
         return chunking.chunk_context(self._containing(file_path), file_path, line, before, after)

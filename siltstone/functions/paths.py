@@ -52,6 +52,20 @@ def is_under(path: Column, root: Column) -> Column:
     return (p == r) | F.startswith(p, F.concat(r, F.lit("/")))
 
 
+def sort_key(path: Column) -> Column:
+    """What rows are ordered by: paths below a directory stand together."""
+    return F.lower(slashed(path))
+
+
+def subtree(key: Column, root: str) -> Column:
+    """Whether a ``sort_key`` is the root's or below it: two comparisons with fixed values, which a scan can use.
+
+    All that starts with "root/" lies between "root/" and "root0", as 0 follows the slash.
+    """
+    r = root.replace("\\", "/").lower().rstrip("/")
+    return (key == r) | ((key >= f"{r}/") & (key < f"{r}0"))
+
+
 def relative(path: Column, root: Column) -> Column:
     """Path below the root with forward slashes; null outside of it."""
     p, r = slashed(path), F.rtrim(slashed(root), F.lit("/"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,23 +14,31 @@ from siltstone import schemas as S
 from siltstone.functions import classify as C
 from siltstone.functions import keys as K
 from siltstone.functions import paths as P
+from siltstone.sources import tree_source
 
+if TYPE_CHECKING:
+    import pyarrow as pa
 
-#: Local trees of up to this many files are listed without their excluded directories; larger ones by Spark.
-PRUNED_FILES = 50_000
-_FOUND = "workspace_root string, file_path string, content string, size long, last_write_time_utc timestamp"
 
+_FOUND = tree_source.FOUND
+#: Shares of a tree for each core.
+SHARES = 4
 
-def tree(spark: SparkSession, root: str, pattern: str | None = None, excluded_directories: Sequence[str] = ()) -> DataFrame:
+
+def tree(
+    spark: SparkSession, root: str, pattern: str | None = None, excluded_directories: Sequence[str] = (), below: Sequence[str] = (), characters: int | None = None
+) -> DataFrame:
     """(workspace_root, file_path, content, size, last_write_time_utc) of every file below ``root``.
 
-    Columns that are not used are not read: a scan for names and times opens no file. On a mounted
-    file system excluded directories are neither listed nor opened. Bytes that are no UTF-8 become
-    replacement characters.
+    Excluded directories are neither listed nor opened, wherever the tree is; with ``below`` only what
+    leads to these paths is. ``characters`` reads no more than so many of each file, 0 none. Bytes that
+    are no UTF-8 become replacement characters. A store that only Spark reaches is listed as a whole.
     """
-    kept = _pruned(root, excluded_directories) if excluded_directories and os.path.isdir(root) else None
-    if kept is not None:
-        return read_files(spark, root, kept)
+    if pattern is None and tree_source.can_list(root):
+        spark.dataSource.register(tree_source.TreeSource)
+        options = {"root": root, "excluded": json.dumps(list(excluded_directories)), "below": json.dumps(list(below)), "partitions": SHARES * spark.sparkContext.defaultParallelism}
+        reader = spark.read.format("siltstone_tree").options(**options)
+        return (reader if characters is None else reader.option("characters", characters)).load()
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -44,6 +53,25 @@ def read_files(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFram
     return _rows(spark.read.format("binaryFile").load(literal), root)
 
 
+def whole_contents(files: DataFrame) -> DataFrame:
+    """The same rows with all of each file that has a content, where only the beginning was read."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        walks: dict[str, tree_source.Walk] = {}
+        for batch in batches:
+            at = {n: k for k, n in enumerate(batch.schema.names)}
+            roots, paths, texts = (batch.column(at[c]).to_pylist() for c in ("workspace_root", "file_path", "content"))
+            new = []
+            for root, path, text in zip(roots, paths, texts, strict=True):
+                walk = walks.setdefault(root, tree_source.Walk(root)) if text is not None else None
+                new.append(walk.content(path, None) if walk else None)
+            yield batch.set_column(at["content"], "content", pa.array(new, pa.string()))
+
+    return files.mapInArrow(read, files.schema)
+
+
 def _rows(found: DataFrame, root: str) -> DataFrame:
     return found.select(
         F.lit(root).alias("workspace_root"),
@@ -54,20 +82,6 @@ def _rows(found: DataFrame, root: str) -> DataFrame:
     )
 
 
-def _pruned(root: str, excluded: Sequence[str]) -> list[str] | None:
-    """Files below ``root`` outside of excluded directories; None if there are too many to name."""
-    names = {e.replace("\\", "/").strip("/").lower() for e in excluded}
-    out: list[str] = []
-    for here, directories, files in os.walk(root):
-        below = os.path.relpath(here, root).replace(os.sep, "/").lower()
-        inside = (lambda d: d.lower()) if below == "." else (lambda d: f"{below}/{d.lower()}")
-        directories[:] = [d for d in directories if d.lower() not in names and inside(d) not in names]
-        out += [os.path.join(here, f) for f in files]
-        if len(out) > PRUNED_FILES:
-            return None
-    return out
-
-
 def in_scope(path: Column, root: Column, content: Column | None, excluded_directories: Sequence[str], excluded_files: Sequence[str], profile: str = "all", skip_generated: bool = True) -> Column:
     """Whether a scan takes a file: some analyzer accepts it, nothing excludes it, and its guessed profile fits."""
     taken = F.lit(False)

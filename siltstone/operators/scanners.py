@@ -19,6 +19,7 @@ from siltstone.functions import classify as C
 from siltstone.functions import keys as K
 from siltstone.functions import paths as P
 from siltstone.functions import text as T
+from siltstone.operators import blocks
 from siltstone.operators.chunking import CODE_CHARS, documentation_chunks, metadata_chunks, split_lines
 
 if TYPE_CHECKING:
@@ -264,7 +265,6 @@ _CLASS = re.compile(r"""\bclass\s*=\s*["']([^"'\s]+)""")
 _BINDING = re.compile(C.BINDING)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LOW_VALUE = frozenset(("div", "span", "p", "li"))
-_SELECTOR = re.compile(r"^\s*((?:@[\w-]+[^{]+|[^{}]+))\s*\{")
 
 
 def scan_markup(path: str, text: str) -> list[Unit]:
@@ -295,23 +295,7 @@ def scan_markup(path: str, text: str) -> list[Unit]:
     return units or [_whole(path, text)]
 
 
-def scan_styles(path: str, text: str) -> list[Unit]:
-    """Rules from the line of their selector to the end of their block."""
-    lines, units = _lines(text), []
-    for k, x in enumerate(lines):
-        if m := _SELECTOR.search(x):
-            last = _block_end(lines, k, lambda s: s, False)
-            selector = m[1].strip()
-            units.append(Unit(selector, "StyleAtRule" if selector.startswith("@") else "StyleRule", k + 1, last + 1, "\n".join(lines[k : last + 1])))
-    return units or [_whole(path, text)]
-
-
-def scan_web(path: str, text: str) -> list[Unit]:
-    styles = path.lower().endswith((".css", ".scss", ".sass", ".less"))
-    return scan_styles(path, text) if styles else scan_markup(path, text)
-
-
-SCANNERS: dict[str, Callable[[str, str], list[Unit]]] = {"csharp": scan_csharp, "script": scan_script, "markup": scan_web}
+SCANNERS: dict[str, Callable[[str, str], list[Unit]]] = {"csharp": scan_csharp, "script": scan_script, "markup": scan_markup}
 
 _UNIT = (
     "workspace_root string, file_path string, symbol string, kind string, start_line int, end_line int, content string, "
@@ -340,8 +324,13 @@ def units(files: DataFrame, scanner: Callable[[str, str], list[Unit]]) -> DataFr
 
 def code_chunks(files: DataFrame, analyzer: str) -> DataFrame:
     """Rows of the chunk table for files of one analyzer, cut to 750 characters by lines."""
-    found = units(files, SCANNERS[analyzer])
     path = F.col("file_path")
+    if analyzer == "markup":  # style sheets need no scanner
+        none = {c: F.lit(None).cast("string") for c in ("fully_qualified_symbol_name", "namespace", "type_context", "base_types")}
+        styles = blocks.style_units(files.filter(blocks.is_style(path))).withColumns(none)
+        found = units(files.filter(~blocks.is_style(path)), SCANNERS[analyzer]).unionByName(styles)
+    else:
+        found = units(files, SCANNERS[analyzer])
     if analyzer == "csharp":
         lang, kind = F.lit("csharp"), F.lit("code")
         body = T.member_header(F.col("fully_qualified_symbol_name"), F.col("namespace"), F.col("type_context"), F.col("base_types"), F.col("content"))

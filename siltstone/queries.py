@@ -11,9 +11,10 @@ from siltstone.functions import classify as C
 from siltstone.functions import keys as K
 from siltstone.functions import paths as P
 from siltstone.functions import text as T
-from siltstone.operators import catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
+from siltstone.operators import blocks, catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
 from siltstone.plans import fixtures as X
 from siltstone.sources.changes import webhook
+from siltstone.sources import shared
 from siltstone.sources.tables import table
 from siltstone.streaming import triggers
 
@@ -393,6 +394,39 @@ query("code_symbols_csharp")(_scan("csharp"))
 query("script_symbols")(_scan("script"))
 query("markup_elements")(_scan("markup"))
 
+_SHEET = r"""sheet AS (
+  SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, text) AS line, text
+  FROM (SELECT l_orderkey, l_linenumber, l_partkey,
+    CASE l_partkey % 6 WHEN 0 THEN '@media (min-width: ' || l_suppkey || 'px) {' WHEN 1 THEN '  .c' || l_suppkey || ' { color: red }'
+      WHEN 2 THEN '  .c' || l_suppkey || ' , p {' WHEN 3 THEN '  }' WHEN 4 THEN '} }' ELSE '  color: blue;' END AS text
+    FROM lineitem))"""
+
+
+@query(
+    "style_rules",
+    rf"""WITH {_SHEET},
+b AS (SELECT *, regexp_matches(text, '^\s*((?:@[\w-]+[^{{]+|[^{{}}]+))\s*\{{') AS starts,
+    len(text) - len(replace(text, '{{', '')) - len(text) + len(replace(text, '}}', '')) AS change FROM sheet),
+p AS (SELECT *, CAST(sum(change) OVER (PARTITION BY file ORDER BY line) AS BIGINT) AS after, max(line) OVER (PARTITION BY file) AS n FROM b),
+r AS (SELECT s.file, s.line, any_value(s.n) AS n, any_value(s.text) AS text, min(e.line) AS last
+  FROM p s LEFT JOIN p e ON e.file = s.file AND e.line >= s.line AND e.after <= s.after - s.change WHERE s.starts GROUP BY ALL),
+c AS (SELECT file, regexp_replace(split_part(text, '{{', 1), '^\s+|\s+$', '', 'g') AS symbol, line AS start_line, coalesce(last, n) AS end_line FROM r
+  UNION ALL SELECT file, file || '.css', 1, max(line) FROM p GROUP BY file HAVING NOT bool_or(starts)),
+t AS (SELECT c.file, c.symbol, c.start_line, c.end_line, string_agg(s.text, chr(10) ORDER BY s.line) AS content
+  FROM c JOIN sheet s ON s.file = c.file AND s.line BETWEEN c.start_line AND c.end_line GROUP BY ALL)
+SELECT '/w/' || file || '.css' AS file_path, symbol, CASE WHEN symbol = file || '.css' THEN 'File' WHEN starts_with(symbol, '@') THEN 'StyleAtRule' ELSE 'StyleRule' END AS kind,
+  CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, md5(content) AS content_md5 FROM t""",
+)
+def style_rules(spark, sf_dir):
+    """Orders as style sheets: a line of each item opens or closes rules by its part."""
+    item = table(spark, sf_dir, "lineitem")
+    c = F.concat(F.lit("  .c"), "l_suppkey")
+    kinds = [F.concat(F.lit("@media (min-width: "), "l_suppkey", F.lit("px) {")), F.concat(c, F.lit(" { color: red }")), F.concat(c, F.lit(" , p {")), F.lit("  }"), F.lit("} }"), F.lit("  color: blue;")]
+    text = F.element_at(F.array(*kinds), (F.col("l_partkey") % 6 + 1).cast("int"))
+    lines = item.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", text.alias("text")))).alias("ls"))
+    sheets = lines.select(F.lit("/w").alias("workspace_root"), F.concat(F.lit("/w/"), "l_orderkey", F.lit(".css")).alias("file_path"), F.array_join("ls.text", "\n").alias("content"))
+    return blocks.style_units(sheets).select("file_path", "symbol", "kind", "start_line", "end_line", F.md5("content").alias("content_md5"))
+
 
 @query("chunk_files")
 def chunk_files(spark, sf_dir):
@@ -588,6 +622,52 @@ def upsert_points(spark, sf_dir):
     return store.upserted(e, new)
 
 
+def _stored(spark, sf_dir) -> tuple[store.VectorStore, DataFrame]:
+    """All points in a store, and their frame."""
+    v = X.vectors(spark, sf_dir).select("point_id", "workspace_id", "file_path", "content_type", "start_line", "embedding")
+    s = store.VectorStore(spark, shared.folder(spark, "store"))
+    s.promote("points", s.build("points", v))
+    return s, v
+
+
+@query(
+    "delta_upsert",
+    f"""WITH {X.VECTORS}
+SELECT point_id, CASE WHEN content_type = 'markup' THEN start_line + 1000 ELSE start_line END AS start_line FROM vectors
+UNION ALL SELECT point_id + 1000000, start_line FROM vectors WHERE content_type = 'documentation'""",
+)
+def delta_upsert(spark, sf_dir):
+    s, v = _stored(spark, sf_dir)
+    again = v.filter("content_type = 'markup'").withColumn("start_line", (F.col("start_line") + 1000).cast("int"))
+    s.upsert("points", again.unionByName(v.filter("content_type = 'documentation'").withColumn("point_id", F.col("point_id") + 1_000_000)))
+    return s.read("points").select("point_id", "start_line")
+
+
+@query(
+    "compacted_points",
+    f"""WITH {X.VECTORS}, gone AS (SELECT DISTINCT file_path FROM vectors WHERE content_type = 'markup')
+SELECT point_id, file_path, workspace_id FROM vectors
+WHERE NOT (workspace_id = 'w1' AND file_path IN (SELECT file_path FROM gone)) AND NOT (workspace_id = 'w2' AND file_path = '/ws/src/f3.cs')""",
+)
+def compacted_points(spark, sf_dir):
+    s, v = _stored(spark, sf_dir)
+    s.delete_files("points", "w1", v.filter("content_type = 'markup'").select(F.upper("file_path").alias("file_path")))
+    s.delete_directories("points", "w2", ["/WS/src/f3.cs", "/ws/sr"])
+    s.compact("points")
+    return s.read("points").select("point_id", "file_path", "workspace_id")
+
+
+@query(
+    "points_below",
+    f"WITH {X.FILES} SELECT doc_id, file_path FROM files WHERE starts_with(file_path, '/ws/src/') OR starts_with(file_path, '/ws/docs/src1/')",
+)
+def points_below(spark, sf_dir):
+    """Rows below two directories, by ranges of the sorted path that the scan of the stored table takes."""
+    s = store.VectorStore(spark, shared.folder(spark, "store"))
+    s.promote("files", s.build("files", X.files(spark, sf_dir).select("doc_id", "file_path", "size")))
+    return s.read_below("files", "/WS/src").unionByName(s.read_below("files", "/ws/docs/src1")).select("doc_id", "file_path")
+
+
 @query("delete_by_files", f"WITH {X.VECTORS} SELECT point_id FROM vectors WHERE NOT (workspace_id = 'w1' AND file_path IN (SELECT file_path FROM vectors WHERE content_type = 'markup'))")
 def delete_by_files(spark, sf_dir):
     v = X.vectors(spark, sf_dir)

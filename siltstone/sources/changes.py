@@ -119,19 +119,23 @@ def git_identity(root: str, timeout: float = 5) -> dict:
 
 
 def git_changes(root: str, previous_commit: str | None, timeout: float = 10) -> tuple[list[tuple[str, str]], bool]:
-    """Changes since a commit and in the working tree, and whether the list is complete.
+    """Changes since a commit and in the working tree below ``root``, by paths from there, and whether the list is complete.
 
-    Without a previous commit only the working tree is known, so the list is not complete.
+    Files of new directories are named one by one. What the rest of the repository does is left out; a
+    file that is moved in or out is new or deleted. Without a previous commit only the working tree is
+    known, so the list is not complete.
     """
-    status = _git(root, "status", "--porcelain=v1", "-z", timeout=timeout)
-    if status is None:
+    prefix = _git(root, "rev-parse", "--show-prefix", timeout=timeout)
+    status = _git(root, "status", "--porcelain=v1", "-z", "--untracked-files=all", "--", ".", timeout=timeout)
+    if status is None or prefix is None:
         return [], False
     changes, complete = [], bool(previous_commit)
     if previous_commit:
-        diff = _git(root, "diff", "--name-status", "-z", previous_commit, "HEAD", timeout=timeout)
+        diff = _git(root, "diff", "--name-status", "-z", previous_commit, "HEAD", "--", ".", timeout=timeout)
         complete = diff is not None
         changes = parse_name_status(diff or "")
-    return changes + parse_status(status), complete
+    below = prefix.strip("\n")
+    return [(p[len(below) :], op) for p, op in changes + parse_status(status) if p.startswith(below)], complete
 
 
 def changes_frame(spark: SparkSession, changes: Sequence[tuple[str, str]], root: str = "") -> DataFrame:

@@ -143,6 +143,112 @@ def test_change_lists_of_the_repository_are_used(spark, ws, tmp_path):
     assert files_of(e, ws) == {"docs/x.md", "docs/new.md"}
 
 
+def test_change_lists_name_files_of_new_folders(spark, ws, tmp_path):
+    git(ws, "init", "-q")
+    git(ws, "add", "-A")
+    git(ws, "commit", "-qm", "one")
+    e = Engine(spark, f"{tmp_path}/store", Picky())
+    e.index_workspace(str(ws))
+    write(ws, {"new/deep/a.md": "# A\n", "new/b.md": "# B\n"})
+    assert e.index_workspace(str(ws)).files_changed == 2
+    assert {"new/deep/a.md", "new/b.md"} <= files_of(e, ws)
+
+
+def test_change_lists_keep_to_the_workspace(spark, tmp_path):
+    top = tmp_path / "top"
+    write(top, {"a/one.md": "# One\n", "b/two.md": "# Two\n", "a/three.md": "# Three\n", "ab/x.md": "# X\n"})
+    git(top, "init", "-q")
+    git(top, "add", "-A")
+    git(top, "commit", "-qm", "one")
+    e = Engine(spark, f"{tmp_path}/store", Picky())
+    e.index_workspace(str(top / "a"))
+    write(top, {"b/two.md": "# Two again\n", "b/new.md": "# New\n", "a/one.md": "# One again\n", "ab/x.md": "# X again\n"})
+    git(top, "mv", "a/three.md", "b/three.md")
+    git(top, "add", "-A")
+    git(top, "commit", "-qm", "two")
+    done = e.index_workspace(str(top / "a"))
+    assert (done.files_changed, done.files_deleted) == (1, 1)
+    assert files_of(e, top / "a") == {"one.md"}
+    assert [os.path.basename(r.file_path) for r in e.state(done.collection_name).collect()] == ["one.md"]
+
+
+def test_several_targets_and_names(spark, tmp_path):
+    ws = tmp_path / "ws"
+    write(ws, {
+        "all.sln": 'Project("{X}") = "A", "a\\A.csproj", "{Y}"', "a/A.csproj": "<Project/>", "a/x.cs": "class X { void M() { } }",
+        "docs/one.md": "# One\n", "docs/two.md": "# Two\n", "notes/n.md": "# N\n", "other/o.md": "# O\n",
+    })
+    e = Engine(spark, f"{tmp_path}/store", Picky())
+    done = e.index_workspace(str(ws), [f"{ws}/docs", f"{ws}/notes/n.md"])
+    assert done.files_scanned == 3 and files_of(e, ws) == {"docs/one.md", "docs/two.md", "notes/n.md"}
+    os.remove(ws / "docs/two.md")
+    write(ws, {"notes/n.md": "# N again\n", "other/o.md": "# O again\n"})
+    done = e.index_workspace("WS", [f"{ws}/all.sln", f"{ws}/docs"])  # by its name
+    assert (done.files_changed, done.files_deleted) == (3, 1)
+    assert files_of(e, ws) == {"docs/one.md", "notes/n.md", "all.sln", "a/A.csproj", "a/x.cs"}
+    assert e.registry().first().indexed_targets == [f"{ws}/docs", f"{ws}/notes/n.md", f"{ws}/all.sln"]
+    with pytest.raises(FileNotFoundError):
+        e.index_workspace("nobody")
+    with pytest.raises(PermissionError):
+        Engine(spark, f"{tmp_path}/store", Picky(), Settings(allowed_roots=(str(ws),))).index_workspace(str(ws), [f"{ws}/docs", f"{tmp_path}/x"])
+
+
+def test_beginnings_are_enough_to_classify(spark, tmp_path):
+    ws = tmp_path / "ws"
+    write(ws, {"docs/long.md": "# Long\n" + "word " * 6_000 + "\n## Last\nthe end\n", "bin/no.md": "# no\n"})
+    e = Engine(spark, f"{tmp_path}/store", Picky(), Settings(fingerprint_content=False))
+    name = e.index_workspace(str(ws)).collection_name
+    assert e.vectors.read(name).filter("content LIKE '%the end%'").count() == 1
+    assert e.index_workspace(str(ws)).files_changed == 0
+
+
+def test_groups_grow(spark, tmp_path):
+    from siltstone.cli import main
+
+    store_dir = f"{tmp_path}/store"
+    assert main(["--store", store_dir, "group", "create", "Both", "--root", "/a"]) == 0
+    assert main(["--store", store_dir, "group", "add", "both", "--root", "/A", "--root", "/b", "-x", "bin"]) == 0
+    row = Engine(spark, store_dir).groups().first()
+    assert (row.name, row.roots, row.exclude_directories) == ("Both", ["/a", "/b"], ["bin"])
+    assert main(["--store", store_dir, "workspace", "migrate", "/none", "--to", "/x"]) == 1
+
+
+def test_searches_by_an_index(spark, tmp_path):
+    ws = tmp_path / "ws"
+    write(ws, {f"d{k % 5}/f{k}.md": f"# Title {k}\nwords number {k} of topic {k % 7}\n" for k in range(120)})
+    e = Engine(spark, f"{tmp_path}/store", Picky(width=16))
+    done = e.index_workspace(str(ws))
+    made = e.build_vector_index(str(ws), lists=6, k=10)
+    assert made["recall"] >= 0.95 and made["lists"] == 6
+    ask = lambda approximate: [(r.file_path, r.score) for r in e.search_code("topic 3 words", 5, approximate=approximate, workspace_root=str(ws)).orderBy("rank").collect()]
+    exact = ask(False)
+    assert len({p for p, _ in ask(True)} & {p for p, _ in exact}) >= 4
+    # what comes later is found beside the index, what goes is not
+    write(ws, {"new.md": "# topic 3 words\ntopic 3 words\n"})
+    os.remove(exact[0][0])
+    e.index_workspace(str(ws))
+    assert e.vectors.head(done.collection_name)["index"]["folder"] == made["folder"]
+    again = [p for p, _ in ask(True)]
+    assert str(ws / "new.md") in again and exact[0][0] not in again
+    # filters that leave too few: everywhere
+    assert e.search_code("topic", 5, content_type="code", approximate=True, workspace_root=str(ws)).count() == 0
+    e.index_workspace(str(ws), force=True)
+    assert e.vectors.head(done.collection_name)["index"] is None
+
+
+def test_a_small_change_writes_little(spark, tmp_path):
+    ws = tmp_path / "ws"
+    write(ws, {f"d{k % 5}/f{k}.md": "".join(f"# Title {k} {j}\nsome words {j * k}\n" for j in range(40)) for k in range(60)})
+    e = Engine(spark, f"{tmp_path}/store", Picky())
+    name = e.index_workspace(str(ws)).collection_name
+    before = e.vectors.bytes_written(name)
+    write(ws, {"d1/f1.md": "# Other\ntext\n"})
+    done = e.index_workspace(str(ws))
+    assert (done.files_changed, done.chunks_indexed) == (1, 1)
+    assert e.vectors.bytes_written(name) - before < before / 5
+    assert e.state(name).count() == 60 and e.vectors.read(name).filter("file_path LIKE '%/d1/f1.md'").count() == 1
+
+
 def test_solution_targets_and_aliases(spark, tmp_path):
     ws = tmp_path / "ws"
     project = "<Project><ItemGroup>{}</ItemGroup></Project>"

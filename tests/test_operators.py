@@ -1,13 +1,15 @@
 """Operators on small tables with known answers, and the engine end to end."""
 
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.cli import delimited, main, parser, path_map
 from siltstone.engine import Engine
-from siltstone.operators import catalog, embedding, evaluation, scanners, search, solution, store, transfer
+from siltstone.operators import blocks, catalog, embedding, evaluation, scanners, search, solution, store, transfer
 from siltstone.sources import changes
 from siltstone.streaming import triggers
 
@@ -128,7 +130,7 @@ def test_embedding_once_with_errors_kept(spark):
         models.resolve("z", "a")
 
 
-def test_scanners():
+def test_scanners(spark):
     cs = 'namespace N\n{\n  public record P(int X);\n  class C<T> : B where T : class\n  {\n    int a = 1, b;\n    public string S => "{";\n    public int this[int i] => i;\n    void M(int x = 1) { if (x > 0) { } }\n  }\n  enum E { A, B }\n}\n'
     got = [(u.symbol, u.kind, u.start, u.end, u.fqn) for u in scanners.scan_csharp("/x/c.cs", cs)]
     assert got == [
@@ -145,7 +147,8 @@ def test_scanners():
     ]
     page = '@page "/x"\n@using A\n<button id="go" @onclick="F">\nx</button>\n<div>\n</div>\n@code {\n int a;\n}\n'
     assert [(u.symbol, u.kind, u.start, u.end) for u in scanners.scan_markup("a.razor", page)] == [("directives", "Directives", 1, 2), ("button#go", "BoundElement", 3, 4), ("@code", "CodeBlock", 7, 9)]
-    assert [(u.symbol, u.kind, u.start, u.end) for u in scanners.scan_styles("a.css", "@media x {\n .a { b: c }\n}\n.d { e: f }")] == [("@media x", "StyleAtRule", 1, 3), (".a", "StyleRule", 2, 2), (".d", "StyleRule", 4, 4)]
+    sheet = spark.createDataFrame([("/w", "/w/a.css", "@media x {\n .a { b: c }\n}\n.d { e: f }")], "workspace_root string, file_path string, content string")
+    assert [(u.symbol, u.kind, u.start_line, u.end_line) for u in blocks.style_units(sheet).orderBy("start_line").collect()] == [("@media x", "StyleAtRule", 1, 3), (".a", "StyleRule", 2, 2), (".d", "StyleRule", 4, 4)]
     assert [u.kind for u in scanners.scan_csharp("a.cs", "")] == ["File"]
 
 
@@ -232,3 +235,28 @@ def test_json_files(spark, tmp_path):
     put = J.progress_lines(f"{tmp_path}/p")
     put(J.Progress("/w", "scan", 1, None, "x"))
     assert '"stage": "scan"' in open(f"{tmp_path}/p").read()
+
+
+def plain_rules(text):
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    out = []
+    for k, x in enumerate(lines):
+        if m := re.search(r"^\s*((?:@[\w-]+[^{]+|[^{}]+))\s*\{", x):
+            balance = 0
+            for last in range(k, len(lines)):
+                balance += lines[last].count("{") - lines[last].count("}")
+                if balance <= 0:
+                    break
+            out.append((m[1].strip(), "StyleAtRule" if m[1].strip().startswith("@") else "StyleRule", k + 1, last + 1, "\n".join(lines[k : last + 1])))
+    return out or [("s.css", "File", 1, len(lines), "\n".join(lines))]
+
+
+def test_style_rules_against_a_loop(spark):
+    rng = random.Random(6)
+    bits = ["a {", "@media x {", "}", "} }", ".b { c: d }", " e: f;", "{", "x } y {", "", "h { i { j", "}}} k {", "\tp , q {"]
+    texts = ["\n".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(150)] + ["", "no rules", "a {\r\n}\rb { }"]
+    files = spark.createDataFrame([("/w", f"/w/{k}/s.css", t) for k, t in enumerate(texts)] + [("/w", "/w/null/s.css", None)], "workspace_root string, file_path string, content string")
+    got = {}
+    for r in blocks.style_units(files).collect():
+        got.setdefault(r.file_path, []).append((r.symbol, r.kind, r.start_line, r.end_line, r.content))
+    assert {k: sorted(v) for k, v in got.items()} == {f"/w/{k}/s.css": sorted(plain_rules(t)) for k, t in enumerate(texts)} | {"/w/null/s.css": plain_rules("")}
