@@ -36,6 +36,8 @@ WINNING_SHARE = 0.1
 SUSPECTED = 0.02
 #: Winning paths up to this many rows are broadcast (a host and a path each, so some tens of MB).
 BROADCAST_PATHS = 200_000
+#: A form with so many paragraphs, and nothing outside of it, is the page.
+WRAPPED_PARAGRAPHS = 2
 VOTE = 1_000_000  # a page's vote, in whole numbers so that sums do not depend on their order
 
 # fixed values: element kinds of HTML
@@ -104,10 +106,10 @@ class Node:
 
     __slots__ = ("tag", "drop", "in_article", "in_link", "block", "path", "suspects")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
+    def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str], dropped: frozenset[str]):
         self.tag = tag
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
-        self.drop = (parent is not None and parent.drop) or _dropped(tag, attrs, self.in_article)
+        self.drop = (parent is not None and parent.drop) or _dropped(tag, attrs, self.in_article, dropped)
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
         #: The nearest block element, the path of the nearest container, and those of suspected containers.
         self.block = tag if tag in BLOCKS or parent is None else parent.block
@@ -123,8 +125,8 @@ class Node:
                 self.suspects = (*self.suspects, self.path)
 
 
-def _dropped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in DROP_TAGS or (tag == "header" and not in_article):
+def _dropped(tag: str, attrs: dict[str, str], in_article: bool, dropped: frozenset[str]) -> bool:
+    if tag in dropped or (tag == "header" and not in_article):
         return True
     return tag not in ("html", "body", "main", "article") and attrs.get("role", "").lower() in DROP_ROLES
 
@@ -143,10 +145,10 @@ def _suspected(attrs: dict[str, str], in_article: bool) -> bool:
 class Block:
     """A block's text: whether it is a first-level heading, its container's path, suspected containers, its worth."""
 
-    __slots__ = ("text", "heading", "path", "suspects", "worth")
+    __slots__ = ("text", "heading", "paragraph", "path", "suspects", "worth")
 
     def __init__(self, text: str, node: Node, in_links: int):
-        self.text, self.heading, self.path, self.suspects = text, node.block == "h1", node.path, node.suspects
+        self.text, self.heading, self.paragraph, self.path, self.suspects = text, node.block == "h1", node.block == "p", node.path, node.suspects
         worth = (len(text) - 2 * in_links) * SUSPECTED ** len(node.suspects)
         self.worth = 2 * worth if node.in_article else worth
 
@@ -155,8 +157,17 @@ class Page:
     """The blocks of a page that are not dropped, in order."""
 
     def __init__(self, source: str):
+        self._read(source, DROP_TAGS)
+        if not self.blocks and "<form" in source.lower():
+            # a form around the whole page is no form of the page's
+            self._read(source, DROP_TAGS - {"form"})
+            if sum(b.paragraph for b in self.blocks) < WRAPPED_PARAGRAPHS:
+                self.blocks = []
+
+    def _read(self, source: str, dropped: frozenset[str]) -> None:
         self.blocks: list[Block] = []
-        self.open: list[Node] = [Node("", None, {})]
+        self.dropped = dropped
+        self.open: list[Node] = [Node("", None, {}, dropped)]
         self._count: dict[str, int] = {}  # open elements by tag
         self._text: list[str] = []
         self._link = 0
@@ -233,7 +244,7 @@ class Page:
                 at = tail + 1 if tail >= 0 else end
                 continue
             found = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attrs)} if "=" in attrs else {}
-            self.open.append(Node(tag, self.open[-1], found))
+            self.open.append(Node(tag, self.open[-1], found, self.dropped))
             self._count[tag] = self._count.get(tag, 0) + 1
 
     def scores(self) -> dict[str, float]:
@@ -251,7 +262,8 @@ class Page:
 
     def text_at(self, winning: list[str], around: list[str]) -> str | None:
         """Blocks at the winning paths and at those around them, and headings; None where there are but headings."""
-        places = {*winning, *around}
+        # what stands beside a winning path in the page's article goes along: a lead, a byline
+        places = {*winning, *around, *(a for w in winning if (a := article_path(w)))}
         confirmed = lambda s: any(_inside(w, s) for w in winning)
         out, found = [], False
         for b in self.blocks:
@@ -274,6 +286,15 @@ def _inside(path: str, outer: str) -> bool:
     return path == outer or path.startswith(outer + ">")
 
 
+def article_path(path: str) -> str | None:
+    """The path of the nearest article or main around a container, or its own."""
+    steps = path.split(">")
+    for k in range(len(steps), 0, -1):
+        if steps[k - 1].partition(".")[0] in ("article", "main"):
+            return ">".join(steps[:k])
+    return None
+
+
 def parent_path(path: str) -> str | None:
     return path.rpartition(">")[0] if path else None
 

@@ -143,3 +143,23 @@ def test_broken_markup_ends_in_time():
         Page(source).votes()
     assert time.time() - start < 30
     assert [b.text for b in Page("<p>one<p>two <i>three</p>four").blocks] == ["one", "two three", "four"]
+
+
+def texts_of(spark, sources):
+    rows = [(k, f"https://one.example/{k}", s) for k, s in enumerate(sources)]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_a_lead_beside_the_body_stays(spark):
+    words = lambda k, n: " ".join(f"word{k}x{j}" for j in range(n))
+    page = lambda k: f"<body><div class=top>{words('t', 3)}</div><main><div class=lede>Lead {k}.</div><div class=content><p>{words(k, 120)}</p></div></main></body>"
+    assert texts_of(spark, map(page, range(5))) == [f"Lead {k}.\n{words(k, 120)}" for k in range(5)]
+
+
+def test_a_form_around_the_page_is_no_form_of_it(spark):
+    body = "<nav>Menu</nav><div class=content><p>First words.</p><p>Second words.</p><input value=x><select><option>No</select></div><footer>Foot</footer>"
+    login = "<form><p>Sign in</p><input name=user><button>Go</button></form>"
+    assert texts_of(spark, [f"<body><form action=x>{body}</form></body>", f"<body>{login}</body>"]) == ["First words.\nSecond words.", ""]
+    # a form beside text is left out as before
+    assert texts_of(spark, [f"<body><div class=content><p>Text.</p></div>{login}</body>"]) == ["Text."]
