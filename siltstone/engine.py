@@ -27,6 +27,7 @@ from siltstone.functions import classify as C
 from siltstone.functions import keys as K
 from siltstone.functions import paths as P
 from siltstone.operators import ann, catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
+from siltstone.operators.lease import Lease
 from siltstone.sources import json_files
 from siltstone.sources.changes import git_changes, git_identity, with_identity
 
@@ -203,8 +204,12 @@ class Engine:
         profile = S.normal_profile(profile)
         workspace, collection = self._names(root)
         lock = _locks.setdefault(f"{self.folder}|{workspace}", Lock())
-        with lock:
-            return self._index(root, workspace, collection, targets, force, profile, list(excludes), dry_run)
+        with lock, self.lease(root) as held:
+            return self._index(root, workspace, collection, targets, force, profile, list(excludes), dry_run, held)
+
+    def lease(self, root: str) -> Lease:
+        """The right to write a workspace's index, which one driver has at a time."""
+        return Lease(self.spark, f"{self.folder}/leases/{self._names(root)[0]}")
 
     def _changes(self, root: str, head: dict | None, rules: str) -> list[str] | None:
         """Paths that may differ from the active state by the repository's own account; None without a complete one.
@@ -246,7 +251,7 @@ class Engine:
         together = reduce(DataFrame.unionByName, parts)
         return (together if len(parts) == 1 else together.dropDuplicates(["file_path"])), here
 
-    def _index(self, root, workspace, collection, targets, force, profile, excludes, dry_run):
+    def _index(self, root, workspace, collection, targets, force, profile, excludes, dry_run, held):
         s = self.settings
         model, warnings = self._model()
         head, rules = self.vectors.head(collection), self._rules(excludes)
@@ -313,6 +318,7 @@ class Engine:
             told[MOST_WARNINGS:] = [f"and {errors.count() - MOST_WARNINGS} more kinds of errors"]
         warnings += told
         self._tell(root, "write", totals["chunks"], totals["chunks"], f"version {version}")
+        held.check()
         self.vectors.promote(collection, version)
         self._register(root, workspace, collection, targets, totals, had and full)
         self._drop_staging(collection)

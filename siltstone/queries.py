@@ -11,7 +11,7 @@ from siltstone.functions import classify as C
 from siltstone.functions import keys as K
 from siltstone.functions import paths as P
 from siltstone.functions import text as T
-from siltstone.operators import blocks, catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
+from siltstone.operators import ann, blocks, catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
 from siltstone.plans import fixtures as X
 from siltstone.sources.changes import webhook
 from siltstone.sources import shared
@@ -88,6 +88,35 @@ def vector_topk_batched(spark, sf_dir):
     return search.batched_topk(e.withColumnRenamed("vec_id", "point_id"), asked, 10)
 
 
+def _by_lists(spark, sf_dir, every: bool) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding")
+    folder = shared.folder(spark, "lists")
+    books = ann.fit(e)
+    ann.save(ann.indexed(e, books), books, folder)
+    blocks, books = ann.load(spark, folder)
+    asked = e.filter("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), F.col("embedding").alias("vector"))
+    probes, rescore = (len(books.centroids), 200) if every else ann.tuned(e, blocks, books, 10)[:2]
+    return ann.approximate_topk(e, blocks, books, asked, 10, probes, rescore)
+
+
+@query("vector_topk_approximate")
+def vector_topk_approximate(spark, sf_dir):
+    """By as many lists and candidates as a recall of 0.95 takes; a test holds it against the exact search."""
+    return _by_lists(spark, sf_dir, False)
+
+
+@query(
+    "vector_topk_all_lists",
+    """WITH s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS point_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def vector_topk_all_lists(spark, sf_dir):
+    """By all lists the index gives what the exact search gives."""
+    return _by_lists(spark, sf_dir, True)
+
+
 @query("keyword_score", f"WITH {X.VECTORS} SELECT doc_id, round(len(list_filter(ts, lambda t: contains(lower(coalesce(text, '')), lower(t)))) / CAST(len(ts) AS DOUBLE), 6) AS score FROM documents, words")
 def keyword_score(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
