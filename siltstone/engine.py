@@ -26,7 +26,9 @@ from siltstone import schemas as S
 from siltstone.functions import classify as C
 from siltstone.functions import keys as K
 from siltstone.functions import paths as P
+from siltstone.functions import text as T
 from siltstone.operators import ann, catalog, chunking, delta, embedding, evaluation, scan, scanners, search, solution, store, transfer
+from siltstone.operators.embedding_store import EmbeddingStore
 from siltstone.operators.lease import Lease
 from siltstone.sources import json_files
 from siltstone.sources.changes import git_changes, git_identity, with_identity
@@ -47,6 +49,8 @@ class Settings:
     #: Files that are chunked, embedded and written together.
     checkpoint_files: int = 10_000
     use_change_lists: bool = True
+    #: Vectors are kept by content, for all workspaces and later runs of the same model.
+    keep_embeddings: bool = True
     fallback_model: str | None = None
     progress: Callable[[json_files.Progress], None] | None = None
 
@@ -375,12 +379,15 @@ class Engine:
         n_files = todo.count()
         n = -(-n_files // self.settings.checkpoint_files)
         written, done = [], 0
+        known = EmbeddingStore(self.spark, f"{self.folder}/embeddings", self._model()[0], self.provider.width) if self.settings.keep_embeddings else None
         for k in range(n):
             part = todo.filter(F.pmod(F.xxhash64("path_key"), F.lit(n)) == k)
             chunks = scanners.chunk_files(self._of(files, part))
             where = f"{self._staging(collection)}/{key}/{datetime.now(UTC):%Y%m%d%H%M%S%f}-{k}"
-            made = embedding.embedded(chunks, self.provider, self.settings.embed_batch).withColumn("_key", P.path_key(F.col("file_path")))
+            made = embedding.embedded(chunks, self.provider, self.settings.embed_batch, store=known).withColumn("_key", P.path_key(F.col("file_path")))
             made.join(keyed, "_key").select(*columns).write.parquet(where)
+            if known:
+                known.add(read([where]).select(K.embedding_key(F.col("content"), T.EMBED_CHARS).alias("content_hash"), "embedding"))
             written.append(where)
             done += part.count()
             self._tell(root, "embed", done, n_files, f"batch {k + 1} of {n}")

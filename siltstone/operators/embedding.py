@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,9 @@ from pyspark.sql import types as Ty
 from siltstone.functions import keys as K
 from siltstone.functions.text import EMBED_CHARS
 
+if TYPE_CHECKING:
+    from siltstone.operators.embedding_store import EmbeddingStore
+
 
 class Provider(Protocol):
     """Makes vectors of texts; a text that it cannot embed gives None."""
@@ -69,8 +72,8 @@ def embedding_inputs(chunks: DataFrame, limit: int = EMBED_CHARS) -> DataFrame:
     )
 
 
-def embedded(chunks: DataFrame, provider: Provider, batch: int = 16, limit: int = EMBED_CHARS) -> DataFrame:
-    """``chunks`` with ``embedding`` and ``embedding_error``; each distinct content is embedded once.
+def embedded(chunks: DataFrame, provider: Provider, batch: int = 16, limit: int = EMBED_CHARS, store: EmbeddingStore | None = None) -> DataFrame:
+    """``chunks`` with ``embedding`` and ``embedding_error``; each distinct content is embedded once, and not if ``store`` has it.
 
     A batch that fails is tried again text by text; a text that fails alone keeps its message and no
     vector. The vectors go back to all chunks of the same content by a join on its hash.
@@ -95,7 +98,11 @@ def embedded(chunks: DataFrame, provider: Provider, batch: int = 16, limit: int
 
     shape = Ty.StructType([Ty.StructField("embedding", Ty.ArrayType(Ty.FloatType())), Ty.StructField("embedding_error", Ty.StringType())])
     udf: Callable = F.pandas_udf(make, shape)
-    once = embedding_inputs(chunks, limit).withColumn("made", udf(F.col("content"))).select("content_hash", "made.*")
+    inputs = embedding_inputs(chunks, limit)
+    asked = inputs.join(store.of(inputs).select("content_hash"), "content_hash", "left_anti") if store else inputs
+    once = asked.withColumn("made", udf(F.col("content"))).select("content_hash", "made.*")
+    if store:
+        once = once.unionByName(store.of(inputs).withColumn("embedding_error", F.lit(None).cast("string")))
     return chunks.withColumn("content_hash", K.embedding_key(F.col("content"), limit)).join(once, "content_hash").drop("content_hash")
 
 
