@@ -299,11 +299,11 @@ class Engine:
         made = self._embedded(root, collection, work, changed, f"{model}|{rules}").cache()
         points = store.payload(with_identity(embedding.ready(made), git_identity(root)))
         full = not had or replaces
-        stale = changed.select("file_path").unionByName(gone.select("file_path"))
         counted = delta.backfilled(current, delta.chunks_per_file(made), previous)
         merged = delta.merged_state(self.spark.createDataFrame([], _STATE) if full else previous, counted.drop("path_key"), here)
         state = delta.without_failed(merged, made).select(*[c.split()[0] for c in _STATE.split(", ")])
-        state = state.withColumn("chunk_count", F.col("chunk_count").cast("int"))
+        # what the new state is takes many joins, and a change compares it with the old one twice
+        state = self._written(collection, state.withColumn("chunk_count", F.col("chunk_count").cast("int")), "state")
         who = git_identity(root)
         dirty, _ = git_changes(root, None) if who["is_git_repository"] else ([], False)
         index = None if full or not head else head.get("index")
@@ -314,6 +314,7 @@ class Engine:
         if full:
             version = self.vectors.build(collection, points, self.provider.width, state, head)
         else:
+            stale = self._written(collection, changed.select("file_path").unionByName(gone.select("file_path")), "stale")
             version = self.vectors.change(collection, points, [lambda rows: store.of_files(rows, workspace, stale)], self.provider.width, state, head)
         totals = {"scanned": current.count(), "changed": changed.count(), "deleted": gone.count(), "chunks": made.filter("embedding IS NOT NULL").count()}
         errors = made.filter("embedding IS NULL").select("embedding_error").distinct()
@@ -333,6 +334,12 @@ class Engine:
     def _staging(self, collection: str) -> str:
         return f"{self.folder}/staging/{collection}"
 
+    def _written(self, collection: str, rows: DataFrame, name: str) -> DataFrame:
+        """Rows written to the staging folder and read again."""
+        where = f"{self._staging(collection)}/{name}/{datetime.now(UTC):%Y%m%d%H%M%S%f}"
+        rows.write.parquet(where)
+        return self.spark.read.schema(rows.schema).parquet(where)
+
     def _drop_staging(self, collection: str, part: str = "") -> None:
         fs, where = self.vectors._fs(f"{self._staging(collection)}/{part}".rstrip("/"))
         fs.delete(where, True)
@@ -382,7 +389,8 @@ class Engine:
         known = EmbeddingStore(self.spark, f"{self.folder}/embeddings", self._model()[0], self.provider.width) if self.settings.keep_embeddings else None
         for k in range(n):
             part = todo.filter(F.pmod(F.xxhash64("path_key"), F.lit(n)) == k)
-            chunks = scanners.chunk_files(self._of(files, part))
+            # written, as embedding reads them several times
+            chunks = self._written(collection, scanners.chunk_files(self._of(files, part)), "chunks")
             where = f"{self._staging(collection)}/{key}/{datetime.now(UTC):%Y%m%d%H%M%S%f}-{k}"
             made = embedding.embedded(chunks, self.provider, self.settings.embed_batch, store=known).withColumn("_key", P.path_key(F.col("file_path")))
             made.join(keyed, "_key").select(*columns).write.parquet(where)

@@ -42,14 +42,14 @@ class EmbeddingStore:
         """Keep vectors (content_hash, embedding) that are not there yet."""
         new = rows.filter("embedding IS NOT NULL").select("content_hash", "embedding").dropDuplicates(["content_hash"])
         missing = new.join(self.kept().select("content_hash"), "content_hash", "left_anti")
-        missing.repartitionByRange("content_hash").sortWithinPartitions("content_hash").write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
+        missing.sortWithinPartitions("content_hash").write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
 
     def compact(self) -> None:
         """All rows in one folder."""
         old = self._folders()
         if len(old) > 1:
             rows = self.spark.read.schema(KEPT).parquet(*old).dropDuplicates(["content_hash"])
-            rows.repartitionByRange("content_hash").sortWithinPartitions("content_hash").write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
+            rows.sortWithinPartitions("content_hash").write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
             for f in old:
                 where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
