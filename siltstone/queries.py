@@ -92,10 +92,12 @@ def _by_lists(spark, sf_dir, every: bool) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding")
     folder = shared.folder(spark, "lists")
     books = ann.fit(e)
-    ann.save(ann.indexed(e, books), books, folder)
+    ann.save(ann.indexed(e, books, whole=every), books, folder)
     blocks, books = ann.load(spark, folder)
     asked = e.filter("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), F.col("embedding").alias("vector"))
-    probes, rescore = (len(books.centroids), 200) if every else ann.tuned(e, blocks, books, 10)[:2]
+    if every:
+        return ann.exact_topk(e, blocks, books, asked, 10)
+    probes, rescore = ann.tuned(e, blocks, books, 10)[:2]
     return ann.approximate_topk(e, blocks, books, asked, 10, probes, rescore)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import ann
 from siltstone.operators.search import batched_topk
+from siltstone.queries import queries
 from siltstone.sources.tables import table
 
 
@@ -55,6 +56,27 @@ def test_all_lists_and_candidates_are_the_exact_search(spark, tmp_path):
     assert sorted((r.query_id, r.score) for r in found.collect()) == sorted((r.query_id, r.score) for r in exact.collect())
 
 
+def test_all_lists_find_the_best_of_many_that_are_near(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(1, 16)), 3000, axis=0) + 1e-2 * rng.normal(size=(3000, 16))
+    x[1000:1400] = x[1000]
+    x[2000:] = rng.normal(size=(1000, 16))
+    frame(spark, x.astype(np.float32)).withColumn("label", F.lit(0)).withColumnRenamed("point_id", "vec_id").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found, exact = (sorted(map(tuple, queries()[f"vector_topk_{name}"](spark, f"{tmp_path}").select("query_id", "rank", "point_id", "score").collect())) for name in ("all_lists", "batched"))
+    assert len(found) == 300 and found == exact
+
+
+def test_exact_search_by_lists_of_odd_vectors(spark):
+    odd = [("none", None), ("empty", []), ("wide", [1.0] * 3), ("zero", [0.0] * 2), ("nan", [float("nan"), 1.0]), ("hole", [None, 1.0])]
+    v = spark.createDataFrame([*odd, ("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 1.0]), ("B", [3.0, 0.0])], "point_id string, embedding array<double>")
+    books = ann.fit(v, lists=2)
+    asked = spark.createDataFrame([("q", [4.0, 3.0]), *odd], "query_id string, vector array<double>")
+    got = ann.exact_topk(v, ann.indexed(v, books, whole=True), books, asked, 3).collect()
+    assert [(r.query_id, r.point_id, r.score, r["rank"]) for r in got] == [("q", "B", 0.8, 1), ("q", "a", 0.8, 2), ("q", "b", 0.8, 3)]
+    more = ann.exact_topk(v, ann.indexed(v, books, whole=True), books, asked, 9)
+    assert [(r.point_id, r.score) for r in more.orderBy("rank").collect()] == [("B", 0.8), ("a", 0.8), ("b", 0.8), ("c", 0.6)]
+
+
 def test_recall_on_the_sample_table(spark):
     e = table(spark, "/root/testdata/sf0.1", "embeddings").select(F.col("vec_id").alias("point_id"), "embedding").cache()
     books = ann.fit(e)
