@@ -24,6 +24,8 @@ OVERFETCH = 5
 MAX_CANDIDATES = 50
 DIGITS = 6  # similarities are rounded so that ties are ties on every machine
 MAX_QUERIES = 10_000
+#: Rows and queries that are multiplied at once: a task's arrays have this many numbers squared, however many of either there are.
+TILE = 1024
 
 
 @dataclass(frozen=True)
@@ -152,10 +154,10 @@ def packed(results: DataFrame, limit: int, tie: str = "point_id") -> DataFrame:
 def batched_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "point_id") -> DataFrame:
     """(query_id, point_id, score, rank) for a table of queries (query_id, vector), in one scan of the vectors.
 
-    Each Arrow batch is multiplied with the matrix of queries and gives its own best ``k`` a query,
-    so what is shuffled is at most ``k`` rows a query and batch, and no row is paired with all
-    queries as a row. The queries go to every task, at most MAX_QUERIES at once: more are done in
-    blocks, with a scan for each.
+    Arrow batches are multiplied with the matrix of queries tile by tile, and a task keeps its best
+    ``k`` a query so far, so what is shuffled is at most ``k`` rows a query and task, and no row is
+    paired with all queries as a row. The queries go to every task, at most MAX_QUERIES at once: more
+    are done in blocks, with a scan for each.
     """
     blocks = batched(queries.select("query_id", "vector").toLocalIterator(), MAX_QUERIES)
     found = [_best_of_block(vectors, list(block), k, id_col) for block in blocks]
@@ -165,35 +167,62 @@ def batched_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
 
 
 def _best_of_block(vectors: DataFrame, asked: list, k: int, id_col: str) -> DataFrame:
-    """(query_id, point_id, score): the best ``k`` of each batch of vectors for each query of a block."""
-    ids = [r.query_id for r in asked]
-    matrix = [[float(x) for x in r.vector] for r in asked]
+    """(query_id, point_id, score): the best ``k`` of each task's vectors for each query of a block."""
+    import numpy as np
+
+    ids = np.array([r.query_id for r in asked], dtype=np.int64)
+    q = np.array([[float(x) for x in r.vector] for r in asked], dtype=np.float64)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
 
-        q = np.array(matrix, dtype=np.float64)
         own = np.sqrt((q * q).sum(axis=1))
+        held = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
         for batch in batches:
-            if not batch.num_rows or not ids:
-                continue
-            column = batch.column(1)
-            widths = np.diff(column.offsets.to_numpy())
-            usable = np.flatnonzero((widths == q.shape[1]) & (np.array(column.is_valid())))
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            v = np.zeros((batch.num_rows, q.shape[1]))
-            if len(usable):
-                v[usable] = np.array([column[int(i)].as_py() for i in usable], dtype=np.float64) if len(usable) < len(widths) else column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-            norms = np.sqrt((v * v).sum(axis=1))
-            scale = norms[:, None] * own[None, :]
-            scores = np.round(np.divide(v @ q.T, scale, out=np.zeros_like(scale), where=scale > 0), DIGITS) + 0.0
-            out: tuple[list, list, list] = ([], [], [])
-            for j, name in enumerate(ids):
-                order = np.lexsort((names, -scores[:, j]))[:k]
-                out[0].extend([name] * len(order))
-                out[1].extend(names[order].tolist())
-                out[2].extend(scores[order, j].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", id_col, "score"])
+            for at in range(0, batch.num_rows, TILE):
+                some = batch.slice(at, TILE)
+                names, v = some.column(0).to_numpy(zero_copy_only=False), _matrix(some.column(1), q.shape[1])
+                norms = np.sqrt((v * v).sum(axis=1))
+                for a in range(0, len(ids), TILE):
+                    scale = own[a : a + TILE, None] * norms
+                    usable = (scale > 0) & np.isfinite(scale)
+                    scores = np.round(np.divide(q[a : a + TILE] @ v.T, scale, out=np.zeros_like(scale), where=usable), DIGITS) + 0.0
+                    _keep_best(held[0][a : a + TILE], held[1][a : a + TILE], scores, names)
+        for a in range(0, len(ids), TILE):
+            found, at = np.nonzero(np.isfinite(held[0][a : a + TILE]))
+            found += a
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(held[1][found, at]), pa.array(held[0][found, at])], names=["query_id", id_col, "score"])
 
     return vectors.select(F.col(id_col).cast("long"), F.col("embedding")).mapInArrow(best, f"query_id long, {id_col} long, score double")
+
+
+def _matrix(column: pa.ListArray, width: int):
+    """The vectors of a column as rows; zeros for those that are null or of another width."""
+    import numpy as np
+
+    v = np.zeros((len(column), width))
+    usable = np.flatnonzero(np.array(column.value_lengths().fill_null(-1)) == width)
+    if len(usable):
+        v[usable] = column.take(usable).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return v
+
+
+def _keep_best(best, names, scores, ids) -> None:
+    """Put what of ``scores`` (queries x rows with ``ids``) is among the best into ``best`` and ``names`` (queries x k), in place; of equal scores the smaller id."""
+    import numpy as np
+
+    k = best.shape[1]
+    better = (scores > best[:, -1:]) | ((scores == best[:, -1:]) & (ids < names[:, -1:]))
+    if scores.shape[1] > k:
+        better &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+    q, at = np.nonzero(better)
+    met = np.unique(q)
+    if not len(met):
+        return
+    of, score, name = np.concatenate([np.repeat(met, k), q]), np.concatenate([best[met].ravel(), scores[q, at]]), np.concatenate([names[met].ravel(), ids[at]])
+    order = np.lexsort((name, -score, of))
+    of, score, name = of[order], score[order], name[order]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    kept = place < k
+    best[of[kept], place[kept]], names[of[kept], place[kept]] = score[kept], name[kept]

@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,27 @@ def test_style_rules_against_a_loop(spark):
     for r in blocks.style_units(files).collect():
         got.setdefault(r.file_path, []).append((r.symbol, r.kind, r.start_line, r.end_line, r.content))
     assert {k: sorted(v) for k, v in got.items()} == {f"/w/{k}/s.css": sorted(plain_rules(t)) for k, t in enumerate(texts)} | {"/w/null/s.css": plain_rules("")}
+
+
+def test_many_queries_keep_the_best_of_a_task(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, size=(2500, 4)).astype(float)
+    x[7] = np.inf
+    rows = [(2500 - i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [1.0])]
+    vectors = spark.createDataFrame(rows, "point_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(i, x[i + 10].tolist()) for i in range(1100)], "query_id long, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        # a task gives k rows a query, however many batches it reads
+        assert search._best_of_block(vectors, queries.limit(20).collect(), 3, "point_id").count() == 60
+        got = search.batched_topk(vectors, queries, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x[7] = 0
+    units = np.divide(x, (n := np.linalg.norm(x, axis=1))[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
+    ids = np.append(2500 - np.arange(2500), [9000, 9001])
+    want = []
+    for i in range(1100):
+        scores = np.append(np.round(units @ units[i + 10], 6) + 0.0, [0.0, 0.0])
+        want += [(i, int(ids[j]), float(scores[j]), place + 1) for place, j in enumerate(np.lexsort((ids, -scores))[:3])]
+    assert sorted((r.query_id, r.point_id, r.score, r["rank"]) for r in got) == sorted(want)
