@@ -3,9 +3,12 @@
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siltstone.cli import delimited, main, parser, path_map
@@ -286,3 +289,23 @@ def test_many_queries_keep_the_best_of_a_task(spark):
         scores = np.append(np.round(units @ units[i + 10], 6) + 0.0, [0.0, 0.0])
         want += [(i, int(ids[j]), float(scores[j]), place + 1) for place, j in enumerate(np.lexsort((ids, -scores))[:3])]
     assert sorted((r.query_id, r.point_id, r.score, r["rank"]) for r in got) == sorted(want)
+
+
+def test_memory_of_a_search_does_not_follow_rows_times_queries(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(x))], names=["point_id", "embedding"])
+
+    class Caught:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    run = search._best_of_block(Caught(), [Row(query_id=i, vector=v.tolist()) for i, v in enumerate(x)], 10, "point_id")
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) == 30_000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6  # one array of all pairs is 72 MB
