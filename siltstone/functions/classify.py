@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
+from siltstone.functions.lets import let
 
 # fixed values: names, extensions and default settings
 DEFAULT_EXCLUDED_DIRECTORIES = (
@@ -218,6 +219,20 @@ def select_analyzer(path: Column, root: Column, content: Column) -> Column:
     return F.when(best.isNotNull() & (best["confidence"] > 0), F.struct(best["confidence"].alias("confidence"), best["analyzer"].alias("analyzer")))
 
 
+def is_for(analyzer: str, path: Column, root: Column, content: Column) -> Column:
+    """Whether ``select_analyzer`` gives this one. Confidences are computed only where another accepts the file too: alone it is always over 0.
+
+    The path is bound once: a path that is put together from columns would be so at each of its hundred uses.
+    """
+
+    def chosen(p: Column) -> Column:
+        ok = accepts(p)
+        others = reduce(lambda a, b: a | b, (x for name, x in ok.items() if name != analyzer))
+        return F.when(~ok[analyzer], False).when(~others, True).otherwise(select_analyzer(p, root, content)["analyzer"].eqNullSafe(analyzer))
+
+    return let(path, chosen)
+
+
 def is_auto_generated(path: Column, content: Column) -> Column:
     return (P.extension(path) == ".cs") & F.contains(F.lower(F.substring(content, 1, GENERATED_PROBE_CHARS)), F.lit("<auto-generated"))
 

@@ -95,10 +95,18 @@ def split_lines(content: Column, max_chars: int = CODE_CHARS) -> Column:
     return let(let(rows, packed), texts)
 
 
+def exploded(parts: str) -> Column:
+    """(k, p) of a column of arrays that are never empty.
+
+    Of a plain explode Spark infers a filter on size and null, and computes the arrays again for each.
+    """
+    return F.posexplode_outer(parts)
+
+
 def text_chunks(files: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(file_path, part, parts, start_line, end_line, content): parts of each file, numbered from 1."""
     parts = files.select("file_path", split_text(F.col("content"), max_chars, max_tokens).alias("ps"))
-    return parts.select("file_path", F.size("ps").alias("parts"), F.posexplode("ps").alias("k", "p")).select(
+    return parts.select("file_path", F.size("ps").alias("parts"), exploded("ps").alias("k", "p")).select(
         "file_path",
         (F.col("k") + 1).alias("part"),
         "parts",
@@ -108,14 +116,14 @@ def text_chunks(files: DataFrame, max_chars: int = MAX_CHARS, max_tokens: int =
     )
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """(file_path, title, start_line, end_line, content, symbol_kind): sections of documentation files.
+def sections(files: DataFrame, *keep: str) -> DataFrame:
+    """(file_path, title, start_line, end_line, content, symbol_kind): sections of documentation files, and the columns to ``keep``.
 
     A heading's kind depends on the language; a section reaches to the line before the next one, what
     precedes the first is left out, and a file without headings is one ``Document``.
     """
     lang = C.language(F.col("file_path"), C.DOCUMENTATION_LANGUAGES)
-    ls = files.select("file_path", lang.alias("lang"), T.lines(F.col("content")).alias("ls"))
+    ls = files.select(*keep, "file_path", lang.alias("lang"), T.lines(F.col("content")).alias("ls"))
 
     def title(x: Column, i: Column) -> Column:
         rule, before = F.get("ls", i + 1), F.trim(x)
@@ -134,7 +142,8 @@ def sections(files: DataFrame) -> DataFrame:
     n = F.size("ls")
     spans = F.transform("hs", lambda h, k: F.struct(h["title"].alias("title"), h["i"].alias("a"), F.coalesce(F.get("hs", k + 1)["i"], n).alias("b"), F.lit("DocumentSection").alias("kind")))
     whole = F.array(F.struct(P.file_name(F.col("file_path")).alias("title"), F.lit(0).alias("a"), n.alias("b"), F.lit("Document").alias("kind")))
-    return found.select("file_path", "lang", "ls", F.explode(F.when(F.size("hs") > 0, spans).otherwise(whole)).alias("s")).select(
+    return found.select(*keep, "file_path", "lang", "ls", F.explode(F.when(F.size("hs") > 0, spans).otherwise(whole)).alias("s")).select(
+        *keep,
         "file_path",
         F.col("lang").alias("language"),
         F.col("s.title").alias("title"),
@@ -148,7 +157,7 @@ def sections(files: DataFrame) -> DataFrame:
 def _as_chunks(units: DataFrame, max_chars: int, max_tokens: int) -> DataFrame:
     """Units (with title, kind, lines and content) cut to size, as rows of the chunk table."""
     cut = units.withColumn("ps", split_text(F.col("content"), max_chars, max_tokens)).withColumn("many", F.size("ps") > 1)
-    rows = cut.select(*[c for c in cut.columns if c not in ("ps", "content", "end_line")], F.posexplode("ps").alias("k", "p"), "end_line")
+    rows = cut.select(*[c for c in cut.columns if c not in ("ps", "content", "end_line")], exploded("ps").alias("k", "p"), "end_line")
     part = F.when(F.col("many"), F.col("k") + 1).otherwise(0)
     first = F.when(F.col("many"), F.col("start_line") + F.col("p.first")).otherwise(F.col("start_line"))
     last = F.when(F.col("many"), F.col("start_line") + F.col("p.last")).otherwise(F.col("end_line"))
@@ -171,8 +180,7 @@ def _as_chunks(units: DataFrame, max_chars: int, max_tokens: int) -> DataFrame:
 
 def documentation_chunks(files: DataFrame) -> DataFrame:
     """Chunks of documentation files (workspace_root, file_path, content)."""
-    found = sections(files).join(files.select("file_path", "workspace_root"), "file_path")
-    return _as_chunks(found.withColumn("content_type", F.lit("documentation")), MAX_CHARS, MAX_TOKENS)
+    return _as_chunks(sections(files, "workspace_root").withColumn("content_type", F.lit("documentation")), MAX_CHARS, MAX_TOKENS)
 
 
 def metadata_chunks(files: DataFrame) -> DataFrame:
