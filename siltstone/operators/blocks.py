@@ -21,22 +21,25 @@ SELECTOR = r"^\s*((?:@[\w-]+[^{]+|[^{}]+))\s*\{"
 STYLES = (".css", ".scss", ".sass", ".less")
 
 
-def block_ends(code: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, line, last) of lines that start a block; ``last`` is null where nothing closes it.
+def block_ends(code: DataFrame, keys: Sequence[str], *keep: str) -> DataFrame:
+    """(keys, line, last) of lines that start a block, and their columns to ``keep``; ``last`` is null where nothing closes it.
 
-    ``code`` has a row for each line: keys, line, opened, closed (braces on it), starts.
+    ``code`` has a row for each line: keys, line, opened, closed (braces on it), starts. Both windows
+    are over rows dealt by the keys, so lines are read and shuffled once.
     """
     upto = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     change = F.col("opened") - F.col("closed")
-    lines = code.select(*keys, "line", "starts", F.sum(change).over(upto).alias("after"), change.alias("change"))
+    lines = code.select(*keys, "line", "starts", *keep, F.sum(change).over(upto).alias("after"), change.alias("change"))
     lines = lines.withColumn("before", F.col("after") - F.col("change"))
-    at_once = lines.filter(F.col("starts") & (F.col("after") <= F.col("before"))).select(*keys, "line", F.col("line").alias("last"))
-    starts = lines.filter(F.col("starts") & (F.col("after") > F.col("before"))).select(*keys, F.col("before").alias("level"), "line", F.lit(None).cast("int").alias("end"))
-    levels = F.explode(F.sequence(F.col("after"), F.col("before") - 1)).alias("level")
-    ends = lines.filter("after < before").select(*keys, levels, "line", F.col("line").alias("end"))
+    event = lambda level, starts: F.struct(level.alias("level"), F.lit(starts).alias("starts"))
+    none, closes = F.array().cast("array<struct<level:bigint,starts:boolean>>"), F.col("after") < F.col("before")
+    # one that ends on its own line has no level
+    start = F.when(F.col("starts"), F.array(event(F.when(F.col("after") > F.col("before"), F.col("before")), True))).otherwise(none)
+    ends = F.when(closes, F.transform(F.sequence("after", F.col("before") - 1), lambda level: event(level, False))).otherwise(none)
+    events = lines.select(*keys, "line", *keep, F.explode(F.concat(start, ends)).alias("e")).select(*keys, "line", *keep, "e.level", "e.starts")
     after = Window.partitionBy(*keys, "level").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    found = starts.unionByName(ends).withColumn("last", F.last("end", ignorenulls=True).over(after))
-    return at_once.unionByName(found.filter("end IS NULL").select(*keys, "line", "last"))
+    found = events.withColumn("last", F.last(F.when(~F.col("starts"), F.col("line")), ignorenulls=True).over(after))
+    return found.filter("starts").select(*keys, "line", *keep, F.when(F.col("level").isNull(), F.col("line")).otherwise(F.col("last")).alias("last"))
 
 
 def is_style(path) -> object:
@@ -51,12 +54,11 @@ def style_units(files: DataFrame) -> DataFrame:
     """
     keys = ["workspace_root", "file_path"]
     held = files.select(*keys, T.lines(F.coalesce("content", F.lit(""))).alias("lines"))
-    each = held.select(*keys, F.posexplode("lines").alias("line", "text"))
+    each = held.select(*keys, F.posexplode_outer("lines").alias("line", "text"))  # a plain one would split again for a filter
     count = lambda c: F.regexp_count("text", F.lit(c))
-    selector = F.regexp_extract("text", SELECTOR, 1)
-    code = each.select(*keys, "line", count(r"\{").alias("opened"), count(r"\}").alias("closed"), F.rlike("text", F.lit(SELECTOR)).alias("starts"), selector.alias("selector"))
-    ends = block_ends(code, keys)
-    rules = code.filter("starts").select(*keys, "line", F.regexp_replace("selector", r"^\s+|\s+$", "").alias("symbol")).join(ends, [*keys, "line"])
+    symbol = F.regexp_replace(F.regexp_extract("text", SELECTOR, 1), r"^\s+|\s+$", "")
+    code = each.select(*keys, "line", count(r"\{").alias("opened"), count(r"\}").alias("closed"), F.rlike("text", F.lit(SELECTOR)).alias("starts"), symbol.alias("symbol"))
+    rules = block_ends(code, keys, "symbol")
     listed = rules.groupBy(*keys).agg(F.collect_list(F.struct("line", "last", "symbol")).alias("rules"))
     name = F.struct(F.lit(0).alias("line"), (F.size("lines") - 1).alias("last"), P.file_name(F.col("file_path")).alias("symbol"))
     one = held.join(listed, keys, "left").withColumn("none", F.col("rules").isNull())

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from siltstone.cli import delimited, main, parser, path_map
 from siltstone.engine import Engine
-from siltstone.operators import blocks, catalog, embedding, evaluation, scanners, search, solution, store, transfer
+from siltstone.functions import classify as C
+from siltstone.operators import blocks, catalog, chunking, embedding, evaluation, scanners, search, solution, store, transfer
 from siltstone.sources import changes
 from siltstone.streaming import triggers
 
@@ -267,6 +268,29 @@ def test_style_rules_against_a_loop(spark):
     assert {k: sorted(v) for k, v in got.items()} == {f"/w/{k}/s.css": sorted(plain_rules(t)) for k, t in enumerate(texts)} | {"/w/null/s.css": plain_rules("")}
 
 
+def test_parts_are_computed_once(spark):
+    files = spark.createDataFrame([("/w", "/w/a.yml", "x")], "workspace_root string, file_path string, content string")
+    plan = chunking.metadata_chunks(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "Join" not in chunking.documentation_chunks(files)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_analyzers_of_paths_that_one_or_several_accept(spark):
+    names = ["docs/a.md", "a.cs", "src/b.html", "docs/b.html", "dockerfile.cs", "appsettings.json", "publish.yml", "c.mdx", "x.tsx", "y.css", "none", "deployment.xml", "dockerfile.md"]
+    texts = ["", "<article><h1>x</h1></article>", "<b *ngIf='x' @click='y'>"]
+    rows = [("/w", f"/w/{n}", t) for n in names for t in texts]
+    files = spark.createDataFrame(rows, "workspace_root string, file_path string, content string")
+    args = F.col("file_path"), F.col("workspace_root"), F.col("content")
+    got = files.select(C.select_analyzer(*args)["analyzer"].alias("a"), *[C.is_for(n, *args).alias(n) for n in ("csharp", "documentation", "metadata", "script", "markup")])
+    for r in got.collect():
+        assert [n for n, v in list(r.asDict().items())[1:] if v] == ([r.a] if r.a else [])
+
+
+def test_lines_of_style_sheets_are_shuffled_once(spark):
+    files = spark.createDataFrame([("/w", "/w/s.css", "a { }")], "workspace_root string, file_path string, content string")
+    plan = blocks.style_units(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 2 and plan.count("Join ") == 1 and "Union" not in plan
+
+
 def test_many_queries_keep_the_best_of_a_task(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(-2, 3, size=(2500, 4)).astype(float)
