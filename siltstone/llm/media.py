@@ -26,6 +26,8 @@ UNIT = 192
 ROW_PIXELS = 64
 TILE_ROWS = 256
 BATCH_BYTES = 1 << 20
+#: Files that are read side by side; a step costs much the same for many images as for few.
+READ_BYTES = 12 << 20
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -80,7 +82,7 @@ def from_media(stored: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
     parts = [split_files(m) for m in stored]
     files = [f for p in parts for f in p]
     shapes, samples = [], []
-    for a, b in slices([len(f) for f in files], 4 * BATCH_BYTES):
+    for a, b in slices([len(f) for f in files], READ_BYTES):
         for width, height, argb in decode_many(files[a:b]):
             shapes.append((width, height))
             samples.append(argb.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1])
@@ -142,7 +144,7 @@ def media_features(stored: DataFrame) -> DataFrame:
         names = ["doc_id", "n_bytes", "media", *(c.split()[0] for c in FEATURES.split(", "))]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
-            for a, b in slices([len(m.as_buffer()) for m in batch.column(2)], 4 * BATCH_BYTES):
+            for a, b in slices([len(m.as_buffer()) for m in batch.column(2)], READ_BYTES):
                 some = batch.slice(a, b - a)
                 rows = []
                 for width, height, samples in from_media(some.column(2).to_pylist()):

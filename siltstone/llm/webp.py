@@ -160,13 +160,20 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
 
 
 def _read_new_code(bits: BitReader, alphabet: int) -> PrefixCode:
-    if bits.read(1):  # one or two symbols, written out
-        two, wide = bits.read(1), bits.read(1)
-        first = bits.read(8 if wide else 1)
-        return simple_code(first, bits.read(8)) if two else simple_code(first)
+    first = bits.at >> 3
+    ahead = int.from_bytes(bits.data[first : first + 9], "little") >> (bits.at & 7)
+    if ahead & 1:  # one or two symbols, written out
+        two, wide = ahead & 2, 8 if ahead & 4 else 1
+        symbols = (ahead >> 3 & (1 << wide) - 1, *((ahead >> 3 + wide & 255,) if two else ()))
+        bits.at += 3 + wide + (8 if two else 0)
+        bits.check()
+        return simple_code(*symbols)
     of_lengths = [0] * 19
-    for i in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        of_lengths[i] = bits.read(3)
+    upto = 4 + (ahead >> 1 & 15)
+    for k, i in enumerate(CODE_LENGTH_ORDER[:upto]):
+        of_lengths[i] = ahead >> 5 + 3 * k & 7
+    bits.at += 5 + 3 * upto
+    bits.check()
     code = short_code(tuple(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     lengths: list[int] = []
@@ -458,7 +465,7 @@ def _invert_rows(argb: np.ndarray, width: int, kinds: np.ndarray, bits: int) ->
 
 def invert_predictor(argb: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
     numbers = (modes >> 8) & 15
-    if np.isin(numbers, ROW_MODES).all():
+    if set(numbers.tolist()).issubset(ROW_MODES):
         return _invert_rows(argb, width, numbers.reshape(-1, blocks(width, bits)), bits)
     rest, across = channels(argb).tolist(), blocks(width, bits)
     kinds = ((modes >> 8) & 15).tolist()

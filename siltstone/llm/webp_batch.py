@@ -176,9 +176,13 @@ def _transformed(rgb: np.ndarray, heights: np.ndarray, width: int):
         guess = from_above(mode, above[:, :-2], above[:, 1:-1], above[:, 2:]) if mode else np.uint8(0)
         differ = rgb - guess
         left.append(differ)
-        costs.append(by_block(bits[differ].sum(axis=2)))
+        cost = bits[differ].reshape(len(rgb), -1)  # the three channels of a block stand side by side
+        costs.append(np.add.reduceat(np.add.reduceat(cost, cuts, axis=0), 3 * edges, axis=1))
     best = np.argmin(np.stack(costs), axis=0)
-    residue = np.choose(best[block_row][:, column, None], left)
+    residue = np.empty_like(rgb)
+    for k, (a, b) in enumerate(pairwise([*cuts.tolist(), len(rgb)])):
+        for mode, c in zip(best[k].tolist(), edges.tolist(), strict=True):
+            residue[a:b, c : c + (1 << BLOCK_BITS)] = left[mode][a:b, c : c + (1 << BLOCK_BITS)]
     # a first row is predicted from the left, a first column from above
     residue[first, 1:] = rgb[first, 1:] - rgb[first, :-1]
     residue[:, 0] = rgb[:, 0] - above[:, 1]
@@ -208,7 +212,9 @@ def _transformed(rgb: np.ndarray, heights: np.ndarray, width: int):
 
 
 def _last_like(key: np.ndarray) -> np.ndarray:
-    """By place, the last place before with an equal key, or -1."""
+    """By place, the last place before with an equal key, or -1. Keys are not negative; small ones sort faster."""
+    if key.max(initial=0) < 1 << 16:
+        key = key.astype(np.uint16)
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     last = np.full(len(key), -1, dtype=np.int64)
@@ -216,6 +222,29 @@ def _last_like(key: np.ndarray) -> np.ndarray:
     return last
 
 
+#: Bits of a hash of three pixels, of which two that differ in one image may share one: the later then is no reference.
+HASH_BITS = 37
+#: Bits left for a place in an image.
+PLACE_BITS = 14
+
+
+def _last_in_image(mixed: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """By place, the last place before in the same image with an equal hash of ``HASH_BITS``, or -1."""
+    starts = np.concatenate([[0], ends[:-1]])
+    if len(ends) > 1 << 64 - HASH_BITS - PLACE_BITS or (ends - starts).max() > 1 << PLACE_BITS:
+        order = np.lexsort((mixed, owner))
+        same = (mixed[order[1:]] == mixed[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    else:  # image, hash and place as one number, so that numbers are sorted and not places
+        place = (np.arange(len(owner)) - starts[owner]).astype(np.uint64)
+        key = np.sort(owner.astype(np.uint64) << np.uint64(HASH_BITS + PLACE_BITS) | mixed << np.uint64(PLACE_BITS) | place)
+        order = (key & np.uint64((1 << PLACE_BITS) - 1)).view(np.int64) + starts[(key >> np.uint64(HASH_BITS + PLACE_BITS)).view(np.int64)]
+        key >>= np.uint64(PLACE_BITS)
+        same = key[1:] == key[:-1]
+    last = np.full(len(owner), -1, dtype=np.int64)
+    last[order[1:][same]] = order[:-1][same]
+    return last
+
+
 def _references(pixels: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, length, distance) of runs that their own image holds before, from left to right."""
     n = len(pixels)
@@ -226,8 +255,8 @@ def _references(pixels: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, in
     mixed = np.zeros(n, dtype=np.uint64)
     for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
         mixed[: n - 2] += p[k : n - 2 + k] * np.uint64(odd)
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + owner.astype(np.uint64)
-    last = _last_like(mixed)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    last = _last_in_image(mixed >> np.uint64(64 - HASH_BITS), owner, ends)
     at = np.flatnonzero(last >= 0)
     at = at[at < n - 2]
     before = last[at]
@@ -250,6 +279,21 @@ def _references(pixels: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, in
     return found
 
 
+def _bits_of(value: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The bits of numbers of 1 to 63 bits, one after another and the lowest first."""
+    end = np.cumsum(width)
+    at = end - width
+    if not len(at):
+        return np.zeros(0, dtype=np.uint8)
+    words = np.zeros((int(end[-1]) >> 6) + 2, dtype="<u8")
+    value, turn, word = value.astype(np.uint64), (at & 63).astype(np.uint64), at >> 6
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] = np.bitwise_or.reduceat(value << turn, first)
+    over = np.flatnonzero((at & 63) + width > 64)  # one at most runs on into a word
+    words[word[over] + 1] |= value[over] >> (np.uint64(64) - turn[over])
+    return np.unpackbits(words.view(np.uint8), bitorder="little", count=int(end[-1]))
+
+
 def _entropy_coded(heads: list[BitWriter], streams: list[np.ndarray], widths: list[int], cached: np.ndarray) -> list[bytes]:
     """Finished files: the heads, then each stream with its own codes, and where ``cached`` with a colour cache."""
     n = len(heads)
@@ -320,18 +364,14 @@ def _entropy_coded(heads: list[BitWriter], streams: list[np.ndarray], widths: li
     bit_ends = np.concatenate([[0], np.cumsum(width)])[np.searchsorted(owner, np.arange(n + 1))]
     some = width > 0
     value, width = value[some], width[some]
-    at = np.cumsum(width) - width
-    bits = np.zeros(int(bit_ends[-1]), dtype=np.uint8)
-    for b in range(int(width.max(initial=0))):
-        here = width > b
-        if not here.all():
-            at, value, width = at[here], value[here], width[here]
-        bits[at + b] = value >> b & 1
+    bits = _bits_of(value, width)
     return [riff(np.concatenate([head.bits(), bits[a:b]])) for head, (a, b) in zip(heads, pairwise(bit_ends.tolist()), strict=True)]
 
 
 #: With fewer images than this left, each goes on by itself.
 FEW = 24
+#: With fewer back-references than this in a step, each is read by itself.
+FEW_RUNS = 5
 #: Steps between two looks at which images are complete.
 STRIDE = 16
 
@@ -364,6 +404,22 @@ class _Tables:
         self.mask = np.array([c.mask for c in codes], dtype=np.uint64)
 
 
+_NEAR_X, _NEAR_Y = np.array(webp.NEAR).T
+
+
+def _prefix_values(symbols: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``webp.prefix_value`` of each symbol with the bits that follow it, and how many of these it takes."""
+    extra = np.maximum((symbols - 2) >> 1, 0)
+    more = (window & ((np.uint64(1) << extra.view(np.uint64)) - np.uint64(1))).view(np.int64)
+    return np.where(symbols < 4, symbols + 1, ((2 + (symbols & 1)) << extra) + more + 1), extra
+
+
+def _near_distances(codes: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """``webp.near_distance`` of each code."""
+    k = np.minimum(codes, len(_NEAR_X)) - 1
+    return np.where(codes > len(_NEAR_X), codes - len(_NEAR_X), np.maximum(1, _NEAR_X[k] + _NEAR_Y[k] * widths))
+
+
 def _side_by_side(images: list[webp.Coded]) -> list[np.ndarray]:
     """Pixels of ``images``: each step reads one symbol of every image that is not complete."""
     n = len(images)
@@ -375,7 +431,8 @@ def _side_by_side(images: list[webp.Coded]) -> list[np.ndarray]:
     sizes = np.array([image.width * image.height for image in images])
     firsts = np.cumsum(sizes + 1) - sizes - 1  # one place after each image takes what comes after its end
     out = np.zeros(int(sizes.sum()) + n, dtype=np.uint32)
-    green, red, blue = (_Tables([image.codes[0][k] for image in images]) for k in range(3))
+    green, red, blue, far = (_Tables([image.codes[0][k] for image in images]) for k in (0, 1, 2, 4))
+    across = np.array([image.width for image in images])
     cache_bits = np.array([image.cache_bits for image in images])
     cache_at = np.cumsum(1 << cache_bits) - (1 << cache_bits)
     cache = np.zeros(int((1 << cache_bits).sum()), dtype=np.uint32)
@@ -401,9 +458,9 @@ def _side_by_side(images: list[webp.Coded]) -> list[np.ndarray]:
             b = blue.entries[bb + (window & bm).view(np.int64)]
             pixel = alpha | r >> 4 << 16 | s << 8 | b >> 4
             step = bits + more + (b & 15)
-            move = (spot < last).astype(np.int64)
+            move = spot < last
             step *= move
-            odd = np.flatnonzero((s >= 256) & (spot < last))
+            odd = np.flatnonzero((s >= 256) & move)
             runs: list[int] = []
             if len(odd):
                 known = odd[s[odd] >= 256 + LENGTH_CODES]
@@ -412,7 +469,7 @@ def _side_by_side(images: list[webp.Coded]) -> list[np.ndarray]:
                 pixel[known] = cache[ca[known] + s[known] - 256 - LENGTH_CODES]
                 step[odd] = bits[odd]
                 runs = odd[s[odd] < 256 + LENGTH_CODES].tolist()
-                move[runs] = 0
+                move[runs] = False
             kept = out[spot[runs]] if runs else None
             out[spot] = pixel
             slot = ca + ((pixel.view(np.uint64) * multiplier & word) >> ct).view(np.int64)
@@ -425,6 +482,25 @@ def _side_by_side(images: list[webp.Coded]) -> list[np.ndarray]:
                 cache[slot] = pixel
             here += step
             spot += move
+            if len(runs) >= FEW_RUNS:
+                k, a, there = live[runs], spot[runs], here[runs]
+                window = windows[there >> 3] >> (there & seven).astype(np.uint64)  # holds all of a reference, 43 bits at most
+                length, took = _prefix_values(s[runs] - 256, window)
+                window >>= took.view(np.uint64)
+                t = far.entries[far.base[k] + (window & far.mask[k]).view(np.int64)]
+                code, more = _prefix_values(t >> 4, window >> (t & 15).view(np.uint64))
+                distance = _near_distances(code, across[k])
+                if ((distance > a - firsts[k]) | (length > last[runs] - a)).any():
+                    raise ValueError("a back-reference leaves the image")
+                here[runs] = there + took + (t & 15) + more
+                spot[runs] = a + length
+                of = np.repeat(np.arange(len(k)), length)
+                nth = np.arange(len(of)) - (np.cumsum(length) - length)[of]
+                copied = out[(a - distance)[of] + nth % distance[of]]
+                out[a[of] + nth] = copied
+                slots = (copied.astype(np.uint64) * multiplier & word) >> turn[k][of]
+                cache[cache_at[k][of] + slots.view(np.int64)] = copied  # of equal places the last one stays
+                runs = []
             for i in runs:
                 k = int(live[i])
                 image = images[k]

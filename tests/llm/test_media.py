@@ -224,3 +224,42 @@ def test_long_payloads_are_stored_as_several_files():
     assert [x[2].tobytes() for x in found] == [payload("before")[1], data, payload("after")[1]]
     assert found[1][:2] == (64, 600) and stored[1] == to_media([data])[0]
     assert list(media.slices([5, 5, 20, 1], 10)) == [(0, 2), (2, 3), (3, 4)] and list(media.slices([], 10)) == []
+
+
+def test_references_of_many_images_are_read_together(monkeypatch):
+    rng = random.Random(7)
+    made = []
+    for _ in range(64):
+        words = [bytes(rng.choices(range(97, 123), k=rng.randint(6, 12))) for _ in range(40)]
+        made.append(b" ".join(rng.choices(words, k=3000))[: 192 * 24])
+    files = webp_batch.encode_rows(made, 64)
+    want = [webp.decode(f) for f in files]
+    calls = []
+    read = webp.prefix_value
+    monkeypatch.setattr(webp, "prefix_value", lambda *a: calls.append(a) or read(*a))
+    got = webp_batch.decode_many(files)
+    assert len(calls) < 1000  # 28,548 when each was read by itself
+    for (w, h, p), (a, b, q), data in zip(got, want, made, strict=True):
+        assert (w, h) == (a, b) and (p == q).all()
+        assert p.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].tobytes() == data
+
+
+def test_bits_of_numbers_of_any_width():
+    rng = random.Random(3)
+    width = np.array([rng.randint(1, 63) for _ in range(500)] + [64 - 1, 1, 63, 63])
+    value = np.array([rng.getrandbits(int(n)) for n in width], dtype=np.int64)
+    want = [v >> b & 1 for v, n in zip(value.tolist(), width.tolist(), strict=True) for b in range(n)]
+    assert webp_batch._bits_of(value, width).tolist() == want
+    assert webp_batch._bits_of(value[:0], width[:0]).tolist() == []
+
+
+def test_a_place_before_is_found_alike_in_few_and_in_many_images(monkeypatch):
+    rng = np.random.default_rng(1)
+    ends = np.cumsum(rng.integers(1, 90, 60))
+    owner = np.repeat(np.arange(60), np.diff(ends, prepend=0))
+    mixed = rng.integers(0, 12, len(owner)).astype(np.uint64)
+    packed = webp_batch._last_in_image(mixed, owner, ends).tolist()
+    want = [max((j for j in range(i) if owner[j] == owner[i] and mixed[j] == mixed[i]), default=-1) for i in range(len(owner))]
+    assert packed == want
+    monkeypatch.setattr(webp_batch, "PLACE_BITS", 3)
+    assert webp_batch._last_in_image(mixed, owner, ends).tolist() == want
