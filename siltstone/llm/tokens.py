@@ -10,6 +10,7 @@ token, such as an end-of-text mark, goes through the library as a whole and gets
 from __future__ import annotations
 
 import gc
+import os
 import re
 import sys
 from array import array
@@ -34,6 +35,8 @@ ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Byte-level vocabularies name the bytes that do not print, in order, by the characters from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 BYTE_NAMES = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+#: What the bytes of the characters that plain words have are named.
+PLAIN_NAMES = {c: c.encode().decode("latin-1").translate(BYTE_NAMES) for c in map(chr, range(256)) if PLAIN.fullmatch(c) or c == " "}
 
 CACHE_CHUNKS = 500_000
 SLICE_CHARS = 6 << 20
@@ -45,6 +48,8 @@ class ChunkEncoder:
     """Ids of texts as bytes, four a token."""
 
     def __init__(self, vocabulary: str, chunk_pattern: str):
+        # a task has one core; threads of the library's own would take those of the tasks beside it
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -53,26 +58,41 @@ class ChunkEncoder:
         self.chunks = re.compile(chunk_pattern).findall
         self.lower = chunk_pattern == WORD_LEVEL
         self.cache: dict[str, bytes] = {}
+        #: Cached chunks that texts after those that brought them have used.
+        self.used: set[str] = set()
+        self.marks: dict[str, bytes] = {}
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as the machine's own 32-bit integers, which must be little-endian")
 
     def _add(self, chunks: list[str]) -> None:
         """Ids of new chunks: a plain word's from the library's model at once, others' through its whole pipeline."""
         plain, tokenize, others = PLAIN.fullmatch, self.tokenizer.model.tokenize, []
+        cache, names = self.cache, PLAIN_NAMES.__getitem__
         for c in chunks:
             if m := plain(c):
                 word, marks = m.groups()
-                if self.lower:
-                    word = word.lower().removeprefix(" ")
-                ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(BYTE_NAMES))]
-                if marks:
-                    ids += [t.id for t in tokenize(marks)]
-                self.cache[c] = array("I", ids).tobytes()
+                ids = cache.get(word) if marks else None
+                if ids is None:
+                    name = word.lower().removeprefix(" ") if self.lower else word
+                    if name.isascii():  # its letters are their own names
+                        name = name.replace(" ", PLAIN_NAMES[" "])
+                    else:
+                        name = "".join(map(names, name))
+                    ids = array("I", [t.id for t in tokenize(name)]).tobytes()
+                cache[c] = ids + self._marks(marks) if marks else ids
             else:
                 others.append(c)
         found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
         self.cache.update((c, array("I", x.ids).tobytes()) for c, x in zip(others, found, strict=True))
 
+    def _marks(self, marks: str) -> bytes:
+        """Ids of marks, of which few differ; runs of many are not kept."""
+        if (found := self.marks.get(marks)) is None:
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(marks)]).tobytes()
+            if len(marks) <= 4:
+                self.marks[marks] = found
+        return found
+
     def encode(self, texts: Iterable[str | None], end: bytes) -> list[bytes]:
         """Ids of each text, then ``end``; a null text is an empty one. All texts are held at once."""
         gc.disable()  # nothing made here is cyclic, and looking for cycles walks all of the cache
@@ -91,9 +111,11 @@ class ChunkEncoder:
             parts[k] = []
         here = set().union(*parts)
         new = here.difference(self.cache)
-        if len(self.cache) > CACHE_CHUNKS:  # what these texts use stays
-            self.cache = {c: self.cache[c] for c in here - new}
-        for some in batched(new, ENCODE_CHUNKS):
+        self.used |= here - new
+        if len(self.cache) > CACHE_CHUNKS:  # what was used again stays, or of too much of that what these texts use
+            stay = self.used if len(self.used) <= CACHE_CHUNKS // 2 else here - new
+            self.cache, self.used = {c: self.cache[c] for c in stay}, here - new
+        for some in batched(sorted(new, key=len), ENCODE_CHUNKS):  # a word before the same word with marks
             self._add(list(some))
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) + end for p in parts]

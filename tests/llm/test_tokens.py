@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from siltstone.llm import packing
+from siltstone.llm import packing, tokens
 from siltstone.llm.packing import best_fit_decreasing, pack, solve_configurations
 from siltstone.llm.token_files import token_files
 from siltstone.llm.tokens import BYTE_LEVEL, WORD_LEVEL, ChunkEncoder, end_token
@@ -205,3 +205,18 @@ def test_fractions_cover_every_length_and_state_their_gap(sample_histogram):
     assert np.allclose(cover, counts, rtol=1e-6)
     assert found.bound <= -(-int(lengths @ counts) // 2048)
     assert found.value <= (1 + packing.GAP) * found.bound
+
+
+def test_chunks_used_again_outlast_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 40)
+    enc, end = ChunkEncoder(BYTE, BYTE_LEVEL), end_token(2)
+    added = []
+    monkeypatch.setattr(enc, "_add", lambda some, add=enc._add: added.extend(some) or add(some))
+    often = "so geht das Wort, élan."
+    once = [" ".join(f"x{k}y{j}" for j in range(30)) for k in range(9)]
+    texts = [often, often, once[0], often, *(t for k in range(1, 9, 2) for t in (once[k], once[k + 1], often))]
+    got = [enc.encode([t], end)[0] for t in texts]
+    assert added.count(" geht") == 1  # 5 when only chunks of the texts at hand outlasted a full cache
+    fresh = Tokenizer.from_file(BYTE)
+    assert got == [np.array([*fresh.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes() for t in texts]
+    assert len(enc.cache) < 40 + 60
