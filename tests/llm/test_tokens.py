@@ -1,6 +1,8 @@
 """Token files and packing: against whole-text encoding and a plain re-count."""
 
 import random
+import re
+import string
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -220,3 +222,30 @@ def test_chunks_used_again_outlast_a_full_cache(monkeypatch):
     fresh = Tokenizer.from_file(BYTE)
     assert got == [np.array([*fresh.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes() for t in texts]
     assert len(enc.cache) < 40 + 60
+
+
+def test_words_with_and_without_marks_are_encoded_once(monkeypatch):
+    enc, end = ChunkEncoder(BYTE, BYTE_LEVEL), end_token(2)
+    added = []
+    monkeypatch.setattr(enc, "_add", lambda some, add=enc._add: added.extend(some) or add(some))
+    texts = ["ein Wort, ein Wort. Wort### Wort%%% été; été, été.x", "Wort, it's 4×, a÷. Wort's ª, 'Wort'"]
+    got = enc.encode(texts, end)
+    assert [c for c in added if c.strip().startswith(("Wort", "été"))].count(" Wort") == 1
+    assert not {" Wort,", " Wort.", " Wort###", " Wort%%%", " été;", " été,"}.intersection(added)  # each was encoded before
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(BYTE, t, 2) for t in texts]
+
+
+@pytest.mark.parametrize(("path", "pattern"), [(BYTE, BYTE_LEVEL), (WORD, WORD_LEVEL)])
+def test_marks_and_white_space_of_every_kind_in_many_texts(path, pattern):
+    rng, t, enc = random.Random(11), untouched(path), ChunkEncoder(path, pattern)
+    spaces = [c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{tokens.SPACE}]", c)]
+    alphabet = [*string.punctuation, *"''aBzÉçß×÷ª’̸́Σ🙂日\x1c​1", "'s", "don't", "word", *spaces, *" " * 20]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 25))) for _ in range(3000)]
+    for some in (texts, [], [""], [" ", "\n"], ["", "x", ""]):
+        for text, got in zip(some, enc.encode(some, b""), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    even = [x for x in texts if not re.search(r"[A-Za-zÉçß][!-&(-/:-@\[-`{-~]", x)]  # of which no mark cuts a word
+    data = "".join(even).encode()
+    first = np.cumsum([0, *(len(x.encode()) for x in even)])
+    cut = np.append(tokens.chunk_starts(data, first[:-1]), len(data)).tolist()
+    assert [data[a:b].decode() for a, b in zip(cut, cut[1:], strict=False)] == [c for x in even for c in re.findall(BYTE_LEVEL, x)]
